@@ -1,0 +1,22 @@
+"""Broadcast only with a proven size bound.
+
+Dimension tables built from literal lists (severities, directions) are bounded by
+construction and may be hinted. Anything that grows with the data is left to
+Spark's own size check (`spark.sql.autoBroadcastJoinThreshold`, re-evaluated by
+AQE from runtime statistics), which falls back to a shuffle join beyond it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Literal dimensions above this many rows are not hinted.
+MAX_LITERAL_DIM_ROWS = 10_000
+
+
+def literal_dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small dimension from literal rows, broadcast-hinted (size known here)."""
+    if len(rows) > MAX_LITERAL_DIM_ROWS:
+        return spark.createDataFrame(rows, schema)
+    return F.broadcast(spark.createDataFrame(rows, schema))
