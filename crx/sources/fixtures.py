@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from crx.sources.tables import conform, read_driver_table
 
-EPOCH = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch() -> Column:
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
 
 # The closed vocabularies of the review domain.
 CATEGORIES = ["security", "logic", "performance", "best_practice", "style"]
@@ -43,7 +44,7 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("default_branch"),
         F.when(F.col("n_nationkey") % 3 == 0, "Python")
          .when(F.col("n_nationkey") % 3 == 1, "Java").alias("language"),
-        EPOCH.alias("created_at"), EPOCH.alias("updated_at"))
+        _epoch().alias("created_at"), _epoch().alias("updated_at"))
     # One repository per region that never gets a pull request.
     extra = r.select(
         (F.col("r_regionkey") + 100).cast("long").alias("id"),
@@ -54,7 +55,7 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/repos/"), F.lower("r_name"), F.lit("/archive")).alias("html_url"),
         F.lit("trunk").alias("default_branch"),
         F.lit(None).cast("string").alias("language"),
-        EPOCH.alias("created_at"), EPOCH.alias("updated_at"))
+        _epoch().alias("created_at"), _epoch().alias("updated_at"))
     return conform("repositories", nat.unionByName(extra))
 
 
@@ -179,7 +180,7 @@ def repo_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 4 != 2).alias("auto_review"),
         cats.alias("enabled_categories"), pats.alias("ignore_patterns"),
         rules.alias("ignore_rule_ids"),
-        EPOCH.alias("created_at"), EPOCH.alias("updated_at"))
+        _epoch().alias("created_at"), _epoch().alias("updated_at"))
     return conform("repo_configs", df)
 
 
@@ -191,7 +192,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("avatar_url"),
         (F.col("c_custkey") % 100 == 0).alias("is_admin"),
         F.lit(None).cast("timestamp_ntz").alias("last_login_at"),
-        EPOCH.alias("created_at"))
+        _epoch().alias("created_at"))
     return conform("users", df)
 
 
