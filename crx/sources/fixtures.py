@@ -221,3 +221,59 @@ def review_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed files with unified-diff patches, one hunk per line item.
+
+    Per order: files src/f0.py / src/f1.py by l_suppkey % 2; hunk rn sits at
+    old/new line 10*rn with one context line, one removed line (written as
+    '--- old r' when l_partkey % 7 == 0, which the parser drops) and
+    l_quantity % 3 + 1 added lines; headers omit counts when l_partkey % 4 == 0;
+    '\\ No newline at end of file' follows when l_partkey % 5 == 0. The second
+    file of every fifth order has a null patch (binary)."""
+    li = lineitem_rn(spark, sf_dir)
+    r = F.col("rn").cast("string")
+    a = F.col("l_quantity").cast("int") % 3 + 1
+    nocount = F.col("l_partkey") % 4 == 0
+    start = (F.col("rn") * 10).cast("string")
+    header = F.concat(F.lit("@@ -"), start, F.when(nocount, "").otherwise(",2"), F.lit(" +"), start,
+                      F.when(nocount, "").otherwise(F.concat(F.lit(","), (a + 1).cast("string"))),
+                      F.lit(" @@ fn_"), r)
+    removed = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("--- old "), r)).otherwise(F.concat(F.lit("-old "), r))
+    adds = F.array_join(F.transform(F.sequence(F.lit(1), a),
+                                    lambda j: F.concat(F.lit("+new "), r, F.lit(" "), j.cast("string"))), "\n")
+    nonl = F.when(F.col("l_partkey") % 5 == 0, "\n\\ No newline at end of file").otherwise("")
+    hunk = F.concat(header, F.lit("\n ctx "), r, F.lit("\n"), removed, F.lit("\n"), adds, nonl)
+    h = li.select(F.col("l_orderkey").alias("review_id"), (F.col("l_suppkey") % 2).alias("file_seq"),
+                  "rn", a.alias("a"), hunk.alias("hunk"))
+    g = (h.groupBy("review_id", "file_seq")
+         .agg(F.array_join(F.array_sort(F.collect_list(F.struct("rn", "hunk")))["hunk"], "\n").alias("patch"),
+              F.sum("a").cast("int").alias("additions"), F.count(F.lit(1)).cast("int").alias("deletions")))
+    return g.select(
+        "review_id", "file_seq",
+        F.concat(F.lit("src/f"), F.col("file_seq").cast("string"), F.lit(".py")).alias("filename"),
+        F.lit("modified").alias("status"),
+        F.when((F.col("file_seq") == 1) & (F.col("review_id") % 5 == 0), F.lit(None)).otherwise(F.col("patch")).alias("patch"),
+        F.lit(None).cast("string").alias("previous_filename"),
+        "additions", "deletions", (F.col("additions") + F.col("deletions")).alias("changes"))
+
+
+def anchor_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings aimed at the diffs of `pr_files`: some hit added or context
+    lines, some fall between hunks, some name the other (possibly binary) file."""
+    li = lineitem_rn(spark, sf_dir)
+    ls = (F.col("l_partkey") % 13 + 1) * 10 + F.col("l_suppkey") % 3 - 1
+    return li.select(
+        F.col("l_orderkey").alias("review_id"),
+        (F.col("l_orderkey") * 100 + F.col("rn")).alias("seq"),
+        F.concat(F.lit("src/f"), ((F.col("l_suppkey") + F.col("l_partkey")) % 2).cast("string"),
+                 F.lit(".py")).alias("file_path"),
+        ls.cast("int").alias("line_start"),
+        (ls + F.col("l_linenumber") % 3).cast("int").alias("line_end"),
+        F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "warning")
+         .when(F.col("l_partkey") % 17 == 0, "info").otherwise("suggestion").alias("severity"),
+        F.concat(F.lit("Check "), F.col("l_partkey").cast("string")).alias("title"),
+        F.concat(F.lit("Line item "), F.col("rn").cast("string")).alias("description"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("x = "), F.col("rn").cast("string")))
+         .otherwise(F.lit("")).alias("suggestion"))
