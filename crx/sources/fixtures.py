@@ -277,3 +277,83 @@ def anchor_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Line item "), F.col("rn").cast("string")).alias("description"),
         F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("x = "), F.col("rn").cast("string")))
          .otherwise(F.lit("")).alias("suggestion"))
+
+
+def _wrap_json(js: Column, v: Column, o: Column) -> Column:
+    """Response text around a JSON document, by variant v (0..5): fenced, bare,
+    prose around, invalid, empty object, invalid fence before bare JSON."""
+    return (F.when(v == 0, F.concat(F.lit("Analysis:\n```json\n"), js, F.lit("\n```\nDone.")))
+             .when(v == 1, js)
+             .when(v == 2, F.concat(F.lit("Here you go: "), js, F.lit(" Thanks!")))
+             .when(v == 3, F.concat(F.lit("Sorry, no analysis for change "), o.cast("string")))
+             .when(v == 4, F.lit("{}"))
+             .otherwise(F.concat(F.lit("```\nnot json\n```\n"), js)))
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase-1 and per-direction responses per order, built from its line
+    items (fields omitted by seed rules so every default is exercised)."""
+    li = lineitem_rn(spark, sf_dir)
+    k = F.round(F.col("l_discount") * 100).cast("int")
+    q = F.col("l_quantity").cast("int")
+    ln = F.col("l_linenumber")
+    item = F.struct(
+        F.when(F.col("l_partkey") % 11 != 0, F.concat(F.lit("AI-"), (F.col("l_partkey") % 9).cast("string"))).alias("rule_id"),
+        F.when(ln != 3, F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "warning")
+               .otherwise("suggestion")).alias("severity"),
+        _pick(CATEGORIES, F.col("l_partkey") % 5).alias("category"),
+        F.concat(F.lit("src/f"), (F.col("l_suppkey") % 2).cast("string"), F.lit(".py")).alias("file_path"),
+        q.alias("line_start"),
+        F.when(ln != 4, q + ln).alias("line_end"),
+        F.concat(F.lit("Finding "), F.col("rn").cast("string")).alias("title"),
+        F.concat(F.lit("Details for part "), F.col("l_partkey").cast("string")).alias("description"),
+        F.when(ln % 2 == 1, F.concat(F.lit("use safe call "), F.col("rn").cast("string"))).alias("suggestion"),
+        F.when(F.col("l_suppkey") % 7 != 0, (F.lit(50) + F.lit(5) * k).cast("double") / 100).alias("confidence"))
+    per_order = (li.select("l_orderkey", "rn", "l_partkey", F.to_json(item).alias("j"))
+                 .groupBy(F.col("l_orderkey").alias("review_id"))
+                 .agg(F.array_sort(F.collect_list(F.struct("rn", "j"))).alias("items"),
+                      F.count(F.lit(1)).alias("n_items"), F.min("l_partkey").alias("min_part")))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id")).join(per_order, "review_id", "left")
+    rid = F.col("review_id")
+    empty = F.array().cast("array<string>")
+    dirs = (F.when(rid % 5 == 0, empty).when(rid % 5 == 1, F.array(F.lit("security")))
+             .when(rid % 5 == 2, F.array(F.lit("logic"), F.lit("style")))
+             .when(rid % 5 == 3, F.array(F.lit("security"), F.lit("bogus"), F.lit("security"))))
+    p1 = F.to_json(F.struct(
+        F.concat(F.lit("Change "), rid.cast("string"), F.lit(" has "),
+                 F.coalesce(F.col("n_items"), F.lit(0)).cast("string"), F.lit(" items")).alias("summary"),
+        F.when(rid % 7 != 0, _pick(["low", "medium", "high"], rid % 3)).alias("risk_level"),
+        F.array(F.concat(F.lit("part "), F.coalesce(F.col("min_part"), F.lit(0)).cast("string")), F.lit("tests")).alias("key_changes"),
+        dirs.alias("analysis_directions")))
+    all_items = F.coalesce(F.array_join(F.col("items")["j"], ", "), F.lit(""))
+    even_items = F.coalesce(F.array_join(F.filter(F.col("items"), lambda s: s["rn"] % 2 == 0)["j"], ", "), F.lit(""))
+    sec = F.concat(F.lit('{"findings": ['), all_items, F.when(((rid + 2) % 6 == 5) & (all_items != ""), F.lit(", 42")).otherwise(F.lit("")), F.lit("]}"))
+    logic = F.concat(F.lit('{"findings": ['), even_items, F.lit("]}"))
+
+    def usage(seq):
+        base = [F.lit("prompt_tokens"), (1000 + rid % 100), F.lit("completion_tokens"), (300 + rid % 50)]
+        full = F.create_map(*base, F.lit("total_tokens"), (1300 + rid % 100 + rid % 50 + seq))
+        return F.when(rid % 9 == 0, F.create_map(*base)).otherwise(full).cast("map<string,bigint>")
+
+    rows = [
+        (F.lit("phase1"), 0, _wrap_json(p1, rid % 6, rid)),
+        (F.lit("security"), 1, _wrap_json(sec, (rid + 2) % 6, rid)),
+        (F.lit("logic"), 2, _wrap_json(logic, (rid + 4) % 6, rid)),
+    ]
+    out = None
+    for phase, seq, text in rows:
+        df = o.select("review_id", phase.alias("phase"), F.lit(seq).cast("long").alias("seq"), text.alias("text"),
+                      usage(seq).alias("usage"))
+        out = df if out is None else out.unionByName(df)
+    repeat = o.filter(rid % 4 == 0).select("review_id", F.lit("security").alias("phase"), F.lit(3).cast("long").alias("seq"),
+                                           F.lit("{}").alias("text"), usage(3).alias("usage"))
+    return out.unionByName(repeat)
+
+
+def direction_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order a focus override: null, [], ['style'] or ['logic', 'security']."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"))
+    rid = F.col("review_id")
+    ov = (F.when(rid % 4 == 1, F.array().cast("array<string>")).when(rid % 4 == 2, F.array(F.lit("style")))
+           .when(rid % 4 == 3, F.array(F.lit("logic"), F.lit("security"))))
+    return o.select("review_id", ov.alias("directions"))
