@@ -147,3 +147,8 @@ def with_fixtures(sql: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def sql_str(s: str) -> str:
+    """A DuckDB string expression for the Python string `s`."""
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"

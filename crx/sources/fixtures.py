@@ -357,3 +357,53 @@ def direction_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     ov = (F.when(rid % 4 == 1, F.array().cast("array<string>")).when(rid % 4 == 2, F.array(F.lit("style")))
            .when(rid % 4 == 3, F.array(F.lit("logic"), F.lit("security"))))
     return o.select("review_id", ov.alias("directions"))
+
+
+def context_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One review per conversation with a token budget (null -> default) and a
+    changed-files list that is null, empty or given."""
+    c = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("review_id")).agg(
+        F.count(F.lit(1)).alias("n_turns"))
+    rid = F.col("review_id")
+    budget = F.when(rid % 4 == 0, 4000).when(rid % 4 == 1, 1000).when(rid % 4 == 2, 333)
+    files = (F.when(rid % 3 == 1, F.array().cast("array<string>"))
+              .when(rid % 3 == 2, F.array(F.lit("src/f1.py"), F.lit("docs/readme.md"))))
+    return c.select("review_id", budget.cast("long").alias("token_budget"),
+                    F.concat(F.lit("Conversation "), rid.cast("string")).alias("title"),
+                    F.concat(F.lit("Turns of conversation "), rid.cast("string")).alias("description"),
+                    files.alias("changed_files"))
+
+
+def context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as the review's files (every fifth from turn 3 missing)."""
+    c = _t(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("review_id"), F.col("turn").alias("file_seq"),
+                    F.concat(F.lit("doc/"), F.col("role"), F.lit("_"), F.col("turn").cast("string"), F.lit(".md")).alias("path"),
+                    F.when(F.col("turn") % 5 != 3, F.col("text")).alias("content"))
+
+
+def summary_entries(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """Dict-shaped summaries: one entry per turn of the given role."""
+    c = _t(spark, sf_dir, "conversations").filter(F.col("role") == role)
+    return c.select(F.col("conv_id").alias("review_id"), F.col("turn").alias("ord"),
+                    F.concat(F.lit(role + "_"), F.col("turn").cast("string")).alias("key"),
+                    F.col("text").alias("value"))
+
+
+# File names planted in the repository listings.
+REPO_FILE_NAMES = ["requirements.txt", "Pipfile", "setup.cfg", "pyproject.toml", "pom.xml", "package.json",
+                   "go.sum", "Cargo.lock", "Makefile", "main.py", "README.md", "App.java",
+                   ".github/workflows/ci.yml", "docs", "requirements-dev.txt", "package-lock.json"]
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository listings from `part`: depth p_size % 8, name by p_partkey % 16."""
+    p = _t(spark, sf_dir, "part")
+    depth = F.col("p_size") % 8
+    name = _pick(REPO_FILE_NAMES, F.col("p_partkey") % 16)
+    dirs = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(depth - 1, F.lit(0))),
+                                    lambda i: F.concat(F.lit("lvl"), i.cast("string"))), "/")
+    path = F.when(depth > 0, F.concat(dirs, F.lit("/"), name)).otherwise(name)
+    return p.select((F.col("p_partkey") % 25).alias("repository_id"), F.col("p_partkey").alias("file_id"),
+                    path.alias("path"), (name == "docs").alias("is_dir"),
+                    F.concat(F.lit("# "), F.col("p_name")).alias("content"))
