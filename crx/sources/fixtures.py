@@ -407,3 +407,60 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select((F.col("p_partkey") % 25).alias("repository_id"), F.col("p_partkey").alias("file_id"),
                     path.alias("path"), (name == "docs").alias("is_dir"),
                     F.concat(F.lit("# "), F.col("p_name")).alias("content"))
+
+
+# Python statement templates for generated sources, by l_partkey % 9. Each is
+# (text, line count); '{r}' is the line item's rn.
+PY_STATEMENTS = [
+    ("    eval(a)", 1),
+    ("    data = pickle.loads(b)", 1),
+    ("    subprocess.run(a, shell=True)", 1),
+    ('    cursor.execute("SELECT * FROM t WHERE id = " + a)', 1),
+    ("    try:\n        x = int(a)\n    except:\n        pass", 4),
+    ('    password = "s3cr3t-{r}"', 1),
+    ("    fh = open(a)", 1),
+    ("    with open(a) as fh:\n        x = fh.read()", 2),
+    ('    api_token = "changeme"', 1),
+]
+LONG_FN_BODY = 54      # lines of `v = v + 1` in the long function
+BRANCHY_IFS = 16       # sequential ifs in the complex function
+
+
+def _py_block() -> Column:
+    kind = F.col("l_partkey") % 9
+    r = F.col("rn").cast("string")
+    stmt = F.lit(None).cast("string")
+    pad = F.lit(None).cast("int")
+    for i, (txt, n) in reversed(list(enumerate(PY_STATEMENTS))):
+        parts = txt.split("{r}")
+        t = F.concat(*[x for p in parts for x in (F.lit(p), r)][:-1]) if len(parts) > 1 else F.lit(txt)
+        stmt = F.when(kind == i, t).otherwise(stmt)
+        pad = F.when(kind == i, F.lit(7 - n)).otherwise(pad)
+    return F.concat(F.lit("def f_"), r, F.lit("(a, b):\n    x = a\n"), stmt, F.lit("\n    return x\n"),
+                    F.repeat(F.lit("\n"), pad))
+
+
+def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Python module per order: a 10-line function per line item whose
+    statement is chosen by l_partkey % 9, then a trailer with a 56-line
+    function (orders % 7 == 0), a 16-branch function (% 11 == 0), three
+    imports, a decorated class (% 3 == 0) or an async function (% 3 == 1),
+    and a syntax error (% 17 == 0)."""
+    li = lineitem_rn(spark, sf_dir)
+    blocks = (li.select("l_orderkey", "rn", _py_block().alias("b"))
+              .groupBy(F.col("l_orderkey").alias("file_id"))
+              .agg(F.array_join(F.array_sort(F.collect_list(F.struct("rn", "b")))["b"], "").alias("body")))
+    o = F.col("file_id")
+    long_fn = F.concat(F.lit("def long_"), o.cast("string"), F.lit("(v):\n"),
+                       F.repeat(F.lit("    v = v + 1\n"), LONG_FN_BODY), F.lit("    return v\n"))
+    branchy = F.concat(F.lit("def branchy(v):\n"), F.lit("".join(
+        f"    if v == {i}:\n        v = 0\n" for i in range(1, BRANCHY_IFS + 1))), F.lit("    return v\n"))
+    imports = F.lit("import os\nfrom . import sibling\nfrom pkg.sub import thing as t\n")
+    extra = (F.when(o % 3 == 0, F.concat(F.lit("@dataclass\nclass Model_"), o.cast("string"),
+                                        F.lit("(Base, mixins.Audit):\n    pass\n")))
+              .when(o % 3 == 1, F.concat(F.lit("async def fetch_"), o.cast("string"),
+                                         F.lit("(u):\n    return await get(u)\n"))).otherwise(""))
+    text = F.concat("body", F.when(o % 7 == 0, long_fn).otherwise(""), F.when(o % 11 == 0, branchy).otherwise(""),
+                    imports, extra, F.when(o % 17 == 0, F.lit("def broken(:\n")).otherwise(""))
+    return blocks.select("file_id", F.concat(F.lit("pkg/m"), o.cast("string"), F.lit(".py")).alias("path"),
+                         text.alias("content"))
