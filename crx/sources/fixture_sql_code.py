@@ -15,3 +15,17 @@ register("py_file_seed", """
   FROM (SELECT l_orderkey AS file_id, 'pkg/m' || l_orderkey::VARCHAR || '.py' AS path, l_orderkey % 17 <> 0 AS ok,
                CAST(10 * count(*) + 1 AS INT) AS T, l_orderkey % 7 = 0 AS has_long, l_orderkey % 11 = 0 AS has_branchy
         FROM lineitem GROUP BY l_orderkey)""")
+
+register("java_seed", """
+  SELECT l_orderkey AS file_id, 'src/C' || l_orderkey::VARCHAR || '.java' AS path, rn, l_partkey % 7 AS kind,
+         CAST(4 + 10 * (rn - 1) + 1 AS INT) AS S
+  FROM lineitem_rn""")
+
+register("java_file_seed", """
+  SELECT file_id, path, T, has_long, has_branchy, has_fail,
+         T + CASE WHEN has_long THEN 55 ELSE 0 END AS B,
+         T + CASE WHEN has_long THEN 55 ELSE 0 END + CASE WHEN has_branchy THEN 14 ELSE 0 END AS FL
+  FROM (SELECT l_orderkey AS file_id, 'src/C' || l_orderkey::VARCHAR || '.java' AS path,
+               CAST(4 + 10 * count(*) + 1 AS INT) AS T, l_orderkey % 7 = 0 AS has_long,
+               l_orderkey % 11 = 0 AS has_branchy, l_orderkey % 13 = 0 AS has_fail
+        FROM lineitem GROUP BY l_orderkey)""")

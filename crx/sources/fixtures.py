@@ -464,3 +464,52 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                     imports, extra, F.when(o % 17 == 0, F.lit("def broken(:\n")).otherwise(""))
     return blocks.select("file_id", F.concat(F.lit("pkg/m"), o.cast("string"), F.lit(".py")).alias("path"),
                          text.alias("content"))
+
+
+# Java statement templates for generated sources, by l_partkey % 7: (text, lines).
+JAVA_STATEMENTS = [
+    ("        Runtime.getRuntime().exec(cmd);", 1),
+    ("        Object o = in.readObject();", 1),
+    ('        stmt.executeQuery("SELECT * FROM t WHERE id = " + cmd);', 1),
+    ("        FileReader fr = new FileReader(cmd);", 1),
+    ('        String password = "s3cr3t{r}";', 1),
+    ("        try (BufferedReader br = new BufferedReader(new FileReader(cmd))) {\n"
+     "            x = br.readLine();\n        }", 3),
+    ('        Runtime.getRuntime().exec("ls");', 1),
+]
+JAVA_HEADER_LINES = 4
+JAVA_LONG_BODY = 53
+JAVA_BRANCHES = 11
+
+
+def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Java class per order: a 10-line method per line item whose
+    statement is chosen by l_partkey % 7, then a 55-line method (orders % 7 ==
+    0), an 11-branch method (% 11 == 0) and an undeclared throw (% 13 == 0)."""
+    li = lineitem_rn(spark, sf_dir)
+    kind = F.col("l_partkey") % 7
+    r = F.col("rn").cast("string")
+    stmt = F.lit(None).cast("string")
+    pad = F.lit(None).cast("int")
+    for i, (txt, n) in reversed(list(enumerate(JAVA_STATEMENTS))):
+        parts = txt.split("{r}")
+        t = F.concat(F.lit(parts[0]), r, F.lit(parts[1])) if len(parts) > 1 else F.lit(txt)
+        stmt = F.when(kind == i, t).otherwise(stmt)
+        pad = F.when(kind == i, F.lit(6 - n)).otherwise(pad)
+    block = F.concat(F.lit("    public String m"), r, F.lit("(String cmd, int n) throws Exception {\n"
+                                                              "        String x = cmd;\n"),
+                     stmt, F.lit("\n        return x;\n    }\n"), F.repeat(F.lit("\n"), pad))
+    blocks = (li.select("l_orderkey", "rn", block.alias("b"))
+              .groupBy(F.col("l_orderkey").alias("file_id"))
+              .agg(F.array_join(F.array_sort(F.collect_list(F.struct("rn", "b")))["b"], "").alias("body")))
+    o = F.col("file_id")
+    header = F.concat(F.lit("package demo;\nimport java.io.*;\nimport java.util.List;\npublic class C"), o.cast("string"),
+                      F.lit(" extends Base implements Runnable, Serializable {\n"))
+    long_m = F.lit("    public void longOne() {\n" + "        count++;\n" * JAVA_LONG_BODY + "    }\n")
+    branchy = F.lit("    public int branchy(int v) {\n" + "".join(
+        f"        if (v == {i}) {{ v = 0; }}\n" for i in range(1, JAVA_BRANCHES + 1)) + "        return v;\n    }\n")
+    fail = F.lit('    public void fail() {\n        throw new IllegalStateException("x");\n    }\n')
+    text = F.concat(header, F.col("body"), F.when(o % 7 == 0, long_m).otherwise(""),
+                    F.when(o % 11 == 0, branchy).otherwise(""), F.when(o % 13 == 0, fail).otherwise(""), F.lit("}\n"))
+    return blocks.select("file_id", F.concat(F.lit("src/C"), o.cast("string"), F.lit(".java")).alias("path"),
+                         text.alias("content"))
