@@ -124,7 +124,10 @@ def _is_literal(kind: Column) -> Column:
 
 
 def token_features(tokens: DataFrame) -> DataFrame:
-    """Neighbours, bracket levels and bracket partners for every token."""
+    """Neighbours, bracket levels, bracket partners and the running counts
+    the rules share (decision points, '+' tokens, non-literal tokens, binary
+    +/-), plus for every token the next '{' and ';' and, for '(' tokens, the
+    token after the matching ')'. Built once and materialised by callers."""
     w = Window.partitionBy("file_id").orderBy("idx")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     t = F.col("tok")
@@ -140,10 +143,31 @@ def token_features(tokens: DataFrame) -> DataFrame:
          .withColumn("blevel", F.when(t == "{", F.col("bd")).when(t == "}", F.col("bd") + 1))
     pw = Window.partitionBy("file_id", "plevel").orderBy("idx")
     bw = Window.partitionBy("file_id", "blevel").orderBy("idx")
-    return f.select(
+    f = f.select(
         "*",
         F.when((t == "(") & (F.lead("tok", 1).over(pw) == ")"), F.lead("idx", 1).over(pw)).alias("pmatch"),
         F.when((t == "{") & (F.lead("tok", 1).over(bw) == "}"), F.lead("idx", 1).over(bw)).alias("bmatch"))
+    # 'while' that closes a do-block; token right after each ')' partner
+    do_close = f.filter((t == "{") & (F.col("prev") == "do")).select(
+        "file_id", (F.col("bmatch") + 1).alias("idx"), F.lit(True).alias("closes_do"))
+    after = f.select("file_id", (F.col("idx") - 1).alias("pmatch"), F.col("tok").alias("after_close"))
+    f = (f.join(do_close, ["file_id", "idx"], "left")
+         .withColumn("closes_do", F.coalesce(F.col("closes_do"), F.lit(False)))
+         .join(after, ["file_id", "pmatch"], "left"))
+    f = f.withColumn("after_close", F.when(t == "(", F.col("after_close")))
+    fw = w.rowsBetween(0, Window.unboundedFollowing)
+    prev = F.coalesce(F.col("prev"), F.lit(""))
+
+    def csum(cond):
+        return F.sum(F.when(cond, 1).otherwise(0)).over(run)
+    return f.select(
+        "*",
+        F.first(F.when(t == "{", F.col("idx")), ignorenulls=True).over(fw).alias("next_lbrace"),
+        F.first(F.when(t == ";", F.col("idx")), ignorenulls=True).over(fw).alias("next_semi"),
+        F.sum(_decision_weight()).over(run).alias("C"),
+        csum(t == "+").alias("plus_pc"),
+        csum(~_is_literal(F.col("kind")) & ~t.isin(",", "-", "+")).alias("nonlit_pc"),
+        csum(t.isin("-", "+") & ~prev.isin("(", ",")).alias("binop_pc"))
 
 
 def _at(feat: DataFrame, idx_col: str, cols: dict[str, str]) -> DataFrame:
@@ -153,18 +177,13 @@ def _at(feat: DataFrame, idx_col: str, cols: dict[str, str]) -> DataFrame:
 
 def _after_close(feat: DataFrame) -> DataFrame:
     """For '(' tokens: the token right after the matching ')'."""
-    opens = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch")
-    nxt = feat.select("file_id", (F.col("idx") - 1).alias("pmatch"), F.col("tok").alias("after_close"),
-                      F.col("line").alias("close_line"))
-    return opens.join(nxt, ["file_id", "pmatch"], "left")
+    return feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch",
+                                                   "after_close")
 
 
 def _next_open_brace(feat: DataFrame) -> DataFrame:
     """For every token: index of the next '{' and of the next ';' at or after it."""
-    w = Window.partitionBy("file_id").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
-    return feat.select("file_id", "idx",
-                       F.first(F.when(F.col("tok") == "{", F.col("idx")), ignorenulls=True).over(w).alias("next_lbrace"),
-                       F.first(F.when(F.col("tok") == ";", F.col("idx")), ignorenulls=True).over(w).alias("next_semi"))
+    return feat.select("file_id", "idx", "next_lbrace", "next_semi")
 
 
 def java_methods(feat: DataFrame) -> DataFrame:
@@ -194,36 +213,19 @@ def java_methods(feat: DataFrame) -> DataFrame:
                     "body_open", "body_close", (F.col("after_close") == "throws").alias("has_throws"))
 
 
-def _prefix(feat: DataFrame, weight: Column, name: str) -> DataFrame:
-    """Running sum of `weight` per file (value at each idx, inclusive)."""
-    w = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return feat.select("file_id", "idx", F.sum(weight).over(w).alias(name))
-
-
-def _decision_weight(feat: DataFrame) -> Column:
+def _decision_weight() -> Column:
     t, prev, nxt = F.col("tok"), F.coalesce(F.col("prev"), F.lit("")), F.coalesce(F.col("next"), F.lit(""))
-    case_group = t.isin("case") & (prev != ":") | ((t == "default") & (nxt == ":") & (prev != ":"))
+    case_group = (t == "case") & (prev != ":") | ((t == "default") & (nxt == ":") & (prev != ":"))
     ternary = (t == "?") & ~prev.isin("<", ",") & ~nxt.isin(">", "extends", "super", ",")
-    do_while = (t == "while") & (F.col("closes_do"))
     return (F.when(t.isin("if", "for", "do", "catch", "&&", "||") | case_group | ternary, 1)
-             .when((t == "while") & ~do_while, 1).otherwise(0))
-
-
-def _with_do_closers(feat: DataFrame) -> DataFrame:
-    """Mark 'while' tokens that close a do-block (do { ... } while)."""
-    do_blocks = feat.filter((F.col("tok") == "{") & (F.col("prev") == "do")).select(
-        "file_id", (F.col("bmatch") + 1).alias("idx"), F.lit(True).alias("closes_do"))
-    return feat.join(do_blocks, ["file_id", "idx"], "left").withColumn(
-        "closes_do", F.coalesce(F.col("closes_do"), F.lit(False)))
+             .when((t == "while") & ~F.col("closes_do"), 1).otherwise(0))
 
 
 def java_complexity(feat: DataFrame, methods: DataFrame) -> DataFrame:
     """1 + decision tokens and && / || inside each method body (nested
-    bodies included), from prefix sums at the two braces."""
-    fd = _with_do_closers(feat)
-    C = _prefix(fd, _decision_weight(fd), "C")
-    a = C.select("file_id", F.col("idx").alias("body_open"), F.col("C").alias("c0"))
-    b = C.select("file_id", F.col("idx").alias("body_close"), F.col("C").alias("c1"))
+    bodies included), from the running count at the two braces."""
+    a = feat.select("file_id", F.col("idx").alias("body_open"), F.col("C").alias("c0"))
+    b = feat.select("file_id", F.col("idx").alias("body_close"), F.col("C").alias("c1"))
     m = methods.join(a, ["file_id", "body_open"], "left").join(b, ["file_id", "body_close"], "left")
     return m.withColumn("complexity", (F.coalesce(F.col("c1") - F.col("c0"), F.lit(0)) + 1).cast("int"))
 
@@ -233,65 +235,53 @@ def _method_end_line(feat: DataFrame, methods: DataFrame) -> DataFrame:
     return methods.join(last, ["file_id", "body_close"], "left")
 
 
-def _calls(feat: DataFrame, names: list[str] | None = None) -> DataFrame:
+def _calls(feat: DataFrame, names: list[str] | None = None, methods: DataFrame | None = None) -> DataFrame:
     """Method invocations: identifier + '(' that is not a declaration, not a
     constructor call and not a keyword construct."""
     c = feat.filter((F.col("kind") == "ident") & (F.col("next") == "(")
                     & ~F.coalesce(F.col("prev"), F.lit("")).isin("new"))
     if names is not None:
         c = c.filter(F.col("tok").isin(names))
-    decl = java_methods(feat).select("file_id", F.col("name_idx").alias("idx"))
+    decl = (methods if methods is not None else java_methods(feat)).select("file_id", F.col("name_idx").alias("idx"))
     return c.join(decl, ["file_id", "idx"], "left_anti").withColumn("open_idx", F.col("idx") + 1)
 
 
 def _call_args(feat: DataFrame, calls: DataFrame) -> DataFrame:
-    """Per call: argument count, whether every argument is a (signed) literal,
-    and the number of '+' tokens in the argument span."""
+    """Per call: argument token count, whether every argument token is a
+    (signed) literal, and the number of '+' tokens in the argument span, from
+    the running counts at the two parentheses (no call x token pairs)."""
     op = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch",
-                                                 F.col("plevel").alias("lvl"))
-    c = calls.select("file_id", "path", "idx", "tok", "line", "open_idx").join(op, ["file_id", "open_idx"])
-    # argument tokens: strictly inside (open, close); top-level commas at lvl
-    inside = feat.select("file_id", F.col("idx").alias("j"), "tok", "kind", "pd", "prev")
-    # prefix sums give per-span counts without pairing calls with tokens
-    w = Window.partitionBy("file_id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    pre = inside.select("file_id", "j",
-                        F.sum(F.when(F.col("tok") == "+", 1).otherwise(0)).over(w).alias("plus"),
-                        F.sum(F.when(~_is_literal(F.col("kind")) & ~F.col("tok").isin(",", "-", "+"), 1).otherwise(0))
-                        .over(w).alias("nonlit"),
-                        F.sum(F.when(F.col("tok").isin("-", "+") & ~F.coalesce(F.col("prev"), F.lit("")).isin("(", ","), 1)
-                              .otherwise(0)).over(w).alias("binop"))
-    s0 = pre.select("file_id", F.col("j").alias("open_idx"), F.col("plus").alias("p0"),
-                    F.col("nonlit").alias("n0"), F.col("binop").alias("b0"))
-    s1 = pre.select("file_id", (F.col("j") + 1).alias("pmatch"), F.col("plus").alias("p1"),
-                    F.col("nonlit").alias("n1"), F.col("binop").alias("b1"))
-    c = c.join(s0, ["file_id", "open_idx"]).join(s1, ["file_id", "pmatch"])
+                                                 F.col("plus_pc").alias("p0"), F.col("nonlit_pc").alias("n0"),
+                                                 F.col("binop_pc").alias("b0"))
+    cl = feat.select("file_id", (F.col("idx") + 1).alias("pmatch"), F.col("plus_pc").alias("p1"),
+                     F.col("nonlit_pc").alias("n1"), F.col("binop_pc").alias("b1"))
+    c = (calls.select("file_id", "path", "idx", "tok", "line", "open_idx")
+         .join(op, ["file_id", "open_idx"]).join(cl, ["file_id", "pmatch"]))
     return c.select("*", (F.col("pmatch") - F.col("open_idx") - 1).alias("n_arg_tokens"),
                     (F.col("p1") - F.col("p0")).alias("n_plus"),
                     ((F.col("n1") - F.col("n0")) == 0).alias("all_literal_tokens"),
                     (F.col("b1") - F.col("b0")).alias("n_binop"))
 
 
-def rule_java_command_injection(feat: DataFrame) -> DataFrame:
-    c = _call_args(feat, _calls(feat, ["exec"]))
+def rule_java_command_injection(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    c = _call_args(feat, _calls(feat, ["exec"], methods))
     unsafe = (F.col("n_arg_tokens") > 0) & ~(F.col("all_literal_tokens") & (F.col("n_binop") == 0))
     return _finding(c.filter(unsafe), "command_injection")
 
 
-def rule_java_unsafe_deserial(feat: DataFrame) -> DataFrame:
-    return _finding(_calls(feat, DESERIAL_METHODS), "unsafe_deserial")
+def rule_java_unsafe_deserial(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    return _finding(_calls(feat, DESERIAL_METHODS, methods), "unsafe_deserial")
 
 
-def rule_java_sql_concat(feat: DataFrame) -> DataFrame:
+def rule_java_sql_concat(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """A '+' in the arguments, unless it is a single '+' between two literal
     tokens that make up the whole argument."""
-    c = _call_args(feat, _calls(feat, SQL_METHODS))
+    c = _call_args(feat, _calls(feat, SQL_METHODS, methods))
     plus = feat.filter(F.col("tok") == "+").select(
         "file_id", F.col("idx").alias("plus_idx"), F.col("prev_kind").alias("lk"), F.col("next_kind").alias("rk"),
         F.col("prev2").alias("before"), F.col("next2").alias("after"))
     single = c.filter(F.col("n_plus") == 1)
-    # the single '+' of the span: find it with a prefix-sum position (plus count changes at it)
-    w = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    pos = feat.select("file_id", "idx", "tok", F.sum(F.when(F.col("tok") == "+", 1).otherwise(0)).over(w).alias("pc"))
+    pos = feat.select("file_id", "idx", "tok", F.col("plus_pc").alias("pc"))
     plus_at = pos.filter(F.col("tok") == "+").select("file_id", F.col("pc").alias("p_target"),
                                                       F.col("idx").alias("plus_idx"))
     first_plus = (single.select("file_id", "idx", (F.col("p0") + 1).alias("p_target"))
@@ -315,7 +305,7 @@ def _inside_marks(feat: DataFrame, opens: DataFrame, name: str) -> DataFrame:
     return f.select("file_id", "idx", (F.coalesce(F.sum("m").over(w), F.lit(0)) > 0).alias(name))
 
 
-def rule_java_resource_leak(feat: DataFrame) -> DataFrame:
+def rule_java_resource_leak(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """`new` of a resource type not inside a try-with-resources header."""
     tr = feat.filter((F.col("tok") == "(") & (F.col("prev") == "try")).select(
         "file_id", F.col("idx").alias("open_idx"), F.col("pmatch").alias("close_idx"))
@@ -324,7 +314,7 @@ def rule_java_resource_leak(feat: DataFrame) -> DataFrame:
     return _finding(news.join(inside, ["file_id", "idx"]).filter(~F.col("in_try_res")), "resource_leak")
 
 
-def rule_java_hardcoded_secret(feat: DataFrame) -> DataFrame:
+def rule_java_hardcoded_secret(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """A declared variable (type before the name) whose name contains a secret
     word, initialised by one literal token (numbers count); the value, with
     quotes stripped, is longer than one character and not a test value."""
@@ -340,31 +330,33 @@ def rule_java_hardcoded_secret(feat: DataFrame) -> DataFrame:
     return _finding(d, "hardcoded_secret", [F.col("tok")], [F.col("tok")])
 
 
-def _method_rows(feat: DataFrame) -> DataFrame:
-    m = java_methods(feat)
+def _method_rows(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    m = methods if methods is not None else java_methods(feat)
     m = java_complexity(feat, m)
     m = _method_end_line(feat, m)
     return m.withColumn("idx", F.col("name_idx"))
 
 
-def rule_java_complexity(feat: DataFrame, limit: int = COMPLEXITY_LIMIT) -> DataFrame:
-    m = _method_rows(feat).filter(F.col("complexity") > limit)
+def rule_java_complexity(feat: DataFrame, methods: DataFrame | None = None,
+                         limit: int = COMPLEXITY_LIMIT) -> DataFrame:
+    m = _method_rows(feat, methods).filter(F.col("complexity") > limit)
     return _finding(m, "complexity", [F.col("complexity"), F.col("name")],
                     [F.col("name"), F.col("complexity"), F.lit(limit)])
 
 
-def rule_java_method_length(feat: DataFrame, limit: int = LENGTH_LIMIT) -> DataFrame:
+def rule_java_method_length(feat: DataFrame, methods: DataFrame | None = None,
+                            limit: int = LENGTH_LIMIT) -> DataFrame:
     """last token line of the body - start line > limit (no +1)."""
-    m = _method_rows(feat).withColumn("span", F.col("end_line") - F.col("line")).filter(F.col("span") > limit)
+    m = _method_rows(feat, methods).withColumn("span", F.col("end_line") - F.col("line")).filter(F.col("span") > limit)
     return _finding(m, "method_length", [F.col("name"), F.col("span")], [F.col("name"), F.col("span"), F.lit(limit)],
                     line_end="end_line")
 
 
-def rule_java_unhandled_exception(feat: DataFrame) -> DataFrame:
+def rule_java_unhandled_exception(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """`throw` whose innermost enclosing method has no throws clause and that
     is not inside a try block. The innermost method of a token at method depth
     d is the latest method opened at level d before it."""
-    m = java_methods(feat).filter(F.col("body_open").isNotNull())
+    m = (methods if methods is not None else java_methods(feat)).filter(F.col("body_open").isNotNull())
     spans = m.select("file_id", F.col("body_open").alias("open_idx"), F.col("body_close").alias("close_idx"))
     # method depth per token (number of open method bodies)
     marks = (spans.select("file_id", F.col("open_idx").alias("idx"), F.lit(1).alias("m"))
@@ -397,7 +389,10 @@ JAVA_RULES = [rule_java_command_injection, rule_java_unsafe_deserial, rule_java_
 
 
 def rule_scan_java(feat: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), [r(feat) for r in JAVA_RULES])
+    """All Java rules; the declaration table they share is written once."""
+    from crx.plans.session import cut_lineage
+    methods = cut_lineage(java_methods(feat))
+    return reduce(lambda a, b: a.unionByName(b), [r(feat, methods) for r in JAVA_RULES])
 
 
 def java_structure(feat: DataFrame) -> dict[str, DataFrame]:

@@ -152,3 +152,11 @@ def with_fixtures(sql: str) -> str:
 def sql_str(s: str) -> str:
     """A DuckDB string expression for the Python string `s`."""
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+# Python str.splitlines() in DuckDB: split on every line boundary, drop the
+# empty piece after a trailing boundary.
+SPLITLINES_SQL = r"""list_slice(regexp_split_to_array({t}, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), 1,
+  CASE WHEN regexp_split_to_array({t}, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]')[-1] = ''
+       THEN len(regexp_split_to_array({t}, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) - 1
+       ELSE len(regexp_split_to_array({t}, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) END)"""

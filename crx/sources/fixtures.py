@@ -513,3 +513,19 @@ def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(o % 11 == 0, branchy).otherwise(""), F.when(o % 13 == 0, fail).otherwise(""), F.lit("}\n"))
     return blocks.select("file_id", F.concat(F.lit("src/C"), o.cast("string"), F.lit(".java")).alias("path"),
                          text.alias("content"))
+
+
+JAVA_FILE_ID_OFFSET = 1_000_000_000_000
+
+
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python modules, Java classes (file ids offset) and the raw web pages as
+    .html files: a corpus where dispatch by suffix matters."""
+    py = python_sources(spark, sf_dir)
+    jv = java_sources(spark, sf_dir).withColumn("file_id", F.col("file_id") + JAVA_FILE_ID_OFFSET)
+    pages = _t(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("file_id"),
+        F.concat(F.lit("pages/p"), F.col("page_id").cast("string"),
+                 F.when(F.col("page_id") % 2 == 0, F.lit(".html")).otherwise(F.lit(".PY"))).alias("path"),
+        F.col("html").alias("content")).withColumn("file_id", F.col("file_id") + 2 * JAVA_FILE_ID_OFFSET)
+    return py.unionByName(jv).unionByName(pages)
