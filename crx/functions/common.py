@@ -36,3 +36,16 @@ def round_half_even_ratio(num: Column, den: Column, digits: int = 1) -> Column:
            .when(rem * 2 < den, q)
            .otherwise(q + q % 2))
     return F.when(den == 0, F.lit(0.0)).otherwise(up.cast("double") / scale)
+
+
+def ntz_to_instant(ts_ntz: Column) -> Column:
+    """A TIMESTAMP_NTZ wall-clock value as the TIMESTAMP instant with the same
+    UTC reading, independent of the session time zone (watermarks and
+    windows need TIMESTAMP)."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts_ntz)
+    return F.timestamp_micros(micros)
+
+
+def instant_utc_date(ts: Column) -> Column:
+    """The UTC calendar date of an instant, independent of the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int"))

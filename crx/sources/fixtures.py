@@ -529,3 +529,80 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.when(F.col("page_id") % 2 == 0, F.lit(".html")).otherwise(F.lit(".PY"))).alias("path"),
         F.col("html").alias("content")).withColumn("file_id", F.col("file_id") + 2 * JAVA_FILE_ID_OFFSET)
     return py.unionByName(jv).unionByName(pages)
+
+
+# Comment bodies of the generated issue comments (by k % 8).
+COMMENT_BODIES = ["/review", "/review focus:security", "/review focus:security,logic", "/REVIEW focus:bogus",
+                  " looks good ", "/review please", "/Review focus:Style", "  /review focus:style,bogus\n"]
+
+
+def webhook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook deliveries from `events`: purchase -> pull_request (opened /
+    reopened / closed by k % 3), click -> synchronize, view -> issue_comment,
+    error -> installation(_repositories), signup -> ping. k comes from props."""
+    e = _t(spark, sf_dir, "events")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    geo = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").cast("long").alias("nkey"), F.lower("r_name").alias("g_owner"), F.lower("n_name").alias("g_repo"))
+    k = F.regexp_extract(F.col("props"), r"(\d+)", 1).cast("long")
+    e = e.withColumn("k", k).withColumn("nkey", F.col("user_id") % 30).join(geo, "nkey", "left")
+    et = F.col("event_type")
+    ev_type = (F.when(et.isin("purchase", "click"), "pull_request").when(et == "view", "issue_comment")
+                .when(et == "error", F.when(F.col("k") % 2 == 0, "installation_repositories").otherwise("installation"))
+                .otherwise("ping"))
+    kk = F.col("k")
+    action = (F.when(et == "purchase", _pick(["opened", "reopened", "closed"], kk % 3))
+               .when(et == "click", F.lit("synchronize"))
+               .when(et == "view", F.when(kk % 2 == 0, "created").otherwise("edited"))
+               .when(et == "error", F.lit("created")))
+    repo = F.struct(F.coalesce(F.col("g_repo"), F.concat(F.lit("repo"), F.col("nkey").cast("string"))).alias("name"),
+                    F.struct(F.coalesce(F.col("g_owner"), F.lit("ghost")).alias("login")).alias("owner"))
+    sender = F.struct(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("login"))
+    install = F.when(kk % 4 != 0, F.struct(kk.alias("id")))
+    pr = F.struct(F.when(kk % 4 != 0, F.col("event_id")).otherwise(F.lit(0)).alias("number"),
+                  F.concat(F.lit("Change "), F.col("event_id").cast("string")).alias("title"))
+    url = F.concat(F.lit("https://api.example/repos/x/y/pulls/"),
+                   F.when(kk % 5 == 0, F.lit("abc")).otherwise(F.col("event_id").cast("string")))
+    issue = F.struct(F.col("event_id").alias("number"),
+                     F.when(kk % 7 != 0, F.struct(url.alias("url"))).alias("pull_request"))
+    comment = F.struct(_pick(COMMENT_BODIES, kk % len(COMMENT_BODIES)).alias("body"), F.col("event_id").alias("id"))
+    is_pr = et.isin("purchase", "click")
+    payload = F.to_json(F.struct(
+        action.alias("action"),
+        F.when(is_pr, F.col("event_id") + 1000000).alias("number"),
+        F.when(is_pr, pr).alias("pull_request"),
+        F.when(et == "view", issue).alias("issue"),
+        F.when(et == "view", comment).alias("comment"),
+        F.when(et != "error", repo).alias("repository"),
+        F.when(et != "signup", sender).alias("sender"),
+        F.when(et != "signup", install).alias("installation"),
+        F.when(et == "signup", F.lit("Keep it logically awesome.")).alias("zen")))
+    return e.select(F.col("event_id").alias("delivery_id"), ev_type.alias("event_type"), payload.alias("payload"),
+                    F.col("ts"))
+
+
+def collaborators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collaborators per repository: users whose id is even, for every nation
+    repository (a stream-static join partner)."""
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    c = _t(spark, sf_dir, "customer").filter(F.col("c_custkey") % 2 == 0).select("c_custkey", "c_nationkey")
+    return (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+            .select(F.lower("r_name").alias("owner"), F.lower("n_name").alias("repo"),
+                    F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("login")))
+
+
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review status changes: every order starts pending at its date and, unless
+    still open, ends completed (F) or failed (P) a day later."""
+    o = _t(spark, sf_dir, "orders")
+    start = o.select(F.col("o_orderkey").alias("review_id"), F.lit("pending").alias("status"),
+                     F.lit(None).cast("string").alias("error_message"), F.col("o_orderdate").alias("ts"),
+                     F.lit(0).alias("seq"))
+    end = o.filter(F.col("o_orderstatus") != "O").select(
+        F.col("o_orderkey").alias("review_id"),
+        F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("analysis failed")).alias("error_message"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(1).alias("seq"))
+    return start.unionByName(end)
