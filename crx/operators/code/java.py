@@ -155,15 +155,17 @@ def token_features(tokens: DataFrame) -> DataFrame:
          .withColumn("closes_do", F.coalesce(F.col("closes_do"), F.lit(False)))
          .join(after, ["file_id", "pmatch"], "left"))
     f = f.withColumn("after_close", F.when(t == "(", F.col("after_close")))
-    fw = w.rowsBetween(0, Window.unboundedFollowing)
+    # "next '{' / ';' at or after this token": a running frame over the
+    # reversed order (linear), not an unbounded-following frame (quadratic)
+    fw = Window.partitionBy("file_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     prev = F.coalesce(F.col("prev"), F.lit(""))
 
     def csum(cond):
         return F.sum(F.when(cond, 1).otherwise(0)).over(run)
     return f.select(
         "*",
-        F.first(F.when(t == "{", F.col("idx")), ignorenulls=True).over(fw).alias("next_lbrace"),
-        F.first(F.when(t == ";", F.col("idx")), ignorenulls=True).over(fw).alias("next_semi"),
+        F.last(F.when(t == "{", F.col("idx")), ignorenulls=True).over(fw).alias("next_lbrace"),
+        F.last(F.when(t == ";", F.col("idx")), ignorenulls=True).over(fw).alias("next_semi"),
         F.sum(_decision_weight()).over(run).alias("C"),
         csum(t == "+").alias("plus_pc"),
         csum(~_is_literal(F.col("kind")) & ~t.isin(",", "-", "+")).alias("nonlit_pc"),

@@ -289,3 +289,15 @@ def q_write_review(spark, d):
     base = _scratch(spark, "reviews_out")
     RD.write_review(X.review_records(spark, d), base, ("status",))
     return spark.read.parquet(base).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("load_webhook_stream", oracle="SELECT delivery_id, event_type, ts FROM wh_exp")
+def q_load_webhook_stream(spark, d):
+    """Deliveries as files, read as a stream (explicit schema, bounded files
+    per trigger) and appended unchanged to a parquet sink."""
+    base = _scratch(spark, "deliveries")
+    X.webhook_events(spark, d).repartition(4).write.parquet(f"{base}/in")
+    stream = RD.load_webhook_stream(spark, f"{base}/in", max_files=2)
+    S.run_available_now(stream.writeStream.format("parquet").option("path", f"{base}/out")
+                        .option("checkpointLocation", f"{base}/ckpt"), "load_webhook_stream")
+    return spark.read.parquet(f"{base}/out").select("delivery_id", "event_type", "ts")
