@@ -143,18 +143,19 @@ def token_features(tokens: DataFrame) -> DataFrame:
          .withColumn("blevel", F.when(t == "{", F.col("bd")).when(t == "}", F.col("bd") + 1))
     pw = Window.partitionBy("file_id", "plevel").orderBy("idx")
     bw = Window.partitionBy("file_id", "blevel").orderBy("idx")
+    # partners: the next bracket at the same level; for '(' also the token
+    # after its ')', for '}' whether its '{' follows `do` (no self-joins, so
+    # the token pipeline is computed once)
     f = f.select(
         "*",
         F.when((t == "(") & (F.lead("tok", 1).over(pw) == ")"), F.lead("idx", 1).over(pw)).alias("pmatch"),
-        F.when((t == "{") & (F.lead("tok", 1).over(bw) == "}"), F.lead("idx", 1).over(bw)).alias("bmatch"))
-    # 'while' that closes a do-block; token right after each ')' partner
-    do_close = f.filter((t == "{") & (F.col("prev") == "do")).select(
-        "file_id", (F.col("bmatch") + 1).alias("idx"), F.lit(True).alias("closes_do"))
-    after = f.select("file_id", (F.col("idx") - 1).alias("pmatch"), F.col("tok").alias("after_close"))
-    f = (f.join(do_close, ["file_id", "idx"], "left")
-         .withColumn("closes_do", F.coalesce(F.col("closes_do"), F.lit(False)))
-         .join(after, ["file_id", "pmatch"], "left"))
-    f = f.withColumn("after_close", F.when(t == "(", F.col("after_close")))
+        F.when((t == "(") & (F.lead("tok", 1).over(pw) == ")"), F.lead("next", 1).over(pw)).alias("after_close"))
+    f = f.select(
+        "*",
+        F.when((t == "{") & (F.lead("tok", 1).over(bw) == "}"), F.lead("idx", 1).over(bw)).alias("bmatch"),
+        ((t == "}") & (F.lag("tok", 1).over(bw) == "{") & (F.lag("prev", 1).over(bw) == "do")).alias("_do_close"))
+    f = f.withColumn("closes_do", (t == "while") & F.coalesce(F.lag("_do_close", 1).over(w), F.lit(False))) \
+         .drop("_do_close")
     # "next '{' / ';' at or after this token": a running frame over the
     # reversed order (linear), not an unbounded-following frame (quadratic)
     fw = Window.partitionBy("file_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)

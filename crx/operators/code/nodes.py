@@ -125,10 +125,11 @@ _COLS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows: list[tuple] = []
-        for fid, path, content in zip(pdf["file_id"], pdf["path"], pdf["content"]):
+        for fid, path, content in zip(pdf["file_id"].tolist(), pdf["path"].tolist(), pdf["content"].tolist()):
             rows.extend(_rows(int(fid), path, content if isinstance(content, str) else ""))
         if rows:
-            yield pd.DataFrame.from_records(rows, columns=_COLS)
+            cols = list(zip(*rows))
+            yield pd.DataFrame({name: list(vals) for name, vals in zip(_COLS, cols)})
 
 
 def code_scan(sources: DataFrame) -> DataFrame:
