@@ -16,7 +16,7 @@ from crx.functions.text import line_count
 from crx.operators.code import java as J
 from crx.operators.code import nodes as N
 from crx.operators.code import python as P
-from crx.plans.session import cut_lineage
+from crx.plans.materialize import stored
 
 # File suffixes per language (case-sensitive).
 LANGUAGE_SUFFIXES = {"python": [".py", ".pyx", ".pyi"], "java": [".java"]}
@@ -60,8 +60,10 @@ def analyzer_dispatch(files: DataFrame, registry: dict[str, Extractor] | None =
     for lang, ex in reg.items():
         branch = f.filter(F.col("language") == lang).select("file_id", "path", "content")
         # every rule reads the language table: write it once to the shared
-        # checkpoint folder instead of re-running the scan per rule
-        table = cut_lineage(ex.scan(branch))
+        # checkpoint folder instead of re-running the scan per rule; the same
+        # sources dispatched again in this session reuse it (keyed by plan)
+        table = stored(files.sparkSession, f"scan_{lang}", str(branch.semanticHash()),
+                       lambda ex=ex, branch=branch: ex.scan(branch))
         parts.append(ex.rules(table).withColumn("language", F.lit(lang)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -143,50 +143,50 @@ def token_features(tokens: DataFrame) -> DataFrame:
          .withColumn("blevel", F.when(t == "{", F.col("bd")).when(t == "}", F.col("bd") + 1))
     pw = Window.partitionBy("file_id", "plevel").orderBy("idx")
     bw = Window.partitionBy("file_id", "blevel").orderBy("idx")
+    # "next '{' / ';' at or after this token": a running frame over the
+    # reversed order (linear), not an unbounded-following frame (quadratic)
+    fw = Window.partitionBy("file_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    f = f.select(
+        "*",
+        F.last(F.when(t == "{", F.col("idx")), ignorenulls=True).over(fw).alias("next_lbrace"),
+        F.last(F.when(t == ";", F.col("idx")), ignorenulls=True).over(fw).alias("next_semi"))
     # partners: the next bracket at the same level; for '(' also the token
-    # after its ')', for '}' whether its '{' follows `do` (no self-joins, so
-    # the token pipeline is computed once)
+    # after its ')' and the next '{' / ';' from there; for '}' whether its '{'
+    # follows `do` (no self-joins, so the token pipeline is computed once)
+    closes = (t == "(") & (F.lead("tok", 1).over(pw) == ")")
     f = f.select(
         "*",
-        F.when((t == "(") & (F.lead("tok", 1).over(pw) == ")"), F.lead("idx", 1).over(pw)).alias("pmatch"),
-        F.when((t == "(") & (F.lead("tok", 1).over(pw) == ")"), F.lead("next", 1).over(pw)).alias("after_close"))
+        F.when(closes, F.lead("idx", 1).over(pw)).alias("pmatch"),
+        F.when(closes, F.lead("next", 1).over(pw)).alias("after_close"),
+        F.when(closes, F.lead("next_lbrace", 1).over(pw)).alias("close_next_lbrace"),
+        F.when(closes, F.lead("next_semi", 1).over(pw)).alias("close_next_semi"))
     f = f.select(
         "*",
         F.when((t == "{") & (F.lead("tok", 1).over(bw) == "}"), F.lead("idx", 1).over(bw)).alias("bmatch"),
         ((t == "}") & (F.lag("tok", 1).over(bw) == "{") & (F.lag("prev", 1).over(bw) == "do")).alias("_do_close"))
     f = f.withColumn("closes_do", (t == "while") & F.coalesce(F.lag("_do_close", 1).over(w), F.lit(False))) \
          .drop("_do_close")
-    # "next '{' / ';' at or after this token": a running frame over the
-    # reversed order (linear), not an unbounded-following frame (quadratic)
-    fw = Window.partitionBy("file_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     prev = F.coalesce(F.col("prev"), F.lit(""))
 
     def csum(cond):
         return F.sum(F.when(cond, 1).otherwise(0)).over(run)
-    return f.select(
+
+    def last_idx(cond):
+        return F.last(F.when(cond, F.col("idx")), ignorenulls=True).over(run)
+    is_class = (t == "class") & (F.col("next_kind") == "ident") & (prev != ".")
+    f = f.select(
         "*",
-        F.last(F.when(t == "{", F.col("idx")), ignorenulls=True).over(fw).alias("next_lbrace"),
-        F.last(F.when(t == ";", F.col("idx")), ignorenulls=True).over(fw).alias("next_semi"),
         F.sum(_decision_weight()).over(run).alias("C"),
         csum(t == "+").alias("plus_pc"),
         csum(~_is_literal(F.col("kind")) & ~t.isin(",", "-", "+")).alias("nonlit_pc"),
-        csum(t.isin("-", "+") & ~prev.isin("(", ",")).alias("binop_pc"))
-
-
-def _at(feat: DataFrame, idx_col: str, cols: dict[str, str]) -> DataFrame:
-    """Columns of the token at position `idx_col` (equi-join on file, idx)."""
-    return feat.select("file_id", F.col("idx").alias(idx_col), *[F.col(k).alias(v) for k, v in cols.items()])
-
-
-def _after_close(feat: DataFrame) -> DataFrame:
-    """For '(' tokens: the token right after the matching ')'."""
-    return feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch",
-                                                   "after_close")
-
-
-def _next_open_brace(feat: DataFrame) -> DataFrame:
-    """For every token: index of the next '{' and of the next ';' at or after it."""
-    return feat.select("file_id", "idx", "next_lbrace", "next_semi")
+        csum(t.isin("-", "+") & ~prev.isin("(", ",")).alias("binop_pc"),
+        # running context used by the structure queries
+        F.sum(F.when(t == "<", 1).when(t == ">", -1).otherwise(0)).over(run).alias("ad"),
+        last_idx(is_class).alias("class_last"), last_idx(t == "{").alias("lbrace_last"),
+        last_idx(t == "import").alias("import_last"), last_idx(t == ";").alias("semi_last"))
+    # the '(' that opened the paren level a token sits at
+    lw = Window.partitionBy("file_id", "pd").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return f.withColumn("opener", F.last(F.when(t == "(", F.col("idx")), ignorenulls=True).over(lw))
 
 
 def java_methods(feat: DataFrame) -> DataFrame:
@@ -197,15 +197,15 @@ def java_methods(feat: DataFrame) -> DataFrame:
                        & ~F.coalesce(F.col("prev"), F.lit("")).isin("new", ".", "::"))
     cand = cand.select("file_id", "path", F.col("idx").alias("name_idx"), F.col("tok").alias("name"), "line",
                        "prev", "prev_kind", (F.col("idx") + 1).alias("open_idx"))
-    ac = _after_close(feat)
+    ac = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch", "after_close",
+                                                 F.col("close_next_lbrace").alias("next_lbrace"),
+                                                 F.col("close_next_semi").alias("next_semi"))
     j = cand.join(ac, ["file_id", "open_idx"])
     typeish = F.col("prev_kind").isin("ident") | F.col("prev").isin(PRIMITIVES + ["void", ">", "]"])
     ctor_ctx = F.coalesce(F.col("prev"), F.lit("")).isin("public", "private", "protected", "{", "}", ";", "")
     decl = (F.col("after_close").isin("{", "throws") & (typeish | ctor_ctx)) | \
            ((F.col("after_close") == ";") & typeish & (F.col("prev") != "return"))
     m = j.filter(decl & (F.col("prev") != "return") & (F.col("prev") != "else"))
-    nb = _next_open_brace(feat).select("file_id", F.col("idx").alias("pmatch"), "next_lbrace", "next_semi")
-    m = m.join(nb, ["file_id", "pmatch"], "left")
     has_body = F.col("after_close").isin("{", "throws") & F.col("next_lbrace").isNotNull() & \
         (F.coalesce(F.col("next_semi"), F.lit(1 << 30)) > F.col("next_lbrace"))
     m = m.withColumn("body_open", F.when(has_body, F.col("next_lbrace")))
@@ -398,79 +398,59 @@ def rule_scan_java(feat: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [r(feat, methods) for r in JAVA_RULES])
 
 
-def java_structure(feat: DataFrame) -> dict[str, DataFrame]:
+def java_structure(feat: DataFrame, methods: DataFrame | None = None) -> dict[str, DataFrame]:
     """imports, classes (bases: extends first, then implements), methods and
-    constructors (parameter names, return type, annotations), calls. Lines are
-    token lines; line_end = line_start and complexity 1, as the reference."""
-    imp = feat.filter((F.col("tok") == "import") & ((F.col("prev").isNull()) | (F.col("prev") == ";")))
-    semi = _next_open_brace(feat).select("file_id", F.col("idx").alias("imp_idx"), "next_semi")
-    imp = imp.select("file_id", "path", F.col("idx").alias("imp_idx"), "line").join(semi, ["file_id", "imp_idx"])
-    # tokens of each import statement: tagged with the latest `import` before them
-    stmt = feat.select("file_id", "idx", "tok", F.last(F.when(F.col("tok") == "import", F.col("idx")), ignorenulls=True)
-                       .over(Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-                       .alias("imp_idx"))
-    parts = (stmt.join(imp.select("file_id", "imp_idx", "next_semi"), ["file_id", "imp_idx"])
-             .filter((F.col("idx") > F.col("imp_idx")) & (F.col("idx") < F.col("next_semi"))
-                     & (F.col("tok") != "static"))
-             .groupBy("file_id", "imp_idx").agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", "tok")))["tok"], "").alias("p")))
-    imports = imp.join(parts, ["file_id", "imp_idx"]).select(
-        "file_id", "path", F.col("imp_idx").alias("seq"), "line", F.regexp_replace("p", r"\.\*$", "").alias("import_path"))
-    methods = java_methods(feat)
-    # parameter names: last identifier before each top-level ',' or ')' of the list
-    params = _params(feat, methods)
-    meths = (methods.join(params, ["file_id", "name_idx"], "left")
+    constructors (parameter names, return type), calls. Lines are token lines;
+    line_end = line_start and complexity 1, as the reference. Everything is a
+    filter or a small join on the feature table's running context."""
+    t = F.col("tok")
+    # import statement tokens: after an `import` with no ';' since it
+    in_import = (F.col("import_last").isNotNull() & (F.col("idx") > F.col("import_last"))
+                 & (F.col("semi_last").isNull() | (F.col("semi_last") < F.col("import_last"))))
+    parts = (feat.filter(in_import & ~t.isin(";", "static"))
+             .groupBy("file_id", "import_last")
+             .agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", "tok")))["tok"], "").alias("p")))
+    imp = feat.filter(t == "import").select("file_id", "path", F.col("idx").alias("import_last"), "line")
+    imports = imp.join(parts, ["file_id", "import_last"]).select(
+        "file_id", "path", F.col("import_last").alias("seq"), "line",
+        F.regexp_replace("p", r"\.\*$", "").alias("import_path"))
+    m = methods if methods is not None else java_methods(feat)
+    params = _params(feat, m)
+    meths = (m.join(params, ["file_id", "name_idx"], "left")
              .select("file_id", "path", "name_idx", "name", F.col("line").alias("line_start"),
                      F.col("line").alias("line_end"),
                      F.coalesce("args", F.array().cast("array<string>")).alias("args"),
                      F.when(F.col("prev").isin("void", "public", "private", "protected", "{", "}", ";"), F.lit(None))
                       .when(F.col("prev").isin(">", "]"), F.lit(None)).otherwise(F.col("prev")).alias("returns"),
                      F.lit(1).alias("complexity")))
-    cls = feat.filter((F.col("tok") == "class") & (F.col("next_kind") == "ident")
-                      & ~F.coalesce(F.col("prev"), F.lit("")).isin("."))
-    classes = cls.select("file_id", "path", F.col("idx").alias("class_idx"), F.col("next").alias("name"),
-                         F.col("line").alias("line_start"), F.col("line").alias("line_end"))
-    # header tokens (class .. first '{'), tagged with the latest `class` token;
-    # bases: identifiers right after extends / implements / ',' at angle depth 0
-    nb = _next_open_brace(feat).select("file_id", F.col("idx").alias("class_idx"), "next_lbrace")
-    cw = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = feat.select(
-        "file_id", "idx", "tok", "kind", "prev",
-        F.last(F.when((F.col("tok") == "class") & (F.col("next_kind") == "ident"), F.col("idx")), ignorenulls=True)
-        .over(cw).alias("class_idx"),
-        F.sum(F.when(F.col("tok") == "<", 1).when(F.col("tok") == ">", -1).otherwise(0)).over(cw).alias("ad"))
-    hdr = tagged.join(nb, ["file_id", "class_idx"]).filter(
-        (F.col("idx") > F.col("class_idx")) & (F.col("idx") < F.col("next_lbrace")))
-    ad0 = tagged.select("file_id", F.col("idx").alias("class_idx"), F.col("ad").alias("ad0"))
-    bases = (hdr.join(ad0, ["file_id", "class_idx"])
-             .filter((F.col("kind") == "ident") & F.col("prev").isin("extends", "implements", ",")
-                     & (F.col("ad") == F.col("ad0")))
-             .groupBy("file_id", "class_idx")
+    cls = feat.filter((t == "class") & (F.col("next_kind") == "ident") & ~F.coalesce(F.col("prev"), F.lit("")).isin("."))
+    classes = cls.select("file_id", "path", F.col("idx").alias("class_last"), F.col("next").alias("name"),
+                         F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.col("ad").alias("ad0"))
+    # header tokens: after the class keyword, before the next '{'; bases are
+    # identifiers right after extends / implements / ',' at the class's angle depth
+    in_header = (F.col("class_last").isNotNull() & (F.col("idx") > F.col("class_last"))
+                 & (F.col("lbrace_last").isNull() | (F.col("lbrace_last") < F.col("class_last"))))
+    cand = feat.filter(in_header & (F.col("kind") == "ident") & F.col("prev").isin("extends", "implements", ","))
+    bases = (cand.join(classes.select("file_id", "class_last", "ad0"), ["file_id", "class_last"])
+             .filter(F.col("ad") == F.col("ad0"))
+             .groupBy("file_id", "class_last")
              .agg(F.array_sort(F.collect_list(F.struct("idx", "tok")))["tok"].alias("bases")))
-    classes = classes.join(bases, ["file_id", "class_idx"], "left").withColumn(
-        "bases", F.coalesce("bases", F.array().cast("array<string>")))
-    calls = _calls(feat).select("file_id", "path", F.col("idx").alias("seq"), F.col("tok").alias("member"),
-                                F.col("line"))
+    classes = (classes.join(bases, ["file_id", "class_last"], "left")
+               .withColumn("bases", F.coalesce("bases", F.array().cast("array<string>")))
+               .withColumnRenamed("class_last", "class_idx").drop("ad0"))
+    calls = _calls(feat, None, m).select("file_id", "path", F.col("idx").alias("seq"), F.col("tok").alias("member"),
+                                         F.col("line"))
     return {"imports": imports, "methods": meths, "classes": classes, "calls": calls}
 
 
 def _params(feat: DataFrame, methods: DataFrame) -> DataFrame:
     """Parameter names of each declaration: the identifier right before a ','
-    or ')' at the list's own paren level and angle depth 0."""
-    m = methods.select("file_id", "name_idx", "open_idx", "pmatch")
-    aw = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    f = feat.select("file_id", "idx", "tok", "kind", "pd", "next",
-                    F.sum(F.when(F.col("tok") == "<", 1).when(F.col("tok") == ">", -1).otherwise(0)).over(aw).alias("ad"))
-    # the list's level: tokens inside have pd equal to the opener's level; a
-    # parameter name is followed by ',' or the closing ')'
-    op = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), F.col("plevel").alias("lvl"))
-    m = m.join(op, ["file_id", "open_idx"])
-    # token -> its enclosing paren opener at the same level: track with level partition
-    lw = Window.partitionBy("file_id", "pd").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("opener", F.last(F.when(F.col("tok") == "(", F.col("idx")), ignorenulls=True).over(lw))
-    names = f.filter((F.col("kind") == "ident") & F.col("next").isin(",", ")"))
-    ad_open = f.select("file_id", F.col("idx").alias("opener"), F.col("ad").alias("ad0"))
-    j = names.join(m.select("file_id", F.col("open_idx").alias("opener"), "name_idx", "lvl"), ["file_id", "opener"]) \
-             .join(ad_open, ["file_id", "opener"]) \
-             .filter((F.col("pd") == F.col("lvl")) & (F.col("ad") == F.col("ad0")))
+    or ')' directly inside the parameter list (same paren level, same angle
+    depth as the list's '(')."""
+    op = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("opener"),
+                                                 F.col("plevel").alias("lvl"), F.col("ad").alias("ad0"))
+    m = methods.select("file_id", F.col("open_idx").alias("opener"), "name_idx").join(op, ["file_id", "opener"])
+    names = feat.filter((F.col("kind") == "ident") & F.col("next").isin(",", ")"))
+    j = names.join(m, ["file_id", "opener"]).filter((F.col("pd") == F.col("lvl")) & (F.col("ad") == F.col("ad0")))
     return j.groupBy("file_id", "name_idx").agg(
         F.array_sort(F.collect_list(F.struct("idx", "tok")))["tok"].alias("args"))

@@ -18,7 +18,9 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def stored(spark: SparkSession, name: str, key: str, build) -> DataFrame:
-    """Return table `name` for `key`, writing `build()` to parquet on first use."""
+    """Return table `name` for `key`, writing `build()` to parquet on first use
+    in this application (the write is the lineage cut: later readers and
+    retried tasks read files, not the plan that built them)."""
     sk = (spark.sparkContext.applicationId, f"{name}:{key}")
     path = _STORED.get(sk)
     if path is None:
