@@ -47,8 +47,16 @@ def register_extractor(language: str, scan: Callable[[DataFrame], DataFrame],
         LANGUAGE_SUFFIXES[language] = list(suffixes)
 
 
-register_extractor("python", N.code_scan, lambda scan: P.rule_scan_python(N.code_nodes(scan=scan)))
-register_extractor("java", lambda src: J.token_features(J.java_tokens(src)), J.rule_scan_java)
+def java_scan(sources: DataFrame) -> DataFrame:
+    return J.token_features(J.java_tokens(sources))
+
+
+def python_rules(scan: DataFrame) -> DataFrame:
+    return P.rule_scan_python(N.code_nodes(scan=scan))
+
+
+register_extractor("python", N.code_scan, python_rules)
+register_extractor("java", java_scan, J.rule_scan_java)
 
 
 def analyzer_dispatch(files: DataFrame, registry: dict[str, Extractor] | None = None) -> DataFrame:
@@ -56,14 +64,18 @@ def analyzer_dispatch(files: DataFrame, registry: dict[str, Extractor] | None =
     extractor get none. Output: finding rows with the file's language."""
     reg = REGISTRY if registry is None else registry
     f = detect_language(files)
+    langs = list(LANGUAGE_SUFFIXES)
     parts = []
     for lang, ex in reg.items():
         branch = f.filter(F.col("language") == lang).select("file_id", "path", "content")
         # every rule reads the language table: write it once to the shared
-        # checkpoint folder instead of re-running the scan per rule; the same
-        # sources dispatched again in this session reuse it (keyed by plan)
-        table = stored(files.sparkSession, f"scan_{lang}", str(branch.semanticHash()),
-                       lambda ex=ex, branch=branch: ex.scan(branch))
+        # checkpoint folder instead of re-running the scan per rule. The same
+        # files routed by the same suffixes to the same extractor reuse the
+        # table within the session, whatever the language is called.
+        pos = langs.index(lang) if lang in langs else -1
+        key = "|".join([str(files.semanticHash()), repr([LANGUAGE_SUFFIXES[x] for x in langs]), str(pos),
+                        f"{getattr(ex.scan, '__module__', '')}.{getattr(ex.scan, '__qualname__', repr(ex.scan))}"])
+        table = stored(files.sparkSession, "language_scan", key, lambda ex=ex, branch=branch: ex.scan(branch))
         parts.append(ex.rules(table).withColumn("language", F.lit(lang)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -297,23 +297,25 @@ def rule_java_sql_concat(feat: DataFrame, methods: DataFrame | None = None) -> D
     return _finding(flagged, "sql_concat")
 
 
-def _inside_marks(feat: DataFrame, opens: DataFrame, name: str) -> DataFrame:
-    """For every token, whether it lies strictly inside one of the spans
-    (open_idx, close_idx): prefix sum of +1 at opens and -1 at closes."""
+def _inside_marks(probes: DataFrame, opens: DataFrame, name: str) -> DataFrame:
+    """For each probe token (file_id, idx, ...), whether it lies strictly inside
+    one of the spans (open_idx, close_idx). The probes and the +1/-1 marks are
+    unioned and a running sum is taken over that small union only."""
     marks = (opens.select("file_id", F.col("open_idx").alias("idx"), F.lit(1).alias("m"))
-             .unionByName(opens.select("file_id", F.col("close_idx").alias("idx"), F.lit(-1).alias("m")))
-             .groupBy("file_id", "idx").agg(F.sum("m").alias("m")))
-    f = feat.select("file_id", "idx").join(marks, ["file_id", "idx"], "left")
-    w = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return f.select("file_id", "idx", (F.coalesce(F.sum("m").over(w), F.lit(0)) > 0).alias(name))
+             .unionByName(opens.select("file_id", F.col("close_idx").alias("idx"), F.lit(-1).alias("m"))))
+    ev = probes.select("file_id", "idx", F.lit(0).alias("m"), F.lit(True).alias("_probe")).unionByName(
+        marks.withColumn("_probe", F.lit(False)))
+    w = Window.partitionBy("file_id").orderBy("idx", "_probe").rowsBetween(Window.unboundedPreceding, -1)
+    ev = ev.withColumn(name, F.coalesce(F.sum("m").over(w), F.lit(0)) > 0)
+    return ev.filter("_probe").select("file_id", "idx", name)
 
 
 def rule_java_resource_leak(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """`new` of a resource type not inside a try-with-resources header."""
     tr = feat.filter((F.col("tok") == "(") & (F.col("prev") == "try")).select(
         "file_id", F.col("idx").alias("open_idx"), F.col("pmatch").alias("close_idx"))
-    inside = _inside_marks(feat, tr, "in_try_res")
     news = feat.filter((F.col("tok") == "new") & F.col("next").isin(RESOURCE_TYPES))
+    inside = _inside_marks(news, tr, "in_try_res")
     return _finding(news.join(inside, ["file_id", "idx"]).filter(~F.col("in_try_res")), "resource_leak")
 
 
@@ -357,33 +359,34 @@ def rule_java_method_length(feat: DataFrame, methods: DataFrame | None = None,
 
 def rule_java_unhandled_exception(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """`throw` whose innermost enclosing method has no throws clause and that
-    is not inside a try block. The innermost method of a token at method depth
-    d is the latest method opened at level d before it."""
+    is not inside a try block. Computed over a small event union per file
+    (method body opens/closes, try block opens/closes, throw tokens): the
+    method depth at a token is a running sum, and the innermost enclosing
+    method of a token at depth d is the latest method opened at level d."""
     m = (methods if methods is not None else java_methods(feat)).filter(F.col("body_open").isNotNull())
-    spans = m.select("file_id", F.col("body_open").alias("open_idx"), F.col("body_close").alias("close_idx"))
-    # method depth per token (number of open method bodies)
-    marks = (spans.select("file_id", F.col("open_idx").alias("idx"), F.lit(1).alias("m"))
-             .unionByName(spans.select("file_id", F.col("close_idx").alias("idx"), F.lit(-1).alias("m"))))
-    f = feat.select("file_id", "idx", "tok", "path", "line").join(marks, ["file_id", "idx"], "left")
+    throws = feat.filter(F.col("tok") == "throw").select("file_id", "idx", "path", "line")
+    opens = m.select("file_id", F.col("body_open").alias("idx"), F.lit(1).alias("m"),
+                     F.col("has_throws").alias("mthrows"))
+    closes = m.select("file_id", F.col("body_close").alias("idx"), F.lit(-1).alias("m"),
+                      F.lit(None).cast("boolean").alias("mthrows"))
+    ev = (throws.select("file_id", "idx", F.lit(0).alias("m"), F.lit(None).cast("boolean").alias("mthrows"))
+          .unionByName(opens).unionByName(closes))
     w = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("depth", F.coalesce(F.sum("m").over(w), F.lit(0)))
-    opens = m.select("file_id", F.col("body_open").alias("idx"), F.col("has_throws").alias("mthrows"))
-    lvl = f.join(opens, ["file_id", "idx"], "left")
+    ev = ev.withColumn("depth", F.sum("m").over(w))
     lw = Window.partitionBy("file_id", "depth").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    lvl = lvl.withColumn("enclosing_throws", F.last("mthrows", ignorenulls=True).over(lw))
+    ev = ev.withColumn("enclosing_throws", F.last("mthrows", ignorenulls=True).over(lw))
+    th = ev.filter((F.col("m") == 0) & (F.col("depth") > 0)).select("file_id", "idx", "enclosing_throws")
     # try blocks: the '{' after `try` or after a try-with-resources header
+    try_open = feat.filter((F.col("tok") == "{") & ((F.col("prev") == "try") | (F.col("prev") == ")")))
     tr_close = feat.filter((F.col("tok") == "(") & (F.col("prev") == "try")).select(
         "file_id", (F.col("pmatch") + 1).alias("idx"))
-    try_open = (feat.filter((F.col("tok") == "{") & (F.col("prev") == "try")).select("file_id", "idx")
-                .unionByName(feat.join(tr_close, ["file_id", "idx"], "left_semi")
-                             .filter(F.col("tok") == "{").select("file_id", "idx")))
-    tb = try_open.join(feat.select("file_id", "idx", "bmatch"), ["file_id", "idx"]).select(
-        "file_id", F.col("idx").alias("open_idx"), F.col("bmatch").alias("close_idx"))
-    in_try = _inside_marks(feat, tb, "in_try")
-    th = (lvl.filter((F.col("tok") == "throw") & (F.col("depth") > 0))
-          .join(in_try, ["file_id", "idx"])
-          .filter(~F.col("in_try") & ~F.coalesce(F.col("enclosing_throws"), F.lit(False))))
-    return _finding(th, "unhandled_exception")
+    res_open = try_open.filter(F.col("prev") == ")").join(tr_close, ["file_id", "idx"], "left_semi")
+    tb = (try_open.filter(F.col("prev") == "try").unionByName(res_open)
+          .select("file_id", F.col("idx").alias("open_idx"), F.col("bmatch").alias("close_idx")))
+    in_try = _inside_marks(th, tb, "in_try")
+    out = (th.join(in_try, ["file_id", "idx"]).join(throws, ["file_id", "idx"])
+           .filter(~F.col("in_try") & ~F.coalesce(F.col("enclosing_throws"), F.lit(False))))
+    return _finding(out, "unhandled_exception")
 
 
 JAVA_RULES = [rule_java_command_injection, rule_java_unsafe_deserial, rule_java_sql_concat,

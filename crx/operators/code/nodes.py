@@ -24,8 +24,10 @@ NODE_SCHEMA = (
     "file_id long, path string, node_id int, parent_id int, subtree_end int, kind string, "
     "parent_kind string, slot string, slot_idx int, name string, str_value string, const_repr string, "
     "is_true boolean, op string, n_args int, n_values int, level int, line_start int, line_end int, "
-    "text string, callee string"
+    "text string, callee string, cw int, cw_end int"
 )
+# Decision points counted by cyclomatic complexity; BoolOp adds operands - 1.
+DECISION_KINDS = frozenset({"If", "For", "AsyncFor", "While", "ExceptHandler"})
 FILE_ROW = "$file"
 PY_VERSION = "%d.%d.%d" % sys.version_info[:3]
 
@@ -65,6 +67,10 @@ def _text(node: ast.AST, slot: str, parent_kind: str):
 # Leaf singletons carried by their parent (`ctx` of names, operators of
 # expressions); they are not emitted as nodes of their own.
 _SKIP = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+# Plain name references are leaves that no rule or structure query reads
+# except in these slots (assignment targets, callee, call arguments,
+# decorators, bases, return annotation); elsewhere they are not emitted.
+_NAME_SLOTS = frozenset({"targets", "func", "args", "decorator_list", "bases", "returns"})
 
 
 def _rows(file_id: int, path: str, source: str) -> list[tuple]:
@@ -72,10 +78,11 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
         tree = ast.parse(source, filename=path)
     except (SyntaxError, ValueError) as exc:
         return [(file_id, path, -1, None, None, FILE_ROW, None, None, None, None, str(exc), PY_VERSION, False,
-                 None, len(source.splitlines()), None, None, None, None, None, None)]
+                 None, len(source.splitlines()), None, None, None, None, None, None, None, None)]
     out: list[list] = []
     # iterative pre-order walk: (node, parent_id, slot, slot_idx, parent_kind)
     stack = [(tree, -1, None, None, None)]
+    cw = 0    # running decision weight in pre-order (nested-set prefix sum)
     while stack:
         node, parent, slot, idx, pkind = stack.pop()
         nid = len(out)
@@ -83,6 +90,10 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
         is_const = kind == "Constant"
         value = node.value if is_const else None
         op = getattr(node, "op", None)
+        if kind in DECISION_KINDS:
+            cw += 1
+        elif kind == "BoolOp":
+            cw += len(node.values) - 1
         callee = None
         if kind == "Call":
             f = node.func
@@ -97,16 +108,17 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
             len(node.values) if kind in ("BoolOp", "JoinedStr", "Dict") else None,
             node.level if kind == "ImportFrom" else None,
             getattr(node, "lineno", None), getattr(node, "end_lineno", None) or getattr(node, "lineno", None),
-            _text(node, slot, pkind) if slot else None, callee])
+            _text(node, slot, pkind) if slot else None, callee, cw, None])
         children = []
         for field in node._fields:
             val = getattr(node, field, None)
             if isinstance(val, ast.AST):
-                if not isinstance(val, _SKIP):
+                if not isinstance(val, _SKIP) and not (type(val) is ast.Name and field not in _NAME_SLOTS):
                     children.append((val, nid, field, None, kind))
             elif isinstance(val, list):
                 for i, item in enumerate(val):
-                    if isinstance(item, ast.AST) and not isinstance(item, _SKIP):
+                    if isinstance(item, ast.AST) and not isinstance(item, _SKIP) \
+                            and not (type(item) is ast.Name and field not in _NAME_SLOTS):
                         children.append((item, nid, field, i, kind))
         stack.extend(reversed(children))
     # subtree_end: the largest id in the subtree = last descendant in pre-order.
@@ -114,8 +126,10 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
         p = row[3]
         if p >= 0 and out[p][4] < row[4]:
             out[p][4] = row[4]
+    for row in out:                      # weight at the end of each subtree
+        row[22] = out[row[4]][21]
     status = (file_id, path, -1, None, None, FILE_ROW, None, None, None, None, None, PY_VERSION, True,
-              None, len(source.splitlines()), None, None, None, None, None, None)
+              None, len(source.splitlines()), None, None, None, None, None, None, None, None)
     return [status] + [tuple(r) for r in out]
 
 

@@ -6,7 +6,7 @@ child; "inside a function" uses nested-set prefix sums, never pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crx.functions.text import PY_WS_CLASS
@@ -20,7 +20,6 @@ ALWAYS_SHELL = ["os.system", "os.popen"]
 SUBPROCESS_SHELL = ["subprocess.call", "subprocess.Popen", "subprocess.run", "subprocess.check_call",
                     "subprocess.check_output"]
 SQL_METHOD_SUFFIXES = [".execute", ".executemany", ".raw"]
-DECISION_KINDS = ["If", "For", "AsyncFor", "While", "ExceptHandler"]
 COMPLEXITY_LIMIT = 15
 LENGTH_LIMIT = 50
 
@@ -117,25 +116,14 @@ def py_imports(nodes: DataFrame) -> DataFrame:
     return j.select("file_id", "path", F.col("a_node_id").alias("seq"), "line_start", name.alias("import_name"))
 
 
-def _prefix_weights(nodes: DataFrame) -> DataFrame:
-    """Running complexity weight per file in pre-order (nested-set prefix sum)."""
-    w = (F.when(F.col("kind").isin(DECISION_KINDS), 1)
-          .when(F.col("kind") == "BoolOp", F.col("n_values") - 1).otherwise(0))
-    win = Window.partitionBy("file_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    return nodes.select("file_id", "node_id", F.sum(w).over(win).alias("W"))
-
-
 def py_complexity(nodes: DataFrame) -> DataFrame:
     """1 + decision nodes + (operands - 1) per and/or, over each function's whole
-    subtree (nested functions included): W(subtree_end) - W(node_id) + 1."""
-    fn = nodes.filter(F.col("kind").isin("FunctionDef", "AsyncFunctionDef")).select(
-        "file_id", "node_id", "subtree_end", "path", "kind", "name", "line_start", "line_end")
-    W = _prefix_weights(nodes)
-    a = W.select("file_id", "node_id", F.col("W").alias("w0"))
-    b = W.select("file_id", F.col("node_id").alias("subtree_end"), F.col("W").alias("w1"))
-    return (fn.join(a, ["file_id", "node_id"]).join(b, ["file_id", "subtree_end"])
-            .select("file_id", "node_id", "path", "kind", "name", "line_start", "line_end",
-                    (F.col("w1") - F.col("w0") + 1).cast("int").alias("complexity")))
+    subtree (nested functions included). The scan records the running weight
+    in pre-order (cw) and its value at the end of each subtree (cw_end), so the
+    subtree's weight is a column difference: no join and no window."""
+    fn = nodes.filter(F.col("kind").isin("FunctionDef", "AsyncFunctionDef"))
+    return fn.select("file_id", "node_id", "path", "kind", "name", "line_start", "line_end",
+                     (F.col("cw_end") - F.col("cw") + 1).cast("int").alias("complexity"))
 
 
 def py_functions(nodes: DataFrame) -> DataFrame:
