@@ -69,8 +69,9 @@ def _text(node: ast.AST, slot: str, parent_kind: str):
 _SKIP = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
 # Plain name references are leaves that no rule or structure query reads
 # except in these slots (assignment targets, callee, call arguments,
-# decorators, bases, return annotation); elsewhere they are not emitted.
-_NAME_SLOTS = frozenset({"targets", "func", "args", "decorator_list", "bases", "returns"})
+# decorators, bases, return annotation, handler type); elsewhere they are
+# not emitted.
+_NAME_SLOTS = frozenset({"targets", "func", "args", "decorator_list", "bases", "returns", "type"})
 
 
 def _rows(file_id: int, path: str, source: str) -> list[tuple]:
