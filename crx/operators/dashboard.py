@@ -171,7 +171,7 @@ def issues_by_file(issues: DataFrame) -> DataFrame:
         F.min("id").alias("first_seen"))
     w = Window.partitionBy("review_record_id").orderBy(
         F.desc("critical_count"), F.desc("warning_count"), F.asc("first_seen"))
-    return g.withColumn("file_rank", F.row_number().over(w))
+    return g.withColumn("file_rank", F.row_number().over(w).cast("long"))
 
 
 def issue_totals_by_review(issues: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def q_context_usage(spark, d):
 
 
 @query("classify_repo_files", oracle="""
-SELECT repository_id, file_id, path, len(string_split(path, '/')) - 1 AS depth,
+SELECT repository_id, file_id, path, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth,
        len(string_split(path, '/')) - 1 <= 5 AS listed,
        CASE WHEN is_dir THEN path || '/' ELSE path END AS tree_path,
        NOT is_dir AND len(list_filter(['.github/workflows/', '.github/dependabot.yml', 'setup.cfg', 'pyproject.toml',

@@ -64,7 +64,7 @@ def q_diff_files(spark, d):
 @query("diff_hunks", oracle="""
 SELECT review_id, file_path, CAST(hunk_idx AS INT) AS hunk_idx, header, CAST(start AS BIGINT) AS old_start,
        CAST(greatest(hdr_old_count, start) AS BIGINT) AS old_count, CAST(start AS BIGINT) AS new_start,
-       CAST(new_count AS BIGINT) AS new_count, 1 + kept_rm + a AS n_lines
+       CAST(new_count AS BIGINT) AS new_count, CAST(1 + kept_rm + a AS BIGINT) AS n_lines
 FROM pr_hunk_exp""")
 def q_diff_hunks(spark, d):
     return DF.diff_hunks(None, _parsed(spark, d)).select(

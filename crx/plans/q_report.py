@@ -89,12 +89,12 @@ def q_review_notices(spark, d):
 
 
 @query("dashboard_bundle", oracle="""
-SELECT 'overview' AS part, 1 AS n_items
+SELECT 'overview' AS part, CAST(1 AS INTEGER) AS n_items
 UNION ALL SELECT 'by_severity', 3
-UNION ALL SELECT 'by_category', (SELECT count(DISTINCT category) FROM review_issues)
+UNION ALL SELECT 'by_category', CAST((SELECT count(DISTINCT category) FROM review_issues) AS INTEGER)
 UNION ALL SELECT 'trend', 30
-UNION ALL SELECT 'repo_comparison', (SELECT count(DISTINCT p.repository_id) FROM review_records r
-                                      JOIN pull_requests p ON p.id = r.pull_request_id WHERE r.status = 'completed')""")
+UNION ALL SELECT 'repo_comparison', CAST((SELECT count(DISTINCT p.repository_id) FROM review_records r
+                                      JOIN pull_requests p ON p.id = r.pull_request_id WHERE r.status = 'completed') AS INTEGER)""")
 def q_dashboard_bundle(spark, d):
     b = D.dashboard_bundle(X.review_records(spark, d), X.review_issues(spark, d), X.pull_requests(spark, d),
                            X.repositories(spark, d))

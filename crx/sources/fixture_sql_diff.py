@@ -34,9 +34,9 @@ register("pr_files", """
 register("pr_hunk_exp", """
   SELECT h.*,
     row_number() OVER w AS hunk_idx,
-    coalesce(sum(a) OVER wp, 0) AS adds_before,
-    coalesce(sum(kept_rm) OVER wp, 0) AS rms_before,
-    coalesce(sum(2 + kept_rm + a) OVER wp, 0) AS pos_before
+    CAST(coalesce(sum(a) OVER wp, 0) AS BIGINT) AS adds_before,
+    CAST(coalesce(sum(kept_rm) OVER wp, 0) AS BIGINT) AS rms_before,
+    CAST(coalesce(sum(2 + kept_rm + a) OVER wp, 0) AS BIGINT) AS pos_before
   FROM pr_hunk_text h
   WHERE NOT (file_seq = 1 AND review_id % 5 = 0)
   WINDOW w AS (PARTITION BY review_id, file_seq ORDER BY rn),
