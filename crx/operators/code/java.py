@@ -124,12 +124,14 @@ def _is_literal(kind: Column) -> Column:
 
 
 def token_features(tokens: DataFrame) -> DataFrame:
-    """Neighbours, bracket levels, bracket partners and the running counts
-    the rules share (decision points, '+' tokens, non-literal tokens, binary
-    +/-), plus for every token the next '{' and ';' and, for '(' tokens, the
-    token after the matching ')'. Built once and materialised by callers."""
+    """Neighbours, bracket levels and partners, and the running counts and
+    positions the rules share. Three window passes over the tokens: (file,
+    idx) for neighbours and depths, (file, bracket kind, level) for partners,
+    and (file, idx) again for the running values. Built once and materialised
+    by callers."""
     w = Window.partitionBy("file_id").orderBy("idx")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("tok")
     f = tokens.select(
         "*", F.lag("tok", 1).over(w).alias("prev"), F.lag("kind", 1).over(w).alias("prev_kind"),
@@ -140,88 +142,78 @@ def token_features(tokens: DataFrame) -> DataFrame:
         F.sum(F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).over(run).alias("bd"))
     # level of a bracket: after opening for an opener, before closing for a closer
     f = f.withColumn("plevel", F.when(t == "(", F.col("pd")).when(t == ")", F.col("pd") + 1)) \
-         .withColumn("blevel", F.when(t == "{", F.col("bd")).when(t == "}", F.col("bd") + 1))
-    pw = Window.partitionBy("file_id", "plevel").orderBy("idx")
-    bw = Window.partitionBy("file_id", "blevel").orderBy("idx")
-    # "next '{' / ';' at or after this token": a running frame over the
-    # reversed order (linear), not an unbounded-following frame (quadratic)
-    fw = Window.partitionBy("file_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+         .withColumn("blevel", F.when(t == "{", F.col("bd")).when(t == "}", F.col("bd") + 1)) \
+         .withColumn("_bk", F.when(t.isin("(", ")"), F.lit("p")).when(t.isin("{", "}"), F.lit("b"))) \
+         .withColumn("_lv", F.coalesce(F.col("plevel"), F.col("blevel")))
+    # partners: the next bracket of the same kind at the same level; for '('
+    # also the token after its ')'; for '}' whether its '{' follows `do`
+    kw = Window.partitionBy("file_id", "_bk", "_lv").orderBy("idx")
+    nxt_tok, nxt_idx = F.lead("tok", 1).over(kw), F.lead("idx", 1).over(kw)
     f = f.select(
         "*",
-        F.last(F.when(t == "{", F.col("idx")), ignorenulls=True).over(fw).alias("next_lbrace"),
-        F.last(F.when(t == ";", F.col("idx")), ignorenulls=True).over(fw).alias("next_semi"))
-    # partners: the next bracket at the same level; for '(' also the token
-    # after its ')' and the next '{' / ';' from there; for '}' whether its '{'
-    # follows `do` (no self-joins, so the token pipeline is computed once)
-    closes = (t == "(") & (F.lead("tok", 1).over(pw) == ")")
-    f = f.select(
-        "*",
-        F.when(closes, F.lead("idx", 1).over(pw)).alias("pmatch"),
-        F.when(closes, F.lead("next", 1).over(pw)).alias("after_close"),
-        F.when(closes, F.lead("next_lbrace", 1).over(pw)).alias("close_next_lbrace"),
-        F.when(closes, F.lead("next_semi", 1).over(pw)).alias("close_next_semi"))
-    f = f.select(
-        "*",
-        F.when((t == "{") & (F.lead("tok", 1).over(bw) == "}"), F.lead("idx", 1).over(bw)).alias("bmatch"),
-        ((t == "}") & (F.lag("tok", 1).over(bw) == "{") & (F.lag("prev", 1).over(bw) == "do")).alias("_do_close"))
-    f = f.withColumn("closes_do", (t == "while") & F.coalesce(F.lag("_do_close", 1).over(w), F.lit(False))) \
-         .drop("_do_close")
+        F.when((t == "(") & (nxt_tok == ")"), nxt_idx).alias("pmatch"),
+        F.when((t == "(") & (nxt_tok == ")"), F.lead("next", 1).over(kw)).alias("after_close"),
+        F.when((t == "{") & (nxt_tok == "}"), nxt_idx).alias("bmatch"),
+        ((t == "}") & (F.lag("tok", 1).over(kw) == "{") & (F.lag("prev", 1).over(kw) == "do")).alias("_do_close"))
     prev = F.coalesce(F.col("prev"), F.lit(""))
 
     def csum(cond):
         return F.sum(F.when(cond, 1).otherwise(0)).over(run)
 
-    def last_idx(cond):
-        return F.last(F.when(cond, F.col("idx")), ignorenulls=True).over(run)
+    def last_idx(cond, frame=run):
+        return F.last(F.when(cond, F.col("idx")), ignorenulls=True).over(frame)
     is_class = (t == "class") & (F.col("next_kind") == "ident") & (prev != ".")
-    f = f.select(
-        "*",
+    return f.select(
+        *[c for c in f.columns if not c.startswith("_")],
         F.sum(_decision_weight()).over(run).alias("C"),
         csum(t == "+").alias("plus_pc"),
         csum(~_is_literal(F.col("kind")) & ~t.isin(",", "-", "+")).alias("nonlit_pc"),
         csum(t.isin("-", "+") & ~prev.isin("(", ",")).alias("binop_pc"),
-        # running context used by the structure queries
+        # running context used by declarations and structure
         F.sum(F.when(t == "<", 1).when(t == ">", -1).otherwise(0)).over(run).alias("ad"),
         last_idx(is_class).alias("class_last"), last_idx(t == "{").alias("lbrace_last"),
-        last_idx(t == "import").alias("import_last"), last_idx(t == ";").alias("semi_last"))
-    # the '(' that opened the paren level a token sits at
-    lw = Window.partitionBy("file_id", "pd").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return f.withColumn("opener", F.last(F.when(t == "(", F.col("idx")), ignorenulls=True).over(lw))
+        last_idx(t == "import").alias("import_last"), last_idx(t == ";").alias("semi_last"),
+        last_idx(t == ")", before).alias("rparen_before"),
+        last_idx(t.isin(";", "{", "}"), before).alias("stmt_end_before"))
 
 
 def java_methods(feat: DataFrame) -> DataFrame:
     """Method and constructor declarations: an identifier before '(' whose
     matching ')' is followed by '{', 'throws' or (abstract) ';' after a type.
+    The body is the '{' whose latest ')' before it is the declaration's ')'
+    with no ';' / '{' / '}' in between (a throws list may sit there).
     Output: name, line, open/close of the parameter list, body braces."""
     cand = feat.filter((F.col("kind") == "ident") & (F.col("next") == "(")
                        & ~F.coalesce(F.col("prev"), F.lit("")).isin("new", ".", "::"))
     cand = cand.select("file_id", "path", F.col("idx").alias("name_idx"), F.col("tok").alias("name"), "line",
                        "prev", "prev_kind", (F.col("idx") + 1).alias("open_idx"))
-    ac = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch", "after_close",
-                                                 F.col("close_next_lbrace").alias("next_lbrace"),
-                                                 F.col("close_next_semi").alias("next_semi"))
+    ac = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch", "after_close")
     j = cand.join(ac, ["file_id", "open_idx"])
     typeish = F.col("prev_kind").isin("ident") | F.col("prev").isin(PRIMITIVES + ["void", ">", "]"])
     ctor_ctx = F.coalesce(F.col("prev"), F.lit("")).isin("public", "private", "protected", "{", "}", ";", "")
     decl = (F.col("after_close").isin("{", "throws") & (typeish | ctor_ctx)) | \
            ((F.col("after_close") == ";") & typeish & (F.col("prev") != "return"))
     m = j.filter(decl & (F.col("prev") != "return") & (F.col("prev") != "else"))
-    has_body = F.col("after_close").isin("{", "throws") & F.col("next_lbrace").isNotNull() & \
-        (F.coalesce(F.col("next_semi"), F.lit(1 << 30)) > F.col("next_lbrace"))
-    m = m.withColumn("body_open", F.when(has_body, F.col("next_lbrace")))
-    bm = feat.filter(F.col("tok") == "{").select("file_id", F.col("idx").alias("body_open"),
-                                                 F.col("bmatch").alias("body_close"))
-    m = m.join(bm, ["file_id", "body_open"], "left")
+    bodies = (feat.filter((F.col("tok") == "{") & F.col("rparen_before").isNotNull()
+                          & (F.coalesce(F.col("stmt_end_before"), F.lit(-1)) < F.col("rparen_before")))
+              .select("file_id", F.col("rparen_before").alias("pmatch"), F.col("idx").alias("body_open"),
+                      F.col("bmatch").alias("body_close")))
+    m = m.join(bodies, ["file_id", "pmatch"], "left")
+    m = m.withColumn("body_open", F.when(F.col("after_close").isin("{", "throws"), F.col("body_open"))) \
+         .withColumn("body_close", F.when(F.col("body_open").isNotNull(), F.col("body_close")))
     return m.select("file_id", "path", "name_idx", "name", "line", "prev", "open_idx", "pmatch", "after_close",
                     "body_open", "body_close", (F.col("after_close") == "throws").alias("has_throws"))
 
 
 def _decision_weight() -> Column:
+    """+1 at if/for/while/do/catch/&&/||/case groups/ternaries; the '}' that
+    closes a do-block and is followed by `while` carries -1, so the loop's
+    closing `while` does not count twice."""
     t, prev, nxt = F.col("tok"), F.coalesce(F.col("prev"), F.lit("")), F.coalesce(F.col("next"), F.lit(""))
     case_group = (t == "case") & (prev != ":") | ((t == "default") & (nxt == ":") & (prev != ":"))
     ternary = (t == "?") & ~prev.isin("<", ",") & ~nxt.isin(">", "extends", "super", ",")
-    return (F.when(t.isin("if", "for", "do", "catch", "&&", "||") | case_group | ternary, 1)
-             .when((t == "while") & ~F.col("closes_do"), 1).otherwise(0))
+    return (F.when(t.isin("if", "for", "while", "do", "catch", "&&", "||") | case_group | ternary, 1)
+             .when(F.col("_do_close") & (nxt == "while"), -1).otherwise(0))
 
 
 def java_complexity(feat: DataFrame, methods: DataFrame) -> DataFrame:
@@ -448,12 +440,27 @@ def java_structure(feat: DataFrame, methods: DataFrame | None = None) -> dict[st
 
 def _params(feat: DataFrame, methods: DataFrame) -> DataFrame:
     """Parameter names of each declaration: the identifier right before a ','
-    or ')' directly inside the parameter list (same paren level, same angle
-    depth as the list's '(')."""
-    op = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("opener"),
+    or ')' directly inside the parameter list (same paren level and angle
+    depth as the list's '('). Candidates are tagged with the enclosing list
+    by a running value over a small union of list marks and candidates."""
+    op = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"),
                                                  F.col("plevel").alias("lvl"), F.col("ad").alias("ad0"))
-    m = methods.select("file_id", F.col("open_idx").alias("opener"), "name_idx").join(op, ["file_id", "opener"])
-    names = feat.filter((F.col("kind") == "ident") & F.col("next").isin(",", ")"))
-    j = names.join(m, ["file_id", "opener"]).filter((F.col("pd") == F.col("lvl")) & (F.col("ad") == F.col("ad0")))
+    lists = methods.select("file_id", "open_idx", "pmatch", "name_idx").join(op, ["file_id", "open_idx"])
+    names = feat.filter((F.col("kind") == "ident") & F.col("next").isin(",", ")")).select(
+        "file_id", "idx", "tok", "pd", "ad")
+    ev = (names.select("file_id", "idx", "tok", "pd", "ad", F.lit(None).cast("long").alias("list_open"),
+                       F.lit(0).alias("m"))
+          .unionByName(lists.select("file_id", F.col("open_idx").alias("idx"), F.lit(None).cast("string").alias("tok"),
+                                    F.lit(None).cast("long").alias("pd"), F.lit(None).cast("long").alias("ad"),
+                                    F.col("open_idx").cast("long").alias("list_open"), F.lit(1).alias("m")))
+          .unionByName(lists.select("file_id", F.col("pmatch").alias("idx"), F.lit(None).cast("string").alias("tok"),
+                                    F.lit(None).cast("long").alias("pd"), F.lit(None).cast("long").alias("ad"),
+                                    F.lit(None).cast("long").alias("list_open"), F.lit(-1).alias("m"))))
+    w = Window.partitionBy("file_id").orderBy("idx", F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("open_lists", F.sum("m").over(w)) \
+           .withColumn("cur", F.last("list_open", ignorenulls=True).over(w))
+    inside = ev.filter((F.col("m") == 0) & (F.col("open_lists") > 0)).select(
+        "file_id", "idx", "tok", "pd", "ad", F.col("cur").alias("open_idx"))
+    j = inside.join(lists, ["file_id", "open_idx"]).filter((F.col("pd") == F.col("lvl")) & (F.col("ad") == F.col("ad0")))
     return j.groupBy("file_id", "name_idx").agg(
         F.array_sort(F.collect_list(F.struct("idx", "tok")))["tok"].alias("args"))
