@@ -53,3 +53,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Settings for a large cluster (hundreds of executors, tens of TB). Applied by
+# `apply_cluster_settings` only where the session has no value of its own.
+CLUSTER_SETTINGS = {
+    # AQE picks the reducer count from runtime sizes; start high, coalesce down
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "4000",
+    # split skewed join partitions (a key holding a large share of rows)
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    # scan splits sized for executor memory
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # broadcast only what Spark measured to be small
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # Arrow batches for the node scan and the scorer (rows per batch)
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_settings(spark: SparkSession) -> None:
+    """Fill the cluster defaults above where the session leaves them unset."""
+    for k, v in CLUSTER_SETTINGS.items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
