@@ -122,7 +122,8 @@ def dashboard_bundle(records: DataFrame, issues: DataFrame, prs: DataFrame, repo
 
 def review_list(records: DataFrame, prs: DataFrame, repos: DataFrame, page: int = 1,
                 status: str = "", per_page: int = 20) -> DataFrame:
-    """One page of reviews, newest first, with total and total_pages on each row.
+    """One page of reviews, newest first (ties by id), with PR number, title cut
+    to 60 characters, repository full name, and total / total_pages on each row.
 
     The page is a top-k (no full sort); totals are one global count; the join of
     the two is between <= per_page rows and one row."""
@@ -133,7 +134,7 @@ def review_list(records: DataFrame, prs: DataFrame, repos: DataFrame, page: int
     total = recs.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long").alias("total_pages"))
     pr = prs.select(F.col("id").alias("pull_request_id"), "pr_number", "title", "repository_id")
-    rp = repos.select(F.col("id").alias("repository_id"), F.col("name").alias("repo_name"))
+    rp = repos.select(F.col("id").alias("repository_id"), F.col("full_name").alias("repo_name"))
     return (page_rows.join(pr, "pull_request_id", "left").join(rp, "repository_id", "left")
             .crossJoin(F.broadcast(total))
             .select("id", "pr_number", F.substring("title", 1, 60).alias("title"), "repo_name",

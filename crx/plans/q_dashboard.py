@@ -86,7 +86,7 @@ _LIST_SQL = """
 WITH f AS (SELECT * FROM review_records WHERE {cond}),
  tot AS (SELECT count(*) AS total, greatest(1, (count(*) + 19) // 20) AS total_pages FROM f),
  pg AS (SELECT * FROM f ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET {offset})
-SELECT pg.id, p.pr_number, substr(p.title, 1, 60) AS title, g.name AS repo_name, pg.status,
+SELECT pg.id, p.pr_number, substr(p.title, 1, 60) AS title, g.full_name AS repo_name, pg.status,
        pg.created_at, tot.total, tot.total_pages
 FROM pg LEFT JOIN pull_requests p ON p.id = pg.pull_request_id
 LEFT JOIN repositories g ON g.id = p.repository_id CROSS JOIN tot"""
