@@ -138,6 +138,7 @@ def token_features(tokens: DataFrame) -> DataFrame:
         F.lag("tok", 2).over(w).alias("prev2"),
         F.lead("tok", 1).over(w).alias("next"), F.lead("kind", 1).over(w).alias("next_kind"),
         F.lead("tok", 2).over(w).alias("next2"), F.lead("kind", 2).over(w).alias("next2_kind"),
+        F.lead("tok", 3).over(w).alias("next3"), F.lag("line", 1).over(w).alias("prev_line"),
         F.sum(F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).over(run).alias("pd"),
         F.sum(F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).over(run).alias("bd"))
     # level of a bracket: after opening for an opener, before closing for a closer
@@ -219,14 +220,17 @@ def _decision_weight() -> Column:
 def java_complexity(feat: DataFrame, methods: DataFrame) -> DataFrame:
     """1 + decision tokens and && / || inside each method body (nested
     bodies included), from the running count at the two braces."""
-    a = feat.select("file_id", F.col("idx").alias("body_open"), F.col("C").alias("c0"))
-    b = feat.select("file_id", F.col("idx").alias("body_close"), F.col("C").alias("c1"))
+    a = feat.filter(F.col("tok") == "{").select("file_id", F.col("idx").alias("body_open"), F.col("C").alias("c0"))
+    b = feat.filter(F.col("tok") == "}").select("file_id", F.col("idx").alias("body_close"), F.col("C").alias("c1"))
     m = methods.join(a, ["file_id", "body_open"], "left").join(b, ["file_id", "body_close"], "left")
     return m.withColumn("complexity", (F.coalesce(F.col("c1") - F.col("c0"), F.lit(0)) + 1).cast("int"))
 
 
 def _method_end_line(feat: DataFrame, methods: DataFrame) -> DataFrame:
-    last = feat.select("file_id", (F.col("idx") + 1).alias("body_close"), F.col("line").alias("end_line"))
+    """Line of the last token before the body's closing brace (carried on the
+    '}' token as prev_line, so only brace rows are joined)."""
+    last = feat.filter(F.col("tok") == "}").select("file_id", F.col("idx").alias("body_close"),
+                                                   F.col("prev_line").alias("end_line"))
     return methods.join(last, ["file_id", "body_close"], "left")
 
 
@@ -248,8 +252,9 @@ def _call_args(feat: DataFrame, calls: DataFrame) -> DataFrame:
     op = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch",
                                                  F.col("plus_pc").alias("p0"), F.col("nonlit_pc").alias("n0"),
                                                  F.col("binop_pc").alias("b0"))
-    cl = feat.select("file_id", (F.col("idx") + 1).alias("pmatch"), F.col("plus_pc").alias("p1"),
-                     F.col("nonlit_pc").alias("n1"), F.col("binop_pc").alias("b1"))
+    # counts at the ')' include the ')' itself (one non-literal token)
+    cl = feat.filter(F.col("tok") == ")").select("file_id", F.col("idx").alias("pmatch"), F.col("plus_pc").alias("p1"),
+                                                 (F.col("nonlit_pc") - 1).alias("n1"), F.col("binop_pc").alias("b1"))
     c = (calls.select("file_id", "path", "idx", "tok", "line", "open_idx")
          .join(op, ["file_id", "open_idx"]).join(cl, ["file_id", "pmatch"]))
     return c.select("*", (F.col("pmatch") - F.col("open_idx") - 1).alias("n_arg_tokens"),
@@ -318,8 +323,7 @@ def rule_java_hardcoded_secret(feat: DataFrame, methods: DataFrame | None = None
     typeish = (F.col("prev_kind") == "ident") | F.col("prev").isin(PRIMITIVES + [">", "]"])
     d = feat.filter((F.col("kind") == "ident") & (F.col("next") == "=") & typeish
                     & _is_literal(F.col("next2_kind")))
-    after = feat.select("file_id", (F.col("idx") - 3).alias("idx"), F.col("tok").alias("after_value"))
-    d = d.join(after, ["file_id", "idx"], "left").filter(F.col("after_value").isin(";", ","))
+    d = d.filter(F.col("next3").isin(";", ","))
     words = F.array(*[F.lit(w) for w in SECRET_WORDS])
     value = F.regexp_replace(F.regexp_replace(F.col("next2"), '^"+|"+$', ""), "^'+|'+$", "")
     d = d.filter(F.exists(words, lambda w: F.instr(F.lower(F.col("tok")), w) > 0)
