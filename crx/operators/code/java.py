@@ -187,7 +187,8 @@ def java_methods(feat: DataFrame) -> DataFrame:
     cand = feat.filter((F.col("kind") == "ident") & (F.col("next") == "(")
                        & ~F.coalesce(F.col("prev"), F.lit("")).isin("new", ".", "::"))
     cand = cand.select("file_id", "path", F.col("idx").alias("name_idx"), F.col("tok").alias("name"), "line",
-                       "prev", "prev_kind", (F.col("idx") + 1).alias("open_idx"))
+                       "prev", "prev_kind", (F.col("idx") + 1).alias("open_idx"),
+                       F.col("stmt_end_before").alias("hdr"))
     ac = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch", "after_close")
     j = cand.join(ac, ["file_id", "open_idx"])
     typeish = F.col("prev_kind").isin("ident") | F.col("prev").isin(PRIMITIVES + ["void", ">", "]"])
@@ -203,7 +204,7 @@ def java_methods(feat: DataFrame) -> DataFrame:
     m = m.withColumn("body_open", F.when(F.col("after_close").isin("{", "throws"), F.col("body_open"))) \
          .withColumn("body_close", F.when(F.col("body_open").isNotNull(), F.col("body_close")))
     return m.select("file_id", "path", "name_idx", "name", "line", "prev", "open_idx", "pmatch", "after_close",
-                    "body_open", "body_close", (F.col("after_close") == "throws").alias("has_throws"))
+                    "body_open", "body_close", (F.col("after_close") == "throws").alias("has_throws"), "hdr")
 
 
 def _decision_weight() -> Column:
@@ -415,12 +416,24 @@ def java_structure(feat: DataFrame, methods: DataFrame | None = None) -> dict[st
         F.regexp_replace("p", r"\.\*$", "").alias("import_path"))
     m = methods if methods is not None else java_methods(feat)
     params = _params(feat, m)
-    meths = (m.join(params, ["file_id", "name_idx"], "left")
+    # annotations: '@' names in the member's header (same statement, before
+    # the name); constructors carry none, as in the reference
+    ann = (feat.filter((F.col("kind") == "ident") & (F.col("prev") == "@"))
+           .select("file_id", F.col("idx").alias("a_idx"), F.col("stmt_end_before").alias("hdr"), "tok"))
+    anns = (m.select("file_id", "name_idx", "hdr").join(ann, ["file_id", "hdr"]).filter(F.col("a_idx") < F.col("name_idx"))
+            .groupBy("file_id", "name_idx")
+            .agg(F.array_sort(F.collect_list(F.struct("a_idx", F.concat(F.lit("@"), F.col("tok")).alias("a"))))["a"]
+                 .alias("annotations")))
+    typeish = F.col("prev").isin(*PRIMITIVES, "void", ">", "]") | (
+        ~F.col("prev").isin("public", "private", "protected", "{", "}", ";") & F.col("prev").rlike(r"^[A-Za-z_$]"))
+    meths = (m.join(params, ["file_id", "name_idx"], "left").join(anns, ["file_id", "name_idx"], "left")
              .select("file_id", "path", "name_idx", "name", F.col("line").alias("line_start"),
                      F.col("line").alias("line_end"),
                      F.coalesce("args", F.array().cast("array<string>")).alias("args"),
                      F.when(F.col("prev").isin("void", "public", "private", "protected", "{", "}", ";"), F.lit(None))
                       .when(F.col("prev").isin(">", "]"), F.lit(None)).otherwise(F.col("prev")).alias("returns"),
+                     F.when(typeish, F.coalesce("annotations", F.array().cast("array<string>")))
+                      .otherwise(F.array().cast("array<string>")).alias("annotations"),
                      F.lit(1).alias("complexity")))
     cls = feat.filter((t == "class") & (F.col("next_kind") == "ident") & ~F.coalesce(F.col("prev"), F.lit("")).isin("."))
     classes = cls.select("file_id", "path", F.col("idx").alias("class_last"), F.col("next").alias("name"),

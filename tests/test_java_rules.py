@@ -67,5 +67,5 @@ def test_structure(spark):
     assert sorted(r.import_path for r in s["imports"].collect()) == ["java.io", "java.lang.Math.max", "java.util.List"]
     c = s["classes"].collect()[0]
     assert (c.name, c.bases) == ("A", ["Base", "Runnable", "Comparable"])
-    ms = {r.name: r.args for r in s["methods"].collect()}
-    assert ms == {"A": ["x"], "names": ["m", "n"]}
+    ms = {r.name: (r.args, r.annotations) for r in s["methods"].collect()}
+    assert ms == {"A": (["x"], []), "names": (["m", "n"], ["@Override"])}
