@@ -59,24 +59,28 @@ register_extractor("python", N.code_scan, python_rules)
 register_extractor("java", java_scan, J.rule_scan_java)
 
 
+def language_table(files: DataFrame, lang: str, registry: dict[str, Extractor] | None = None) -> DataFrame:
+    """The extractor table (syntax nodes, tokens, ...) of the files routed to
+    `lang`, written once to the shared checkpoint folder. The same files routed
+    by the same suffixes to the same extractor reuse the table within the
+    session, whatever the language is called."""
+    reg = REGISTRY if registry is None else registry
+    ex = reg[lang]
+    langs = list(LANGUAGE_SUFFIXES)
+    branch = detect_language(files).filter(F.col("language") == lang).select("file_id", "path", "content")
+    pos = langs.index(lang) if lang in langs else -1
+    key = "|".join([str(files.semanticHash()), repr([LANGUAGE_SUFFIXES[x] for x in langs]), str(pos),
+                    f"{getattr(ex.scan, '__module__', '')}.{getattr(ex.scan, '__qualname__', repr(ex.scan))}"])
+    return stored(files.sparkSession, "language_scan", key, lambda: ex.scan(branch))
+
+
 def analyzer_dispatch(files: DataFrame, registry: dict[str, Extractor] | None = None) -> DataFrame:
     """Send every file to its language's extractor and rules; languages with no
-    extractor get none. Output: finding rows with the file's language."""
+    extractor get none. Output: finding rows with the file's language. Every
+    rule reads the language table, which is written once (`language_table`)
+    instead of re-running the scan per rule."""
     reg = REGISTRY if registry is None else registry
-    f = detect_language(files)
-    langs = list(LANGUAGE_SUFFIXES)
-    parts = []
-    for lang, ex in reg.items():
-        branch = f.filter(F.col("language") == lang).select("file_id", "path", "content")
-        # every rule reads the language table: write it once to the shared
-        # checkpoint folder instead of re-running the scan per rule. The same
-        # files routed by the same suffixes to the same extractor reuse the
-        # table within the session, whatever the language is called.
-        pos = langs.index(lang) if lang in langs else -1
-        key = "|".join([str(files.semanticHash()), repr([LANGUAGE_SUFFIXES[x] for x in langs]), str(pos),
-                        f"{getattr(ex.scan, '__module__', '')}.{getattr(ex.scan, '__qualname__', repr(ex.scan))}"])
-        table = stored(files.sparkSession, "language_scan", key, lambda ex=ex, branch=branch: ex.scan(branch))
-        parts.append(ex.rules(table).withColumn("language", F.lit(lang)))
+    parts = [reg[lang].rules(language_table(files, lang, reg)).withColumn("language", F.lit(lang)) for lang in reg]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

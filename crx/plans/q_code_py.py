@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 import crx.sources.fixture_sql_code  # noqa: F401
 from crx.operators.code import nodes as N
 from crx.operators.code import python as P
-from crx.plans.materialize import stored
+from crx.operators.code import dispatch as DS
 from crx.plans.registry import query
 from crx.sources import fixtures as X
 
 
 def _scan(spark, d):
-    """The node table of the generated sources, parsed once per session."""
-    return stored(spark, "py_nodes", d, lambda: N.code_scan(X.python_sources(spark, d)))
+    """The node table of the Python files of the generated corpus, parsed once
+    per session and shared with the dispatch queries."""
+    return DS.language_table(X.mixed_sources(spark, d), "python")
 
 
 def _nodes(spark, d):

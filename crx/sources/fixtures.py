@@ -519,10 +519,11 @@ JAVA_FILE_ID_OFFSET = 1_000_000_000_000
 
 
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python modules, Java classes (file ids offset) and the raw web pages as
-    .html files: a corpus where dispatch by suffix matters."""
+    """Python modules, Java classes and the raw web pages as .html / .PY files:
+    a corpus where dispatch by suffix matters. File ids are unique within a
+    language (each language is scanned on its own); pages are offset."""
     py = python_sources(spark, sf_dir)
-    jv = java_sources(spark, sf_dir).withColumn("file_id", F.col("file_id") + JAVA_FILE_ID_OFFSET)
+    jv = java_sources(spark, sf_dir)
     pages = _t(spark, sf_dir, "pages").select(
         F.col("page_id").alias("file_id"),
         F.concat(F.lit("pages/p"), F.col("page_id").cast("string"),
