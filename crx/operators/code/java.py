@@ -102,13 +102,15 @@ def _blank_block_comments(text: Column) -> Column:
 
 
 def java_tokens(sources: DataFrame) -> DataFrame:
-    """(file_id, path, idx, line, tok, kind) with idx dense per file."""
+    """(file_id, path, idx, line, tok, kind). idx orders the tokens of a file
+    (line in the high 32 bits, position in the line below); it is not dense,
+    so neighbours are taken with lead/lag, never idx +/- 1, and no window is
+    needed to number the tokens."""
     lines = sources.select("file_id", "path", F.posexplode(
         F.split(_blank_block_comments(F.col("content")), "\n", -1)).alias("ln", "text"))
     toks = lines.select("file_id", "path", (F.col("ln") + 1).alias("line"),
                         F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_RE), 0)).alias("col", "tok"))
     toks = toks.filter(~F.col("tok").startswith("//"))
-    w = Window.partitionBy("file_id").orderBy("line", "col")
     t = F.col("tok")
     kind = (F.when(t.startswith('"') | t.startswith("'"), "string")
              .when(t.rlike(r"^\d"), "number")
@@ -116,7 +118,8 @@ def java_tokens(sources: DataFrame) -> DataFrame:
              .when(t.isin(KEYWORDS), "keyword")
              .when(t.rlike(r"^[A-Za-z_$]"), "ident")
              .otherwise("op"))
-    return toks.select("file_id", "path", (F.row_number().over(w) - 1).alias("idx"), "line", "tok", kind.alias("kind"))
+    idx = F.shiftleft(F.col("line").cast("long"), 32) + F.col("col").cast("long")
+    return toks.select("file_id", "path", idx.alias("idx"), "line", "tok", kind.alias("kind"))
 
 
 def _is_literal(kind: Column) -> Column:
@@ -139,6 +142,7 @@ def token_features(tokens: DataFrame) -> DataFrame:
         F.lead("tok", 1).over(w).alias("next"), F.lead("kind", 1).over(w).alias("next_kind"),
         F.lead("tok", 2).over(w).alias("next2"), F.lead("kind", 2).over(w).alias("next2_kind"),
         F.lead("tok", 3).over(w).alias("next3"), F.lag("line", 1).over(w).alias("prev_line"),
+        F.lead("idx", 1).over(w).alias("next_idx"),
         F.sum(F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).over(run).alias("pd"),
         F.sum(F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).over(run).alias("bd"))
     # level of a bracket: after opening for an opener, before closing for a closer
@@ -154,6 +158,7 @@ def token_features(tokens: DataFrame) -> DataFrame:
         "*",
         F.when((t == "(") & (nxt_tok == ")"), nxt_idx).alias("pmatch"),
         F.when((t == "(") & (nxt_tok == ")"), F.lead("next", 1).over(kw)).alias("after_close"),
+        F.when((t == "(") & (nxt_tok == ")"), F.lead("next_idx", 1).over(kw)).alias("after_close_idx"),
         F.when((t == "{") & (nxt_tok == "}"), nxt_idx).alias("bmatch"),
         ((t == "}") & (F.lag("tok", 1).over(kw) == "{") & (F.lag("prev", 1).over(kw) == "do")).alias("_do_close"))
     prev = F.coalesce(F.col("prev"), F.lit(""))
@@ -187,7 +192,7 @@ def java_methods(feat: DataFrame) -> DataFrame:
     cand = feat.filter((F.col("kind") == "ident") & (F.col("next") == "(")
                        & ~F.coalesce(F.col("prev"), F.lit("")).isin("new", ".", "::"))
     cand = cand.select("file_id", "path", F.col("idx").alias("name_idx"), F.col("tok").alias("name"), "line",
-                       "prev", "prev_kind", (F.col("idx") + 1).alias("open_idx"),
+                       "prev", "prev_kind", F.col("next_idx").alias("open_idx"),
                        F.col("stmt_end_before").alias("hdr"))
     ac = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch", "after_close")
     j = cand.join(ac, ["file_id", "open_idx"])
@@ -243,7 +248,7 @@ def _calls(feat: DataFrame, names: list[str] | None = None, methods: DataFrame |
     if names is not None:
         c = c.filter(F.col("tok").isin(names))
     decl = (methods if methods is not None else java_methods(feat)).select("file_id", F.col("name_idx").alias("idx"))
-    return c.join(decl, ["file_id", "idx"], "left_anti").withColumn("open_idx", F.col("idx") + 1)
+    return c.join(decl, ["file_id", "idx"], "left_anti").withColumn("open_idx", F.col("next_idx"))
 
 
 def _call_args(feat: DataFrame, calls: DataFrame) -> DataFrame:
@@ -251,6 +256,7 @@ def _call_args(feat: DataFrame, calls: DataFrame) -> DataFrame:
     (signed) literal, and the number of '+' tokens in the argument span, from
     the running counts at the two parentheses (no call x token pairs)."""
     op = feat.filter(F.col("tok") == "(").select("file_id", F.col("idx").alias("open_idx"), "pmatch",
+                                                 (F.col("next") != ")").alias("has_args"),
                                                  F.col("plus_pc").alias("p0"), F.col("nonlit_pc").alias("n0"),
                                                  F.col("binop_pc").alias("b0"))
     # counts at the ')' include the ')' itself (one non-literal token)
@@ -258,7 +264,7 @@ def _call_args(feat: DataFrame, calls: DataFrame) -> DataFrame:
                                                  (F.col("nonlit_pc") - 1).alias("n1"), F.col("binop_pc").alias("b1"))
     c = (calls.select("file_id", "path", "idx", "tok", "line", "open_idx")
          .join(op, ["file_id", "open_idx"]).join(cl, ["file_id", "pmatch"]))
-    return c.select("*", (F.col("pmatch") - F.col("open_idx") - 1).alias("n_arg_tokens"),
+    return c.select("*", F.when(F.col("has_args"), 1).otherwise(0).alias("n_arg_tokens"),
                     (F.col("p1") - F.col("p0")).alias("n_plus"),
                     ((F.col("n1") - F.col("n0")) == 0).alias("all_literal_tokens"),
                     (F.col("b1") - F.col("b0")).alias("n_binop"))
@@ -376,7 +382,7 @@ def rule_java_unhandled_exception(feat: DataFrame, methods: DataFrame | None = N
     # try blocks: the '{' after `try` or after a try-with-resources header
     try_open = feat.filter((F.col("tok") == "{") & ((F.col("prev") == "try") | (F.col("prev") == ")")))
     tr_close = feat.filter((F.col("tok") == "(") & (F.col("prev") == "try")).select(
-        "file_id", (F.col("pmatch") + 1).alias("idx"))
+        "file_id", F.col("after_close_idx").alias("idx"))
     res_open = try_open.filter(F.col("prev") == ")").join(tr_close, ["file_id", "idx"], "left_semi")
     tb = (try_open.filter(F.col("prev") == "try").unionByName(res_open)
           .select("file_id", F.col("idx").alias("open_idx"), F.col("bmatch").alias("close_idx")))
