@@ -116,3 +116,22 @@ def structure_summary(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     for p in parts:
         out = out.join(p, "file_id", "left")
     return out.withColumn("language", F.lit("python"))
+
+
+def java_structure_summary(feat: DataFrame, sources: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """One nested row per Java file: lines of code, imports, classes (with
+    their bases), methods (parameters, return type, annotations) and calls,
+    each list in token order and bounded by the file."""
+    s = J.java_structure(feat, methods)
+
+    def nest(df: DataFrame, name: str, order: str, cols: list[str]) -> DataFrame:
+        return df.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias(name))
+
+    parts = [nest(s["imports"], "imports", "seq", ["import_path"]),
+             nest(s["classes"], "classes", "class_idx", ["name", "line_start", "bases"]),
+             nest(s["methods"], "functions", "name_idx", ["name", "line_start", "args", "returns", "annotations"]),
+             nest(s["calls"], "calls", "seq", ["member", "line"])]
+    out = lines_of_code(sources)
+    for p in parts:
+        out = out.join(p, "file_id", "left")
+    return out.withColumn("language", F.lit("java"))
