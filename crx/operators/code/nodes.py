@@ -36,14 +36,23 @@ PY_VERSION = "%d.%d.%d" % sys.version_info[:3]
 _TEXT_SLOTS = {"func", "decorator_list", "bases", "returns", "targets"}
 
 
+_NAME_FIELD: dict[type, str | None] = {}
+
+
 def _name_of(node: ast.AST):
-    for attr in ("id", "attr", "arg", "name"):
-        v = getattr(node, attr, None)
-        if isinstance(v, str):
-            return v
-    if isinstance(node, ast.ImportFrom):
-        return node.module
-    return None
+    """The node's own name (id / attr / arg / name; module of ImportFrom). The
+    field to read is looked up once per node class."""
+    t = type(node)
+    field = _NAME_FIELD.get(t, "")
+    if field == "":
+        field = next((a for a in ("id", "attr", "arg", "name") if a in t._fields), None)
+        if t is ast.ImportFrom:
+            field = "module"
+        _NAME_FIELD[t] = field
+    if field is None:
+        return None
+    v = getattr(node, field, None)
+    return v if isinstance(v, str) else None
 
 
 def _safe_unparse(node: ast.AST):
