@@ -169,7 +169,7 @@ FROM review_issues GROUP BY 1""")
 def q_issue_trend_stream(spark, d):
     """Issues streamed through daily windows with a 2-day watermark. The
     input lands in one micro-batch, so no row is behind the watermark and the
-    result equals the batch count (late rows in later batches are dropped)."""
+    result equals the batch count."""
     base = _scratch(spark, "trend")
     X.review_issues(spark, d).select("id", "created_at").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("id bigint, created_at timestamp_ntz").parquet(f"{base}/in")

@@ -73,8 +73,9 @@ TREND_SCHEMA = "day string, issue_count bigint, seq bigint"
 def issue_trend_stream(issues: DataFrame, out_base: str, checkpoint: str, watermark: str = "2 days",
                        name: str = "issue_trend") -> None:
     """Daily issue counts over a stream: 1-day tumbling windows on created_at
-    with a watermark; rows later than the watermark are dropped (state for
-    closed days is evicted). Updated days are upserted into a versioned table."""
+    with a watermark, so state for days behind the watermark is evicted (rows
+    that late may be dropped; Spark does not guarantee it). Updated days are
+    upserted into a versioned table."""
     ev = issues.withColumn("event_time", ntz_to_instant(F.col("created_at")))
     counts = (ev.withWatermark("event_time", watermark)
               .groupBy(F.window("event_time", "1 day").alias("w"))
