@@ -106,8 +106,9 @@ def java_tokens(sources: DataFrame) -> DataFrame:
     (line in the high 32 bits, position in the line below); it is not dense,
     so neighbours are taken with lead/lag, never idx +/- 1, and no window is
     needed to number the tokens."""
-    lines = sources.select("file_id", "path", F.posexplode(
-        F.split(_blank_block_comments(F.col("content")), "\n", -1)).alias("ln", "text"))
+    content = F.col("content")
+    text = F.when(F.instr(content, "/*") > 0, _blank_block_comments(content)).otherwise(content)
+    lines = sources.select("file_id", "path", F.posexplode(F.split(text, "\n", -1)).alias("ln", "text"))
     toks = lines.select("file_id", "path", (F.col("ln") + 1).alias("line"),
                         F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_RE), 0)).alias("col", "tok"))
     toks = toks.filter(~F.col("tok").startswith("//"))

@@ -69,3 +69,9 @@ def test_structure(spark):
     assert (c.name, c.bases) == ("A", ["Base", "Runnable", "Comparable"])
     ms = {r.name: (r.args, r.annotations) for r in s["methods"].collect()}
     assert ms == {"A": (["x"], []), "names": (["m", "n"], ["@Override"])}
+
+
+def test_block_comments_keep_line_numbers(spark):
+    src = ("public class A {\n/* a comment\n   over three\n   lines with exec(x) */\n"
+           "  void a() throws Exception { Runtime.getRuntime().exec(cmd); } // exec(y)\n}\n")
+    assert _lines(spark, J.rule_java_command_injection, src) == [5]
