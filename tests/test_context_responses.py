@@ -92,3 +92,24 @@ def test_line_comment_body(spark):
     assert 2 not in got
     assert got[3] == " **Info**: T\n\nD"
     assert json.dumps(got[3])
+
+
+def test_cascade_delete_and_constraint_report(spark):
+    prs = spark.createDataFrame([(1, 10, "a"), (2, 10, "b"), (3, 99, None)], "id long, repository_id long, title string")
+    recs = spark.createDataFrame([(100, 1, "completed"), (101, 2, "pending"), (102, 7, "failed")],
+                                 "id long, pull_request_id long, status string")
+    issues = spark.createDataFrame([(1000, 100), (1001, 101), (1002, 101)], "id long, review_record_id long")
+    t = {"pull_requests": prs, "review_records": recs, "review_issues": issues}
+    out = M.cascade_delete(t, spark.createDataFrame([(2,)], "id long"))
+    assert sorted(r.id for r in out["pull_requests"].collect()) == [1, 3]
+    assert sorted(r.id for r in out["review_records"].collect()) == [100, 102]
+    assert sorted(r.id for r in out["review_issues"].collect()) == [1000]
+    repos = spark.createDataFrame([(10, 5, "n", "o/n", "o"), (11, 5, "m", "o/m", "o")],
+                                  "id long, github_repo_id long, name string, full_name string, owner string")
+    rep = M.constraint_report({"repositories": repos, "pull_requests": prs.withColumn("pr_number", prs.id)
+                               .withColumn("author", prs.title), "review_records": recs})
+    got = sorted((r.check, r.table_name, r.column, r.key, r.n) for r in rep.collect())
+    assert ("unique", "repositories", "github_repo_id", "5", 2) in got
+    assert ("foreign_key", "pull_requests", "repository_id", "99", 1) in got
+    assert ("foreign_key", "review_records", "pull_request_id", "7", 1) in got
+    assert ("not_null", "pull_requests", "title", None, 1) in got
