@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +38,16 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; set a scratch one only when unset
-    (local tests). On a cluster `spark.checkpoint.dir` names a shared folder."""
+    """The shared folder for intermediates: `spark.checkpoint.dir` of the session.
+    Only a local master may do without; it gets a scratch folder. On a cluster a
+    missing setting is an error, since executors would write to their own disks."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="crx-ckpt-", dir=os.environ.get("CRX_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -49,6 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python
+    workers can import it wherever the job was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="crx-package-")) / "crx.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "crx").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
