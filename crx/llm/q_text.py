@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crx.llm.fingerprints import edit_report
+from crx.llm.ngram_join import similarity_classes
 from crx.llm.packing import pack_documents
 from crx.llm.queries import query, table
 
@@ -17,6 +18,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (similarity_classes(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
+            .select("doc_id", "class_id", "n_links", "n_copies"))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024, end_id=0)
