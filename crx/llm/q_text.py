@@ -9,6 +9,7 @@ from crx.llm.fingerprints import edit_report
 from crx.llm.ngram_join import similarity_classes
 from crx.llm.packing import pack_documents
 from crx.llm.queries import query, table
+from crx.llm.toxicity import score_documents, train
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -30,6 +31,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(table(spark, sf_dir, "documents"))
