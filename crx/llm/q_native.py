@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crx.llm.exact_dedup import exact_groups
 from crx.llm.mixing import mixture
+from crx.llm.pii import private_spans
+from crx.llm.pii import report as pii_report
 from crx.llm.queries import query, table
+from crx.llm.secrets import report as secret_report
+from crx.llm.secrets import secret_spans
 from crx.llm.url_rules import judge_urls
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -67,3 +71,13 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(private_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(secret_spans(table(spark, sf_dir, "documents")))
