@@ -10,6 +10,7 @@ from crx.llm.ngram_join import similarity_classes
 from crx.llm.packing import pack_documents
 from crx.llm.queries import query, table
 from crx.llm.toxicity import score_documents, train
+from crx.llm.warc import build_derivatives, responses_of_pages
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -25,6 +26,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "class_id", "n_links", "n_copies"))
 
 
+@query("op2_warc")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024, end_id=0)
