@@ -3,8 +3,9 @@
 The diff text is exploded into numbered lines once; the parser's state (current
 file, current hunk, running counters) is recovered with window functions over
 (review_id ORDER BY line_no). Every window shares that partitioning, so the
-lines are shuffled once per review. Diffs are size-gated first (500,000 bytes),
-which bounds the rows of one review.
+lines are shuffled once per review. `gated_diff_text` drops reviews whose diff is
+over the limit before any text is assembled; on its output a review has at most
+500,000 bytes of lines. `parsed_diff` itself takes any diff.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from crx.functions.text import is_blank, py_split_ws, splitlines
 
 MAX_DIFF_BYTES = 500_000
 HUNK_RE = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
-BUCKET = 64  # lines per bucket of the anchoring range join
 
 
 def build_diff_text(pr_files: DataFrame) -> DataFrame:
@@ -41,6 +41,17 @@ def diff_size_gate(diffs: DataFrame, max_bytes: int = MAX_DIFF_BYTES) -> DataFra
                 .withColumn("accepted", F.col("diff_bytes") <= max_bytes)
 
 
+def gated_diff_text(pr_files: DataFrame, max_bytes: int = MAX_DIFF_BYTES) -> DataFrame:
+    """`build_diff_text` of the reviews whose text is not above the limit. Sizes are
+    summed first, so the text of a review beyond the limit is never gathered:
+    the three header lines with the name four times, the patch, and newlines."""
+    size = F.octet_length("patch") + 4 * F.octet_length("filename") + len("diff --git a/ b/") + len("--- a/") + len("+++ b/") + 3
+    present = F.col("patch").isNotNull() & (F.col("patch") != "")
+    small = (pr_files.filter(present).groupBy("review_id").agg((F.sum(size.cast("long") + 1) - 1).alias("n"))
+             .filter(F.col("n") <= max_bytes).select("review_id"))
+    return build_diff_text(pr_files.join(small, "review_id", "left_semi"))
+
+
 def diff_lines_raw(diffs: DataFrame) -> DataFrame:
     """(review_id, line_no, line) with Python splitlines semantics; blank-only
     text gives no lines."""
@@ -181,7 +192,7 @@ def diff_totals(stats: DataFrame) -> DataFrame:
 
 
 def hunks_by_file(hunks: DataFrame) -> DataFrame:
-    """File -> ordered list of its hunks (bounded by the diff size gate)."""
+    """File -> ordered list of its hunks, gathered per file."""
     return (hunks.groupBy("review_id", "file_path")
             .agg(F.array_sort(F.collect_list(F.struct(
                 "hunk_idx", "header", "old_start", "old_count", "new_start", "new_count"))).alias("hunks")))
@@ -200,31 +211,42 @@ def diff_walk(diffs: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     return (p.filter(F.col("is_body") & (F.col("kind") != "-"))
             .select("review_id", "file_path", "hunk_line", "line_no", "kind",
                     F.substring("line", 2, 1 << 30).alias("content"), "new_line", "position",
-                    "new_start", "new_count"))
+                    "new_start", "new_count", "file_line"))
+
+
+FINDING_KEY = ["review_id", "src_rank", "seq"]
 
 
 def anchor_findings(findings: DataFrame, walk: DataFrame) -> DataFrame:
-    """Adds `position`: the first non-removed line whose new line lies in
-    [line_start, line_end], looking only in hunks that overlap the finding;
-    null when none (fallback comment).
-
-    Range join by buckets: walk lines are keyed by (review, file, new_line div
-    BUCKET); a finding's range is first clipped to the file's line span (exact:
-    no line lies outside it) and then expanded to the buckets it covers, so the
-    join never pairs a finding with every line of its file."""
-    span = walk.groupBy("review_id", "file_path").agg(F.min("new_line").alias("lo"), F.max("new_line").alias("hi"))
-    f = findings.select("review_id", "file_path", "seq", "line_start", "line_end")
-    clipped = (f.join(span, ["review_id", "file_path"])
-               .select("review_id", "file_path", "seq", "line_start", "line_end",
-                       F.greatest("line_start", "lo").alias("a"), F.least("line_end", "hi").alias("b"))
-               .filter(F.col("a") <= F.col("b")))
-    probes = clipped.select("review_id", "file_path", "seq", "line_start", "line_end", F.explode(
-        F.sequence(F.floor(F.col("a") / BUCKET), F.floor(F.col("b") / BUCKET))).alias("bucket"))
-    lines = walk.select("review_id", "file_path", "new_line", "position", "new_start", "new_count",
-                        F.floor(F.col("new_line") / BUCKET).alias("bucket"))
-    hits = (probes.join(lines, ["review_id", "file_path", "bucket"])
-            .filter((F.col("new_line") >= F.col("line_start")) & (F.col("new_line") <= F.col("line_end"))
-                    & ~((F.col("line_end") < F.col("new_start"))
-                        | (F.col("line_start") > F.col("new_start") + F.col("new_count") - 1)))
-            .groupBy("review_id", "seq").agg(F.min("position").alias("position")))
-    return findings.join(hits, ["review_id", "seq"], "left")
+    """Adds `diff_position`: the position of the first non-removed line whose new
+    line lies in [line_start, line_end], looking only in hunks that overlap the
+    finding; null when none (fallback comment). A finding is (review_id, src_rank,
+    seq); src_rank is 0 where the column is missing.
+
+    An as-of lookup: lines and findings of a file section are sorted by line
+    together, and each finding takes the next line at or after its start, which is
+    then tested against its end. A line beyond its hunk's declared length is never
+    the answer: a finding that overlaps the hunk and such a line also covers an
+    earlier line. A path that occurs in several sections is looked up in each."""
+    has_rank = "src_rank" in findings.columns
+    f = findings if has_rank else findings.withColumn("src_rank", F.lit(0))
+    lines = walk.filter(F.col("new_line") <= F.col("new_start") + F.col("new_count") - 1)
+    where = ["review_id", "file_path", "file_line"]
+    sections = lines.select(*where).distinct()
+    probes = (f.select(*FINDING_KEY, "file_path", "line_start", "line_end").join(sections, ["review_id", "file_path"])
+              .select(*where, F.col("line_start").cast("long").alias("at"), F.lit(1).alias("is_probe"), "src_rank", "seq",
+                      F.col("line_end").cast("long").alias("until"), F.lit(None).cast("struct<line:long,position:long>").alias("hit")))
+    none = F.lit(None)
+    targets = lines.select(*where, F.col("new_line").cast("long").alias("at"), F.lit(0).alias("is_probe"),
+                           none.cast(dict(f.dtypes)["src_rank"]).alias("src_rank"), none.cast(dict(f.dtypes)["seq"]).alias("seq"),
+                           none.cast("long").alias("until"),
+                           F.struct(F.col("new_line").cast("long").alias("line"), F.col("position").cast("long").alias("position")).alias("hit"))
+    # from the last line back: the latest line seen is the next one at or after the probe;
+    # of several lines with one number the first in the diff comes last
+    back = (Window.partitionBy(*where).orderBy(F.desc("at"), "is_probe", F.desc("hit.position"))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = (targets.unionByName(probes).withColumn("next", F.last("hit", ignorenulls=True).over(back))
+             .filter((F.col("is_probe") == 1) & (F.col("next.line") <= F.col("until")))
+             .groupBy(*FINDING_KEY).agg(F.min("next.position").alias("diff_position")))
+    out = f.join(found, FINDING_KEY, "left")
+    return out if has_rank else out.drop("src_rank")

@@ -144,9 +144,9 @@ anchor_exp AS (
 
 
 @query("anchor_findings", oracle="WITH " + ANCHOR_SQL + """
-SELECT p.review_id, p.seq, p.file_path, p.line_start, p.line_end, a.position
+SELECT p.review_id, p.seq, p.file_path, p.line_start, p.line_end, a.position AS diff_position
 FROM anchor_probes p LEFT JOIN anchor_exp a ON a.review_id = p.review_id AND a.seq = p.seq""")
 def q_anchor_findings(spark, d):
     walk = DF.diff_walk(None, _parsed(spark, d))
     return DF.anchor_findings(X.anchor_probes(spark, d), walk).select(
-        "review_id", "seq", "file_path", "line_start", "line_end", "position")
+        "review_id", "seq", "file_path", "line_start", "line_end", "diff_position")

@@ -26,7 +26,7 @@ _HEAD = """CASE severity WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟠'
 
 
 @query("line_comments", oracle="WITH " + ANCHOR_SQL + f"""
-SELECT p.review_id, p.seq, p.file_path AS path, a.position,
+SELECT p.review_id, p.seq, p.file_path AS path, a.position AS diff_position,
   {_HEAD.replace('severity', 'p.severity')} || ': ' || p.title || chr(10) || chr(10) || p.description
   || CASE WHEN p.suggestion <> '' THEN chr(10) || chr(10) || '**建议修复**:' || chr(10) || '```suggestion' || chr(10)
           || p.suggestion || chr(10) || '```' ELSE '' END AS body

@@ -59,7 +59,7 @@ def test_walk_positions_and_anchor(spark):
     f = spark.createDataFrame(
         [(1, 1, "app/a.py", 3, 3), (1, 2, "app/a.py", 12, 40), (1, 3, "app/a.py", 6, 9), (1, 4, "zzz.py", 1, 1)],
         "review_id long, seq long, file_path string, line_start int, line_end int")
-    got = {r.seq: r.position for r in DF.anchor_findings(f, walk).collect()}
+    got = {r.seq: r.diff_position for r in DF.anchor_findings(f, walk).collect()}
     assert got == {1: 5, 2: 9, 3: None, 4: None}
 
 
