@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crx.functions.text import PY_WS_CLASS
@@ -16,9 +16,10 @@ SENSITIVITY_DEFAULT = 0.7
 
 
 def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], cols: list[str],
-                  order_col: str = "seq") -> DataFrame:
+                  order_col: str = "seq", defaults: dict[str, Column] | None = None) -> DataFrame:
     """Insert new keys, overwrite `cols` of existing keys, keep the other
-    columns; within the batch the last row per key (by `order_col`) wins.
+    columns; within the batch the last row per key (by `order_col`) wins. In an
+    inserted row the other columns take `defaults` (missing: null).
 
     The latest row per key is a partial aggregate (max_by), so a key repeated
     across a third of the batch still combines map-side."""
@@ -33,7 +34,8 @@ def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], cols: li
         elif c in cols:
             out.append(F.when(F.col("_in_batch"), F.col("_b")[c]).otherwise(F.col(c)).alias(c))
         else:
-            out.append(F.col(c))
+            fresh = F.col("_in_target").isNull()
+            out.append(F.when(fresh, (defaults or {}).get(c, F.lit(None))).otherwise(F.col(c)).alias(c))
     return j.select(*out)
 
 

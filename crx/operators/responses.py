@@ -15,28 +15,43 @@ FENCE_RE = r"(?sU)```(?:json)?\s*(.*?)```"
 PHASE1_FAILED = "Failed to parse Phase 1 response"
 
 
+ALLOW_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def _parsed(text: Column) -> Column:
+    """Variant of a text that is one JSON value and nothing else; else null."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def extract_json(text: Column) -> Column:
     """Variant of the first fenced block if it parses; else of the text from the
-    first '{' to the last '}' if that parses; else null."""
-    fenced = F.when(text.rlike(FENCE_RE), F.try_parse_json(F.regexp_extract(text, FENCE_RE, 1)))
+    first '{' to the last '}' if that parses; else null. Text after a value makes
+    it invalid; of repeated keys the last counts (`with_json` sets the session
+    option for that); NaN and Infinity, which are not JSON, are invalid."""
+    fenced = _parsed(F.regexp_extract(text, FENCE_RE, 1))  # no block: empty, so null
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    braces = F.when((first > 0) & (F.instr(text, "}") > 0) & (last >= first),
-                    F.try_parse_json(text.substr(first, last - first + 1)))
+    braces = F.when((first > 0) & (F.instr(text, "}") > 0) & (last >= first), _parsed(text.substr(first, last - first + 1)))
     return F.coalesce(fenced, braces)
 
 
+def _fields(v: Column) -> Column:
+    """The members of a JSON object; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def json_kind(v: Column) -> Column:
     """'object', 'array', 'string', ... of a variant (null stays null)."""
-    s = F.schema_of_variant(v)
     return (F.when(v.isNull(), F.lit(None))
-             .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
-             .otherwise(F.lower(F.regexp_extract(s, r"^(\w+)", 1))))
+             .when(_fields(v).isNotNull(), "object").when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), "array")
+             .otherwise(F.lower(F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1))))
 
 
 def _truthy_object(v: Column) -> Column:
     """A parsed, non-empty JSON object (the only shape the reference can use)."""
-    return F.coalesce((json_kind(v) == "object") & (F.schema_of_variant(v) != "OBJECT<>"), F.lit(False))
+    return F.coalesce(F.size(_fields(v)) > 0, F.lit(False))
 
 
 def _get(v: Column, path: str, typ: str, default) -> Column:
@@ -44,6 +59,7 @@ def _get(v: Column, path: str, typ: str, default) -> Column:
 
 
 def with_json(responses: DataFrame) -> DataFrame:
+    responses.sparkSession.conf.set(ALLOW_REPEATED_KEYS, "true")
     return responses.withColumn("json", extract_json(F.col("text")))
 
 
@@ -73,14 +89,14 @@ def parse_findings(responses: DataFrame) -> DataFrame:
     exploded = with_json(responses).select(
         "review_id", "phase", "seq", F.posexplode(items).alias("item_idx", "item"))
     it = F.col("item")
-    return exploded.filter(json_kind(it) == "object").select(
+    return exploded.filter(_fields(it).isNotNull()).select(
         "review_id", "phase", "seq", "item_idx",
         _get(it, "$.rule_id", "string", "AI-UNKNOWN").alias("rule_id"),
         _get(it, "$.severity", "string", "warning").alias("severity"),
         _get(it, "$.category", "string", "logic").alias("category"),
         _get(it, "$.file_path", "string", "").alias("file_path"),
-        _get(it, "$.line_start", "int", 1).alias("line_start"),
-        _get(it, "$.line_end", "int", 1).alias("line_end"),
+        _get(it, "$.line_start", "bigint", 1).alias("line_start"),
+        _get(it, "$.line_end", "bigint", 1).alias("line_end"),
         _get(it, "$.title", "string", "").alias("title"),
         _get(it, "$.description", "string", "").alias("description"),
         _get(it, "$.suggestion", "string", "").alias("suggestion"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crx.operators import events as EV
@@ -13,6 +15,7 @@ from crx.plans.session import ensure_checkpoint_dir
 from crx.sources import fixtures as X
 from crx.sources import readers as RD
 from crx.sources.fixture_sql import register, sql_str
+from crx.sources.tables import DEFAULTS, load_tables
 from crx.streaming import jobs as S
 
 register("wh_seed", """
@@ -152,29 +155,29 @@ SELECT o_orderkey AS review_id,
        CASE WHEN o_orderstatus = 'O' THEN o_orderdate ELSE o_orderdate + INTERVAL 1 DAY END AS updated_at
 FROM orders""")
 def q_review_lifecycle_stream(spark, d):
-    """Status changes streamed in several files; foreachBatch keeps the
-    latest status per review in a versioned table."""
+    """Status changes streamed in several files, oldest sequence last; the reader
+    takes the latest change per review."""
     base = _scratch(spark, "lifecycle")
     X.status_events(spark, d).repartition(3, "seq").write.parquet(f"{base}/in")
     stream = (spark.readStream.schema("review_id bigint, status string, error_message string, ts timestamp_ntz, seq int")
               .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
-    S.review_lifecycle_stream(stream, f"{base}/state", f"{base}/ckpt")
-    return S.read_versioned(spark, f"{base}/state", S.LIFECYCLE_SCHEMA).select(
-        "review_id", "status", "error_message", "updated_at")
+    S.review_lifecycle_stream(stream, f"{base}/changes", f"{base}/ckpt")
+    return S.read_lifecycle(spark, f"{base}/changes").select("review_id", "status", "error_message", "updated_at")
 
 
 @query("issue_trend_stream", oracle="""
 SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day, count(*) AS issue_count
 FROM review_issues GROUP BY 1""")
 def q_issue_trend_stream(spark, d):
-    """Issues streamed through daily windows with a 2-day watermark. The
-    input lands in one micro-batch, so no row is behind the watermark and the
-    result equals the batch count."""
+    """Issues streamed through daily windows in three or more micro-batches, out of
+    order: rows are dealt by id, so every batch holds all days. The watermark is
+    wider than the data, so no row is behind it and the result equals the batch
+    count."""
     base = _scratch(spark, "trend")
-    X.review_issues(spark, d).select("id", "created_at").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("id bigint, created_at timestamp_ntz").parquet(f"{base}/in")
-    S.issue_trend_stream(stream, f"{base}/state", f"{base}/ckpt")
-    return S.read_versioned(spark, f"{base}/state", S.TREND_SCHEMA).select("day", "issue_count")
+    X.review_issues(spark, d).select("id", "created_at").repartition(3, "id").write.parquet(f"{base}/in")
+    stream = (spark.readStream.schema("id bigint, created_at timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    S.issue_trend_stream(stream, f"{base}/counts", f"{base}/ckpt", watermark="36500 days")
+    return S.read_issue_trend(spark, f"{base}/counts")
 
 
 # ------------------------------------------------------------- maintenance
@@ -185,30 +188,30 @@ WITH latest AS (SELECT github_user_id, arg_max(login, seq) AS login, arg_max(ava
 SELECT coalesce(u.github_user_id, l.github_user_id) AS github_user_id,
        CASE WHEN l.github_user_id IS NOT NULL THEN l.login ELSE u.login END AS login,
        CASE WHEN l.github_user_id IS NOT NULL THEN l.avatar_url ELSE u.avatar_url END AS avatar_url,
-       u.is_admin,
+       CASE WHEN u.github_user_id IS NULL THEN false ELSE u.is_admin END AS is_admin,
        CASE WHEN l.github_user_id IS NOT NULL THEN l.last_login_at ELSE u.last_login_at END AS last_login_at,
-       u.created_at
+       CASE WHEN u.github_user_id IS NULL THEN l.last_login_at ELSE u.created_at END AS created_at
 FROM users u FULL OUTER JOIN latest l ON u.github_user_id = l.github_user_id""")
 def q_upsert_by_key(spark, d):
     return M.upsert_by_key(X.users(spark, d), X.login_feed(spark, d), ["github_user_id"],
-                           ["login", "avatar_url", "last_login_at"], "seq")
+                           ["login", "avatar_url", "last_login_at"], "seq",
+                           defaults={"is_admin": F.lit(DEFAULTS["users"]["is_admin"]), "created_at": F.col("_b.last_login_at")})
 
 
 @query("cascade_delete", oracle="""
-SELECT 'pull_requests' AS table_name, count(*) AS n FROM pull_requests WHERE id % 3 <> 0
-UNION ALL SELECT 'review_records', count(*) FROM review_records WHERE pull_request_id % 3 <> 0
-UNION ALL SELECT 'review_issues', count(*) FROM review_issues i JOIN review_records r ON i.review_record_id = r.id
+SELECT 'pull_requests' AS table_name, id, repository_id AS parent_id FROM pull_requests WHERE id % 3 <> 0
+UNION ALL SELECT 'review_records', id, pull_request_id FROM review_records WHERE pull_request_id % 3 <> 0
+UNION ALL SELECT 'review_issues', i.id, i.review_record_id FROM review_issues i JOIN review_records r ON i.review_record_id = r.id
   WHERE r.pull_request_id % 3 <> 0""")
 def q_cascade_delete(spark, d):
-    """Delete every third pull request (by id) and everything below it."""
+    """Delete every third pull request (by id) and everything below it: the rows left."""
     t = {"pull_requests": X.pull_requests(spark, d), "review_records": X.review_records(spark, d),
          "review_issues": X.review_issues(spark, d)}
     gone = t["pull_requests"].filter(F.col("id") % 3 == 0).select("id")
     out = M.cascade_delete(t, gone)
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), [
-        out[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table_name"), "n")
-        for k in ["pull_requests", "review_records", "review_issues"]])
+    parents = {"pull_requests": "repository_id", "review_records": "pull_request_id", "review_issues": "review_record_id"}
+    return reduce(DataFrame.unionByName, [
+        out[k].select(F.lit(k).alias("table_name"), "id", F.col(p).alias("parent_id")) for k, p in parents.items()])
 
 
 @query("constraint_report", oracle="""
@@ -252,43 +255,75 @@ def q_normalize_configs(spark, d):
     return M.normalize_configs(settings)
 
 
-@query("load_patches", oracle="SELECT review_id, file_seq, filename, patch FROM pr_files")
+@query("load_patches", oracle="""
+SELECT review_id, file_seq, filename, patch, CASE WHEN patch IS NULL THEN 'renamed' ELSE 'modified' END AS status,
+       CASE WHEN patch IS NULL THEN 'old/' || filename END AS previous_filename,
+       CAST(coalesce(length(patch), 0) AS INT) AS additions, 0 AS deletions, CAST(coalesce(length(patch), 0) AS INT) AS changes
+FROM pr_files""")
 def q_load_patches(spark, d):
     base = _scratch(spark, "patches")
-    X.pr_files(spark, d).write.json(base)
-    return RD.load_patches(spark, base).select("review_id", "file_seq", "filename", "patch")
+    gone = F.col("patch").isNull()
+    size = F.coalesce(F.length("patch"), F.lit(0))
+    (X.pr_files(spark, d).select("review_id", "file_seq", "filename", "patch", F.when(gone, "renamed").otherwise("modified").alias("status"),
+                                 F.when(gone, F.concat(F.lit("old/"), "filename")).alias("previous_filename"),
+                                 size.alias("additions"), F.lit(0).alias("deletions"), size.alias("changes")).write.json(base))
+    return RD.load_patches(spark, base).select("review_id", "file_seq", "filename", "patch", "status", "previous_filename",
+                                               "additions", "deletions", "changes")
 
 
 @query("load_sources", oracle="""
 SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS length, html || chr(10) AS content FROM pages""")
 def q_load_sources(spark, d):
-    """Pages written one file each (text sink partitioned by id), read back
-    as whole files with the binary-file source and decoded."""
+    """Pages written one file each (the source reads whole files, so a file per
+    page is what it is given here), read back with the binary-file source."""
     base = _scratch(spark, "sources")
     spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").write.partitionBy("page_id").text(base)
     src = RD.load_sources(spark, base)
     return src.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "length", "content")
 
 
-@query("load_tables", oracle="""
-SELECT id, review_record_id, confidence, source FROM review_issues""")
+_TABLE_ROWS = """
+SELECT 'repositories' AS table_name, id::VARCHAR AS key, concat_ws('|', github_repo_id, full_name, owner, default_branch, coalesce(language, '-')) AS content FROM repositories
+UNION ALL SELECT 'pull_requests', id::VARCHAR, concat_ws('|', repository_id, pr_number, title, author) FROM pull_requests
+UNION ALL SELECT 'review_records', id::VARCHAR, concat_ws('|', pull_request_id, status, critical_count, warning_count, suggestion_count, total_issues) FROM review_records
+UNION ALL SELECT 'review_issues', id::VARCHAR, concat_ws('|', review_record_id, file_path, line_start, line_end, severity, category, rule_id, title, source) FROM review_issues
+UNION ALL SELECT 'repo_configs', repository_id::VARCHAR, concat_ws('|', auto_review, review_language, max_files_per_review) FROM repo_configs
+UNION ALL SELECT 'users', github_user_id::VARCHAR, concat_ws('|', login, avatar_url, is_admin) FROM users"""
+_TABLE_COLS = {
+    "repositories": ("id", ["github_repo_id", "full_name", "owner", "default_branch", "language"]),
+    "pull_requests": ("id", ["repository_id", "pr_number", "title", "author"]),
+    "review_records": ("id", ["pull_request_id", "status", "critical_count", "warning_count", "suggestion_count", "total_issues"]),
+    "review_issues": ("id", ["review_record_id", "file_path", "line_start", "line_end", "severity", "category", "rule_id", "title", "source"]),
+    "repo_configs": ("repository_id", ["auto_review", "review_language", "max_files_per_review"]),
+    "users": ("github_user_id", ["login", "avatar_url", "is_admin"])}
+
+
+@query("load_tables", oracle=_TABLE_ROWS)
 def q_load_tables(spark, d):
-    """The six tables written with nulls where defaults apply, then scanned
-    with fixed schemas and defaults filled."""
+    """The six tables written with nulls where defaults apply, then scanned with
+    fixed schemas and defaults filled: every row of every table, as one text."""
     base = _scratch(spark, "tables")
     for name, df in X.review_tables(spark, d).items():
         df.write.parquet(f"{base}/{name}.parquet")
-    from crx.sources.tables import load_tables
-    t = load_tables(spark, base)
-    return t["review_issues"].select("id", "review_record_id", "confidence", "source")
+    parts = []
+    for name, df in load_tables(spark, base).items():
+        key, cols = _TABLE_COLS[name]
+        text = [F.coalesce(F.col(c), F.lit("-")) if c == "language" else F.col(c).cast("string") for c in cols]
+        parts.append(df.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.concat_ws("|", *text).alias("content")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("write_review", oracle="""
-SELECT status, count(*) AS n FROM review_records GROUP BY status""")
+SELECT 'review' AS part, id, id AS review_id, status AS content FROM review_records
+UNION ALL SELECT 'issue', id, review_record_id, concat_ws('|', file_path, line_start, line_end, severity, title) FROM review_issues""")
 def q_write_review(spark, d):
+    """Reviews and the findings linked to them, saved and read back."""
     base = _scratch(spark, "reviews_out")
-    RD.write_review(X.review_records(spark, d), base, ("status",))
-    return spark.read.parquet(base).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    RD.save_reviews(X.review_records(spark, d), X.review_issues(spark, d), base)
+    r, i = spark.read.parquet(f"{base}/review_records"), spark.read.parquet(f"{base}/review_issues")
+    return r.select(F.lit("review").alias("part"), "id", F.col("id").alias("review_id"), F.col("status").alias("content")).unionByName(
+        i.select(F.lit("issue").alias("part"), "id", F.col("review_record_id").alias("review_id"),
+                 F.concat_ws("|", "file_path", F.col("line_start").cast("string"), F.col("line_end").cast("string"), "severity", "title").alias("content")))
 
 
 @query("load_webhook_stream", oracle="SELECT delivery_id, event_type, ts FROM wh_exp")

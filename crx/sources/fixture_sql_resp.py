@@ -15,8 +15,8 @@ register("resp_item_exp", """
               WHEN l_returnflag = 'A' THEN 'warning' ELSE 'suggestion' END AS severity,
          ['security','logic','performance','best_practice','style'][(l_partkey % 5)::INT + 1] AS category,
          'src/f' || (l_suppkey % 2)::VARCHAR || '.py' AS file_path,
-         CAST(l_quantity AS INT) AS line_start,
-         CASE WHEN l_linenumber = 4 THEN 1 ELSE CAST(l_quantity AS INT) + l_linenumber END AS line_end,
+         CAST(l_quantity AS BIGINT) AS line_start,
+         CAST(CASE WHEN l_linenumber = 4 THEN 1 ELSE CAST(l_quantity AS INT) + l_linenumber END AS BIGINT) AS line_end,
          'Finding ' || rn::VARCHAR AS title, 'Details for part ' || l_partkey::VARCHAR AS description,
          CASE WHEN l_linenumber % 2 = 1 THEN 'use safe call ' || rn::VARCHAR ELSE '' END AS suggestion,
          CASE WHEN l_suppkey % 7 <> 0 THEN CAST(50 + 5 * CAST(round(l_discount * 100) AS INT) AS DOUBLE) / 100 ELSE 0.5 END AS confidence

@@ -87,13 +87,17 @@ def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     defaults applied. Missing tables are skipped."""
     out = {}
     for name, schema in SCHEMAS.items():
-        try:
-            df = spark.read.schema(schema).parquet(f"{path}/{name}.parquet")
-        except Exception:  # noqa: BLE001 - absent table
-            continue
-        out[name] = conform(name, df)
+        file = f"{path}/{name}.parquet"
+        if _exists(spark, file):
+            out[name] = conform(name, spark.read.schema(schema).parquet(file))
     return out
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists; errors other than absence (rights, storage) are raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,10 +1,10 @@
 """Structured Streaming jobs (§2.9) built from the batch operators.
 
-Sinks are files in the shared checkpoint folder (never the driver): plain
-parquet for append-only outputs, and a versioned parquet table written from
-`foreachBatch` for keyed state (each micro-batch writes version v=<batch id>
-from the previous version plus the batch, so a replayed batch rewrites the
-same version: idempotent under executor or driver restarts)."""
+Sinks are files in the shared folder (never the driver). Append-only outputs are
+plain parquet. Keyed state is not kept by a job: changes are appended as they
+come, and the reader takes the latest per key, an aggregate that combines before
+its shuffle. A daily count goes to one folder per micro-batch, overwritten when
+the batch is replayed, so a restart changes nothing."""
 
 from __future__ import annotations
 
@@ -13,42 +13,6 @@ from pyspark.sql import functions as F
 
 from crx.functions.common import instant_utc_date, ntz_to_instant
 from crx.operators import events as EV
-from crx.operators.maintain import upsert_by_key
-
-
-def _fs_latest_version(spark: SparkSession, base: str) -> str | None:
-    """Path of the highest `v=<n>` directory under base (driver metadata only)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            n = int(name[2:])
-            if best is None or n > best[0]:
-                best = (n, st.getPath().toString())
-    return best[1] if best else None
-
-
-def read_versioned(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    latest = _fs_latest_version(spark, base)
-    if latest is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(latest)
-
-
-def versioned_upsert(base: str, schema: str, keys: list[str], cols: list[str], order_col: str):
-    """foreachBatch function: merge the batch into the latest version."""
-    def fn(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        target = read_versioned(spark, base, schema)
-        merged = upsert_by_key(target, batch, keys, cols, order_col)
-        merged.write.mode("overwrite").parquet(f"{base}/v={epoch_id:012d}")
-    return fn
 
 
 def run_available_now(query_builder, name: str) -> None:
@@ -67,42 +31,45 @@ def review_requests_stream(deliveries: DataFrame, repos: DataFrame, configs: Dat
                       .option("checkpointLocation", checkpoint).outputMode("append"), name)
 
 
-TREND_SCHEMA = "day string, issue_count bigint, seq bigint"
+TREND_SCHEMA = "day string, issue_count bigint, batch bigint"
 
 
 def issue_trend_stream(issues: DataFrame, out_base: str, checkpoint: str, watermark: str = "2 days",
                        name: str = "issue_trend") -> None:
     """Daily issue counts over a stream: 1-day tumbling windows on created_at
     with a watermark, so state for days behind the watermark is evicted (rows
-    that late may be dropped; Spark does not guarantee it). Updated days are
-    upserted into a versioned table."""
+    that late may be dropped; Spark does not guarantee it). Each micro-batch
+    appends the days it changed."""
     ev = issues.withColumn("event_time", ntz_to_instant(F.col("created_at")))
     counts = (ev.withWatermark("event_time", watermark)
               .groupBy(F.window("event_time", "1 day").alias("w"))
               .agg(F.count(F.lit(1)).alias("issue_count"))
-              .select(F.date_format(instant_utc_date(F.col("w.start")), "yyyy-MM-dd").alias("day"), "issue_count",
-                      F.lit(0).cast("bigint").alias("seq")))
-    run_available_now(counts.writeStream.outputMode("update")
-                      .foreachBatch(versioned_upsert(out_base, TREND_SCHEMA, ["day"], ["issue_count"], "seq"))
+              .select(F.date_format(instant_utc_date(F.col("w.start")), "yyyy-MM-dd").alias("day"), "issue_count"))
+
+    def append(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_base}/batch={epoch_id}")
+    run_available_now(counts.writeStream.outputMode("update").foreachBatch(append)
                       .option("checkpointLocation", checkpoint), name)
 
 
-LIFECYCLE_SCHEMA = "review_id bigint, status string, error_message string, updated_at timestamp_ntz, seq bigint"
+def read_issue_trend(spark: SparkSession, out_base: str) -> DataFrame:
+    """(day, issue_count): the count of the last micro-batch that changed the day."""
+    return (spark.read.schema(TREND_SCHEMA).parquet(out_base)
+            .groupBy("day").agg(F.max_by("issue_count", "batch").alias("issue_count")))
+
+
+LIFECYCLE_SCHEMA = "review_id bigint, status string, error_message string, ts timestamp_ntz, seq bigint, day date"
 
 
-def review_lifecycle_stream(status_events: DataFrame, out_base: str, checkpoint: str,
+def review_lifecycle_stream(status_events: DataFrame, out_path: str, checkpoint: str,
                             name: str = "review_lifecycle") -> None:
-    """Current status per review from a stream of status changes: each batch
-    keeps its latest change per review and upserts it into the state table,
-    replacing the status only when the change is newer."""
-    def fn(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        target = read_versioned(spark, out_base, LIFECYCLE_SCHEMA)
-        b = batch.select("review_id", "status", "error_message", F.col("ts").alias("updated_at"),
-                         (F.unix_micros(F.col("ts").cast("timestamp")) * 4 + F.col("seq")).alias("seq"))
-        both = target.unionByName(b)
-        latest = both.groupBy("review_id").agg(
-            F.max_by(F.struct("status", "error_message", "updated_at", "seq"), F.col("seq")).alias("s"))
-        latest.select("review_id", "s.status", "s.error_message", "s.updated_at", "s.seq") \
-              .write.mode("overwrite").parquet(f"{out_base}/v={epoch_id:012d}")
-    run_available_now(status_events.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint), name)
+    """Status changes appended as they come, by day of the change."""
+    changes = status_events.select("review_id", "status", "error_message", "ts", F.col("seq").cast("bigint").alias("seq"),
+                                   F.to_date("ts").alias("day"))
+    run_available_now(changes.writeStream.format("parquet").option("path", out_path).partitionBy("day")
+                      .option("checkpointLocation", checkpoint).outputMode("append"), name)
+
+
+def read_lifecycle(spark: SparkSession, path: str) -> DataFrame:
+    """Current status per review: the change of the largest (ts, seq)."""
+    return EV.review_lifecycle(spark.read.schema(LIFECYCLE_SCHEMA).parquet(path))

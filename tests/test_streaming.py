@@ -22,11 +22,14 @@ def test_lifecycle_keeps_latest_change_when_older_arrives_later(spark):
     time.sleep(1.1)
     _write(spark, [(1, "pending", None, t0, 0), (2, "pending", None, t0, 0), (3, "pending", None, t0, 0)],
            schema, f"{base}/in/b")
+    time.sleep(1.1)
+    # a large sequence number does not outrank a later time
+    _write(spark, [(4, "first", None, t0, 9), (4, "second", None, t0 + dt.timedelta(microseconds=1), 0)], schema, f"{base}/in/c")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(f"{base}/in"))
-    S.review_lifecycle_stream(stream, f"{base}/state", f"{base}/ckpt", name="t_lifecycle")
-    got = {r.review_id: r.status for r in S.read_versioned(spark, f"{base}/state", S.LIFECYCLE_SCHEMA).collect()}
-    assert got == {1: "completed", 2: "failed", 3: "pending"}
+    S.review_lifecycle_stream(stream, f"{base}/changes", f"{base}/ckpt", name="t_lifecycle")
+    got = {r.review_id: r.status for r in S.read_lifecycle(spark, f"{base}/changes").collect()}
+    assert got == {1: "completed", 2: "failed", 3: "pending", 4: "second"}
 
 
 def test_trend_drops_rows_behind_the_watermark(spark):
@@ -41,7 +44,7 @@ def test_trend_drops_rows_behind_the_watermark(spark):
     _write(spark, [(3, dt.datetime(2024, 1, 1, 9)), (4, d10)], schema, f"{base}/in/b")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(f"{base}/in"))
-    S.issue_trend_stream(stream, f"{base}/state", f"{base}/ckpt", watermark="2 days", name="t_trend")
-    got = {r.day: r.issue_count for r in S.read_versioned(spark, f"{base}/state", S.TREND_SCHEMA).collect()}
+    S.issue_trend_stream(stream, f"{base}/counts", f"{base}/ckpt", watermark="2 days", name="t_trend")
+    got = {r.day: r.issue_count for r in S.read_issue_trend(spark, f"{base}/counts").collect()}
     assert got["2024-01-11"] == 3
     assert set(got) <= {"2024-01-11", "2024-01-01"}
