@@ -99,24 +99,38 @@ class LexiconTrie:
 
 
 class Matcher:
-    """Hits of single white-space tokens, remembered; clean words are no misspellings."""
+    """Hits of white-space tokens, remembered; clean words are no misspellings."""
 
     def __init__(self, trie: LexiconTrie, benign: frozenset[str]):
         self.trie, self.benign = trie, benign
-        self.memo: dict[str, tuple[int, float] | None] = {}
-
-    def hit(self, token: str) -> tuple[int, float] | None:
-        if token in self.memo:
-            return self.memo[token]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        self.seen: set[str] = set()
+        self.hits: dict[str, tuple[int, float]] = {}
+
+    def find(self, tokens: list[str]) -> set[str]:
+        """Those of the tokens that are hits; `hits` has (edits, weight) of each."""
+        kinds = set(tokens)
+        fresh = kinds - self.seen
+        if fresh:
+            if len(self.seen) > MEMO_ENTRIES:
+                self.seen, self.hits, fresh = set(), {}, kinds
+            self.seen |= fresh
+            may = self.trie.may_match
+            for token in fresh if may else ():
+                if may.search(token):
+                    self._learn(token)
+        return kinds & self.hits.keys()
+
+    def _learn(self, token: str) -> None:
         words = set(_INNER.findall(token))
         outer = _EDGES.sub("", token)
         if outer:
             words.add(outer)
         found = [m for w in words if (m := self.trie.match(w)) is not None and not (m[0] and w in self.benign)]
-        self.memo[token] = min(found, key=lambda m: (m[0], -m[1]), default=None)
-        return self.memo[token]
+        if found:
+            self.hits[token] = min(found, key=lambda m: (m[0], -m[1]))
+
+    def hit(self, token: str) -> tuple[int, float] | None:
+        return self.hits[token] if self.find([token]) else None
 
 
 def is_quoted(tokens: list[str], i: int) -> bool:
@@ -146,7 +160,7 @@ def features(text: str, matcher: Matcher) -> list[float]:
     those that address the reader, weight per word, and the largest weight within
     a passage of PASSAGE words; and the log weight of quoted hits."""
     tokens = text.lower().split()
-    hits = {t: m for t in set(tokens) if (m := matcher.hit(t)) is not None}
+    hits = matcher.find(tokens)
     if not hits:
         return [0.0] * N_FEATURES
     exact = misspelled = addressed = quoted = densest = 0.0
@@ -155,7 +169,7 @@ def features(text: str, matcher: Matcher) -> list[float]:
     for i, t in enumerate(tokens):
         if t not in hits:
             continue
-        edits, weight = hits[t]
+        edits, weight = matcher.hits[t]
         weight *= 0.5 ** edits
         if is_quoted(tokens, i):
             quoted += weight
