@@ -16,7 +16,7 @@ from crx.functions.text import line_count
 from crx.operators.code import java as J
 from crx.operators.code import nodes as N
 from crx.operators.code import python as P
-from crx.plans.materialize import stored
+from crx.plans.materialize import input_stamp, stored
 
 # File suffixes per language (case-sensitive).
 LANGUAGE_SUFFIXES = {"python": [".py", ".pyx", ".pyi"], "java": [".java"]}
@@ -63,13 +63,15 @@ def language_table(files: DataFrame, lang: str, registry: dict[str, Extractor] |
     """The extractor table (syntax nodes, tokens, ...) of the files routed to
     `lang`, written once to the shared checkpoint folder. The same files routed
     by the same suffixes to the same extractor reuse the table within the
-    session, whatever the language is called."""
+    session, whatever the language is called, until one of the files changes.
+    Rows that come from no file are scanned anew each time."""
     reg = REGISTRY if registry is None else registry
     ex = reg[lang]
     langs = list(LANGUAGE_SUFFIXES)
     branch = detect_language(files).filter(F.col("language") == lang).select("file_id", "path", "content")
     pos = langs.index(lang) if lang in langs else -1
-    key = "|".join([str(files.semanticHash()), repr([LANGUAGE_SUFFIXES[x] for x in langs]), str(pos),
+    stamp = input_stamp(files)
+    key = None if stamp is None else "|".join([stamp, repr([LANGUAGE_SUFFIXES[x] for x in langs]), str(pos),
                     f"{getattr(ex.scan, '__module__', '')}.{getattr(ex.scan, '__qualname__', repr(ex.scan))}"])
     return stored(files.sparkSession, "language_scan", key, lambda: ex.scan(branch))
 

@@ -8,8 +8,8 @@ prefix sum of +1/-1 marks, so no rule pairs tokens with spans.
 
 These are LEXICAL APPROXIMATIONS of tree rules: positions are token lines
 (the method name, the `class` keyword, the call name), a literal is a single
-literal token (optionally signed), and comments/strings are recognised by
-regular expressions (a "/*" inside a string literal is not handled).
+literal token (optionally signed), and comments, strings and text blocks are
+told apart by one alternation over the whole file.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
-TOKEN_RE = (r'"(?:\\.|[^"\\])*"' r"|'(?:\\.|[^'\\])*'" r"|//.*"
+# What may hide a comment's start, and comments: text blocks, strings, characters,
+# line comments, block comments. The leftmost one wins, as in a Java lexer.
+LITERAL_OR_COMMENT = (r'"""[\s\S]*?"""' r'|"(?:\\.|[^"\\\n])*+"' r"|'(?:\\.|[^'\\\n])*+'" r"|//[^\n]*+" r"|/\*[\s\S]*?\*/")
+TOKEN_RE = (r'"(?:\\.|[^"\\])*+"' r"|'(?:\\.|[^'\\])*+'" r"|//.*"
             r"|[A-Za-z_$][A-Za-z0-9_$]*|\d[A-Za-z0-9_.]*"
             r"|&&|\|\||==|!=|<=|>=|\+\+|--|->|::|\+=|-=|[^\s\w]")
 
@@ -93,12 +95,20 @@ def _finding(df: DataFrame, key: str, title_args=(), desc_args=(), line_end: str
 
 
 def _blank_block_comments(text: Column) -> Column:
-    """Replace block comments by the newlines they contain (keeps line numbers)."""
-    segs = F.split(text, BLOCK_COMMENT, -1)
-    nl = F.transform(F.regexp_extract_all(text, F.lit(BLOCK_COMMENT), 0),
-                     lambda c: F.repeat(F.lit("\n"), F.size(F.split(c, "\n", -1)) - 1))
-    return F.array_join(F.zip_with(segs, F.concat(nl, F.array(F.lit(""))),
-                                   lambda s, n: F.concat(s, F.coalesce(n, F.lit("")))), "")
+    """The source with comments replaced by the newlines they contain, and text
+    blocks by one-line strings followed by theirs; strings stay. Line numbers stay."""
+    pieces = F.arrays_zip(F.split(text, LITERAL_OR_COMMENT, -1).alias("gap"),
+                          F.regexp_extract_all(text, F.lit(LITERAL_OR_COMMENT), F.lit(0)).alias("hit"))
+
+    def newlines(hit: Column) -> Column:
+        return F.regexp_replace(hit, "[^\n]+", "")
+
+    def shown(p: Column) -> Column:
+        hit = F.coalesce(p["hit"], F.lit(""))
+        block = F.concat(F.lit('"'), F.regexp_replace(F.substring(hit, 4, 1 << 30), '["\\\\\n]', " "), F.lit('"'), newlines(hit))
+        return F.concat(p["gap"], F.when(hit.startswith("/*") | hit.startswith("//"), newlines(hit))
+                        .when(hit.startswith('"""'), block).otherwise(hit))
+    return F.array_join(F.transform(pieces, shown), "")
 
 
 def java_tokens(sources: DataFrame) -> DataFrame:
@@ -107,7 +117,8 @@ def java_tokens(sources: DataFrame) -> DataFrame:
     so neighbours are taken with lead/lag, never idx +/- 1, and no window is
     needed to number the tokens."""
     content = F.col("content")
-    text = F.when(F.instr(content, "/*") > 0, _blank_block_comments(content)).otherwise(content)
+    odd = (F.instr(content, "/*") > 0) | (F.instr(content, '"""') > 0)
+    text = F.when(odd, _blank_block_comments(content)).otherwise(content)
     lines = sources.select("file_id", "path", F.posexplode(F.split(text, "\n", -1)).alias("ln", "text"))
     toks = lines.select("file_id", "path", (F.col("ln") + 1).alias("line"),
                         F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_RE), 0)).alias("col", "tok"))

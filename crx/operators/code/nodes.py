@@ -55,6 +55,11 @@ def _name_of(node: ast.AST):
     return v if isinstance(v, str) else None
 
 
+def _utf8(text: str | None) -> str | None:
+    """The text with lone surrogates, which Arrow can't carry, replaced by '?'."""
+    return None if text is None else text.encode("utf-8", "replace").decode("utf-8")
+
+
 def _safe_unparse(node: ast.AST):
     try:
         return ast.unparse(node)
@@ -86,8 +91,10 @@ _NAME_SLOTS = frozenset({"targets", "func", "args", "decorator_list", "bases", "
 def _rows(file_id: int, path: str, source: str) -> list[tuple]:
     try:
         tree = ast.parse(source, filename=path)
-    except (SyntaxError, ValueError) as exc:
-        return [(file_id, path, -1, None, None, FILE_ROW, None, None, None, None, str(exc), PY_VERSION, False,
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as exc:
+        # the last two: nesting beyond the parser's stack; the file fails, not the job
+        message = _utf8(str(exc) or type(exc).__name__)
+        return [(file_id, path, -1, None, None, FILE_ROW, None, None, None, None, message, PY_VERSION, False,
                  None, len(source.splitlines()), None, None, None, None, None, None, None, None)]
     out: list[list] = []
     # iterative pre-order walk: (node, parent_id, slot, slot_idx, parent_kind)
@@ -110,15 +117,15 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
             callee = f.id if type(f) is ast.Name else _safe_unparse(f)
         out.append([
             file_id, path, nid, parent, nid, kind, pkind, slot, idx, _name_of(node),
-            value if isinstance(value, str) else None,
-            repr(value) if is_const else None,
+            _utf8(value) if isinstance(value, str) else None,
+            _utf8(repr(value)) if is_const else None,
             is_const and value is True,
             type(op).__name__ if op is not None else None,
             len(node.args) if kind == "Call" else None,
             len(node.values) if kind in ("BoolOp", "JoinedStr", "Dict") else None,
             node.level if kind == "ImportFrom" else None,
             getattr(node, "lineno", None), getattr(node, "end_lineno", None) or getattr(node, "lineno", None),
-            _text(node, slot, pkind) if slot else None, callee, cw, None])
+            _utf8(_text(node, slot, pkind)) if slot else None, _utf8(callee), cw, None])
         children = []
         for field in node._fields:
             val = getattr(node, field, None)
@@ -146,14 +153,23 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
 _COLS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
 
+OUTPUT_ROWS = 20_000  # node rows held before they are handed on
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({name: list(vals) for name, vals in zip(_COLS, zip(*rows))})
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
     for pdf in batches:
-        rows: list[tuple] = []
         for fid, path, content in zip(pdf["file_id"].tolist(), pdf["path"].tolist(), pdf["content"].tolist()):
             rows.extend(_rows(int(fid), path, content if isinstance(content, str) else ""))
-        if rows:
-            cols = list(zip(*rows))
-            yield pd.DataFrame({name: list(vals) for name, vals in zip(_COLS, cols)})
+            if len(rows) >= OUTPUT_ROWS:
+                yield _frame(rows)
+                rows = []
+    if rows:
+        yield _frame(rows)
 
 
 def code_scan(sources: DataFrame) -> DataFrame:

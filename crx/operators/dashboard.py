@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crx.functions.common import count_if, round_half_even_ratio
-from crx.plans.broadcast import literal_dim
 
 SEVERITIES = ["critical", "warning", "suggestion"]
 
@@ -53,7 +54,7 @@ def severity_distribution(issues: DataFrame) -> DataFrame:
     spark = issues.sparkSession
     counts = (issues.filter(F.col("severity").isin(SEVERITIES))
               .groupBy("severity").agg(F.count(F.lit(1)).alias("issue_count")))
-    dim = literal_dim(spark, [(s,) for s in SEVERITIES], "severity string")
+    dim = spark.createDataFrame([(s,) for s in SEVERITIES], "severity string")
     return (dim.join(counts, "severity", "left")
             .select("severity", F.coalesce("issue_count", F.lit(0)).cast("long").alias("issue_count")))
 
@@ -101,23 +102,24 @@ def repo_comparison(repos: DataFrame, prs: DataFrame, records: DataFrame,
             .select("repository_id", "repo_name", "total_reviews", "total_issues", "critical_count"))
 
 
+def _long(df: DataFrame, part: str, key: str | None) -> DataFrame:
+    """(part, item, metric, value): a row per number of a dashboard part."""
+    item = F.lit("") if key is None else F.col(key).cast("string")
+    metrics = [c for c, t in df.dtypes if c != key and t not in ("string", "date")]
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics])
+    return df.select(F.lit(part).alias("part"), item.alias("item"), F.inline(pairs))
+
+
 def dashboard_bundle(records: DataFrame, issues: DataFrame, prs: DataFrame, repos: DataFrame,
                      days: int = 30, as_of: str = "2001-06-15 12:00:00") -> DataFrame:
-    """All dashboard parts as one row of JSON documents (each part is a small
-    aggregate; the inputs are read once each through the cached plan)."""
-    parts = {
-        "overview": overview_stats(records, issues, prs, repos),
-        "by_severity": severity_distribution(issues),
-        "by_category": category_distribution(issues),
-        "trend": issue_trend(issues, days, as_of),
-        "repo_comparison": repo_comparison(repos, prs, records, issues),
-    }
-    rows = None
-    for name, df in parts.items():
-        one = df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("doc")) \
-                .select(F.lit(name).alias("part"), "doc")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """All dashboard parts in long form: (part, item, metric, value), one row per
+    number. Each part is an aggregate over its own scan of the inputs."""
+    parts = [_long(overview_stats(records, issues, prs, repos), "overview", None),
+             _long(severity_distribution(issues), "by_severity", "severity"),
+             _long(category_distribution(issues), "by_category", "category"),
+             _long(issue_trend(issues, days, as_of), "trend", "date"),
+             _long(repo_comparison(repos, prs, records, issues).drop("repository_id"), "repo_comparison", "repo_name")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def review_list(records: DataFrame, prs: DataFrame, repos: DataFrame, page: int = 1,
@@ -125,27 +127,25 @@ def review_list(records: DataFrame, prs: DataFrame, repos: DataFrame, page: int
     """One page of reviews, newest first (ties by id), with PR number, title cut
     to 60 characters, repository full name, and total / total_pages on each row.
 
-    The page is a top-k (no full sort); totals are one global count; the join of
-    the two is between <= per_page rows and one row."""
+    The page is a top-k (no full sort); the total is one count, a scalar subquery."""
     recs = records.filter(F.col("status") == status) if status else records
     page_rows = (recs.select("id", "pull_request_id", "status", "created_at")
                  .orderBy(F.desc("created_at"), F.desc("id"))
                  .offset((page - 1) * per_page).limit(per_page))
-    total = recs.agg(F.count(F.lit(1)).alias("total")).select(
-        "total", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long").alias("total_pages"))
+    total = recs.agg(F.count(F.lit(1)).alias("total")).scalar()
     pr = prs.select(F.col("id").alias("pull_request_id"), "pr_number", "title", "repository_id")
     rp = repos.select(F.col("id").alias("repository_id"), F.col("full_name").alias("repo_name"))
     return (page_rows.join(pr, "pull_request_id", "left").join(rp, "repository_id", "left")
-            .crossJoin(F.broadcast(total))
-            .select("id", "pr_number", F.substring("title", 1, 60).alias("title"), "repo_name",
-                    "status", "created_at", "total", "total_pages"))
+            .withColumn("total", total)
+            .select("id", "pr_number", F.substring("title", 1, 60).alias("title"), "repo_name", "status", "created_at", "total",
+                    F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long").alias("total_pages")))
 
 
 def review_detail_mart(records: DataFrame, prs: DataFrame, repos: DataFrame,
                        issues: DataFrame) -> DataFrame:
     """Every review with PR number, title, repository and its issues (sorted by
-    id; empty array when none). Issues per review are bounded by the diff size
-    gate, so the per-review array is bounded too."""
+    id; empty array when none). The array holds a whole review's issues; a caller
+    with unbounded reviews reads `review_issues` by review instead."""
     per_review = issues.groupBy(F.col("review_record_id").alias("id")).agg(
         F.sort_array(F.collect_list(F.struct(
             "id", "file_path", "line_start", "line_end", "severity", "category", "rule_id",

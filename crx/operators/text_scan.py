@@ -4,7 +4,7 @@ is truncated or sampled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crx.functions.text import PY_WS_CLASS, splitlines
@@ -31,19 +31,22 @@ def duplicate_blocks(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
     than once in the corpus. One row per occurrence: doc_id, line_start,
     line_end, block_hash, occurrences.
 
-    The block key is an xxhash64 of the normalised lines; counting is a
-    partial aggregate on the key, and occurrences join back on it, so a block
-    repeated across a third of the corpus is a skewed join key that AQE splits,
-    never a group gathered into one task."""
-    ln = text_lines(docs).withColumn("norm", normalise_line(F.col("line"))).filter(F.col("norm") != "")
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    nxt = [F.lead("norm", i).over(w) for i in range(1, window)]
-    blk = ln.select("doc_id", F.col("line_no").alias("line_start"),
-                    F.lead("line_no", window - 1).over(w).alias("line_end"),
-                    F.xxhash64(F.concat_ws("\n", F.col("norm"), *nxt)).alias("block_hash"))
-    blk = blk.filter(F.col("line_end").isNotNull())
-    counts = blk.groupBy("block_hash").agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
-    return blk.join(counts, "block_hash")
+    Blocks are made inside a document's line array, so lines are never shuffled.
+    A block's identity is two independent hashes of its text, 64 and 128 bits.
+    Counting is a partial aggregate on them, and occurrences join back on it, so a
+    block repeated across a third of the corpus is a skewed join key that AQE
+    splits, never a group gathered into one task."""
+    lines = F.transform(splitlines(F.coalesce(F.col("text"), F.lit(""))),
+                        lambda x, i: F.struct(normalise_line(x).alias("norm"), (i + 1).alias("line_no")))
+    kept = docs.select("doc_id", F.filter(lines, lambda s: s["norm"] != "").alias("kept")).filter(F.size("kept") >= window)
+    blocks = F.transform(F.sequence(F.lit(1), F.size("kept") - (window - 1)), lambda i: F.struct(
+        F.element_at("kept", i)["line_no"].alias("line_start"), F.element_at("kept", i + (window - 1))["line_no"].alias("line_end"),
+        F.concat_ws("\n", *[F.element_at("kept", i + j)["norm"] for j in range(window)]).alias("block")))
+    blk = (kept.select("doc_id", F.explode(blocks).alias("b"))
+           .select("doc_id", "b.line_start", "b.line_end", F.xxhash64("b.block").alias("block_hash"), F.md5("b.block").alias("block_md5")))
+    keys = ["block_hash", "block_md5"]
+    counts = blk.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
+    return blk.join(counts, keys)
 
 
 def rule_py_duplicate(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
@@ -59,18 +62,12 @@ def rule_py_duplicate(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
 def secret_line_scan(docs: DataFrame) -> DataFrame:
     """`word = "value"` assignments in free text whose name contains a secret
     word and whose stripped value is non-blank and not a placeholder."""
-    ln = text_lines(docs)
-    dq = ln.select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(ASSIGN_DQ), 0)).alias("m"),
-                   F.lit(ASSIGN_DQ).alias("rx"))
-    sq = ln.select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(ASSIGN_SQ), 0)).alias("m"),
-                   F.lit(ASSIGN_SQ).alias("rx"))
-    a = dq.unionByName(sq).select("doc_id", "line_no",
-                                  F.regexp_extract("m", ASSIGN_DQ, 1).alias("n1"), F.regexp_extract("m", ASSIGN_DQ, 2).alias("v1"),
-                                  F.regexp_extract("m", ASSIGN_SQ, 1).alias("n2"), F.regexp_extract("m", ASSIGN_SQ, 2).alias("v2"),
-                                  "rx")
-    a = a.select("doc_id", "line_no",
-                 F.when(F.col("rx") == ASSIGN_DQ, F.col("n1")).otherwise(F.col("n2")).alias("name"),
-                 F.when(F.col("rx") == ASSIGN_DQ, F.col("v1")).otherwise(F.col("v2")).alias("value"))
+    def found(pattern: str):
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), 0), lambda m: F.struct(
+            F.regexp_extract(m, pattern, 1).alias("name"), F.regexp_extract(m, pattern, 2).alias("value")))
+
+    a = (text_lines(docs).select("doc_id", "line_no", F.explode(F.concat(found(ASSIGN_DQ), found(ASSIGN_SQ))).alias("m"))
+         .select("doc_id", "line_no", "m.name", "m.value"))
     words = F.array(*[F.lit(w) for w in SECRET_WORDS])
     v = F.regexp_replace(F.col("value"), f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$", "")
     hit = a.filter((v != "") & ~F.lower(v).isin(PLACEHOLDER_VALUES)

@@ -17,15 +17,31 @@ from crx.plans.session import ensure_checkpoint_dir
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def stored(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+def input_stamp(df: DataFrame) -> str | None:
+    """The files a frame reads with their change times and sizes, and its plan: equal
+    only while both stay as they are. None if it reads anything but files."""
+    files = sorted(df.inputFiles())
+    if not files or "LogicalRDD" in (plan := df._jdf.queryExecution().analyzed().canonicalized().toString()) or "LocalRelation" in plan:
+        return None
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        st = p.getFileSystem(conf).getFileStatus(p)
+        seen.append(f"{f} {st.getModificationTime()} {st.getLen()}")
+    return plan + "\n" + "\n".join(seen)
+
+
+def stored(spark: SparkSession, name: str, key: str | None, build) -> DataFrame:
     """Return table `name` for `key`, writing `build()` to parquet on first use
     in this application (the write is the lineage cut: later readers and
-    retried tasks read files, not the plan that built them)."""
-    sk = (spark.sparkContext.applicationId, f"{name}:{key}")
+    retried tasks read files, not the plan that built them). Without a key the
+    table is written anew each time."""
+    sk = (spark.sparkContext.applicationId, f"{name}:{key if key is not None else uuid.uuid4().hex}")
     path = _STORED.get(sk)
     if path is None:
         base = ensure_checkpoint_dir(spark).rstrip("/")
-        tag = hashlib.sha1(key.encode()).hexdigest()[:12]
+        tag = hashlib.sha1(sk[1].encode()).hexdigest()[:12]
         path = f"{base}/tables/{name}-{tag}-{uuid.uuid4().hex[:8]}"
         build().write.mode("overwrite").parquet(path)
         _STORED[sk] = path

@@ -101,8 +101,9 @@ def q_review_list(spark, d):
 @query("review_detail_mart", oracle="""
 SELECT r.id, r.status, r.summary, p.pr_number, p.title AS pr_title, g.full_name AS repo_name,
        r.critical_count, r.warning_count, r.suggestion_count, r.total_issues,
-       coalesce((SELECT list(i.id ORDER BY i.id) FROM review_issues i WHERE i.review_record_id = r.id),
-                []::BIGINT[]) AS issue_ids,
+       coalesce((SELECT list(concat_ws('|', i.id, i.file_path, i.line_start, i.line_end, i.severity, i.category, i.rule_id, i.title,
+                                       CAST(round(i.confidence * 100) AS INT), i.source) ORDER BY i.id)
+                 FROM review_issues i WHERE i.review_record_id = r.id), []::VARCHAR[]) AS issues,
        (SELECT count(*) FROM review_issues i WHERE i.review_record_id = r.id) AS issue_count
 FROM review_records r LEFT JOIN pull_requests p ON p.id = r.pull_request_id
 LEFT JOIN repositories g ON g.id = p.repository_id""")
@@ -111,7 +112,9 @@ def q_review_detail_mart(spark, d):
     m = D.review_detail_mart(rec, prs, repos, iss)
     return m.select("id", "status", "summary", "pr_number", "pr_title", "repo_name",
                     "critical_count", "warning_count", "suggestion_count", "total_issues",
-                    F.transform("issues", lambda s: s["id"]).alias("issue_ids"),
+                    F.transform("issues", lambda s: F.concat_ws(
+                        "|", *[s[c].cast("string") for c in ("id", "file_path", "line_start", "line_end", "severity", "category", "rule_id", "title")],
+                        F.round(s["confidence"] * 100).cast("int").cast("string"), s["source"])).alias("issues"),
                     F.size("issues").cast("long").alias("issue_count"))
 
 
@@ -121,13 +124,24 @@ WITH g AS (
          count(*) FILTER (WHERE severity = 'critical') AS critical_count,
          count(*) FILTER (WHERE severity = 'warning') AS warning_count,
          count(*) FILTER (WHERE severity IS NULL OR severity NOT IN ('critical', 'warning')) AS suggestion_count,
-         list(id ORDER BY id) AS issue_ids, min(id) AS first_seen
-  FROM review_issues GROUP BY review_record_id, file_path)
-SELECT *, row_number() OVER (PARTITION BY review_record_id
-          ORDER BY critical_count DESC, warning_count DESC, first_seen) AS file_rank
-FROM g""")
+         min(id) AS first_seen
+  FROM review_issues GROUP BY review_record_id, file_path),
+k AS (SELECT *, row_number() OVER (PARTITION BY review_record_id
+          ORDER BY critical_count DESC, warning_count DESC, first_seen) AS file_rank FROM g),
+t AS (SELECT review_record_id, sum(critical_count)::BIGINT AS total_critical, sum(warning_count)::BIGINT AS total_warning,
+             sum(suggestion_count)::BIGINT AS total_suggestion FROM g GROUP BY review_record_id)
+SELECT i.review_record_id, i.file_path, k.file_rank, k.critical_count, k.warning_count, k.suggestion_count, i.id AS issue_id,
+       i.line_start, i.line_end, i.severity, i.rule_id, i.title, t.total_critical, t.total_warning, t.total_suggestion
+FROM review_issues i JOIN k ON k.review_record_id = i.review_record_id AND k.file_path = i.file_path
+JOIN t ON t.review_record_id = i.review_record_id""")
 def q_issues_by_file(spark, d):
-    return D.issues_by_file(X.review_issues(spark, d))
+    """The issue list of each file, with the file's rank and counts and the review's totals."""
+    issues = X.review_issues(spark, d)
+    files = D.issues_by_file(issues).drop("issue_ids", "first_seen")
+    listed = issues.select("review_record_id", "file_path", F.col("id").alias("issue_id"), "line_start", "line_end", "severity", "rule_id", "title")
+    return (listed.join(files, ["review_record_id", "file_path"]).join(D.issue_totals_by_review(issues), "review_record_id")
+            .select("review_record_id", "file_path", "file_rank", "critical_count", "warning_count", "suggestion_count", "issue_id", "line_start",
+                    "line_end", "severity", "rule_id", "title", "total_critical", "total_warning", "total_suggestion"))
 
 
 @query("repositories_with_config", oracle="""

@@ -16,7 +16,9 @@ from crx.operators import responses as R
 from crx.operators.scoring import score_with
 from crx.plans.q_diffs import ANCHOR_SQL
 from crx.plans.q_findings import PROCESS_SQL
-from crx.plans.registry import query
+import crx.plans.q_dashboard  # noqa: F401  (the parts' queries)
+from crx.plans.q_context import _stage1_inputs
+from crx.plans.registry import ORACLES, query
 from crx.sources import fixtures as X
 from crx.sources.fixture_sql import sql_str
 
@@ -88,17 +90,20 @@ def q_review_notices(spark, d):
     return RP.review_notices(recs.join(gate, "review_id", "left"))
 
 
-@query("dashboard_bundle", oracle="""
-SELECT 'overview' AS part, CAST(1 AS INTEGER) AS n_items
-UNION ALL SELECT 'by_severity', 3
-UNION ALL SELECT 'by_category', CAST((SELECT count(DISTINCT category) FROM review_issues) AS INTEGER)
-UNION ALL SELECT 'trend', 30
-UNION ALL SELECT 'repo_comparison', CAST((SELECT count(DISTINCT p.repository_id) FROM review_records r
-                                      JOIN pull_requests p ON p.id = r.pull_request_id WHERE r.status = 'completed') AS INTEGER)""")
+def _long_sql(part: str, key: str, query_key: str, metrics: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {key} AS item, '{m}' AS metric, {m}::DOUBLE AS value FROM ({ORACLES[query_key]})"
+                              for m in metrics)
+
+
+@query("dashboard_bundle", oracle=" UNION ALL ".join([
+    _long_sql("overview", "''", "overview_stats", ["total_reviews", "total_issues", "critical_count", "warning_count", "suggestion_count",
+                                                   "active_repos", "avg_issues_per_review", "avg_issues_exact"]),
+    _long_sql("by_severity", "severity", "severity_distribution", ["issue_count"]),
+    _long_sql("by_category", "category", "category_distribution", ["issue_count"]),
+    _long_sql("trend", "date", "issue_trend", ["issue_count"]),
+    _long_sql("repo_comparison", "repo_name", "repo_comparison", ["total_reviews", "total_issues", "critical_count"])]))
 def q_dashboard_bundle(spark, d):
-    b = D.dashboard_bundle(X.review_records(spark, d), X.review_issues(spark, d), X.pull_requests(spark, d),
-                           X.repositories(spark, d))
-    return b.select("part", F.json_array_length("doc").alias("n_items"))
+    return D.dashboard_bundle(X.review_records(spark, d), X.review_issues(spark, d), X.pull_requests(spark, d), X.repositories(spark, d))
 
 
 def stub_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,11 +116,14 @@ def stub_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
                          "total_tokens": n.astype("int64"), "finish_reason": "stop"})
 
 
-@query("score_with")
+@query("score_with", oracle=f"""
+SELECT review_id, 'phase1' AS phase,
+  CASE WHEN review_id % 10 <> 7 THEN '{{"summary": "tokens=' || (length(user_prompt) // 4)::VARCHAR || '"}}' END AS content,
+  CASE WHEN review_id % 10 <> 7 THEN 'stub' END AS model,
+  CASE WHEN review_id % 10 <> 7 THEN (length(user_prompt) // 4)::BIGINT ELSE 0 END AS total_tokens,
+  CASE WHEN review_id % 10 <> 7 THEN 'stop' ELSE 'error' END AS finish_reason,
+  CASE WHEN review_id % 10 = 7 THEN 'ValueError: model unavailable' END AS error
+FROM ({ORACLES["stage1_prompts"]})""")
 def q_score_with(spark, d):
-    prs = X.pull_requests(spark, d).select(F.col("id").alias("review_id"), "title", F.col("body").alias("description"))
-    pf = X.pr_files(spark, d)
-    changed = pf.select("review_id", F.col("file_seq").cast("int").alias("idx"), F.col("filename").alias("file_path"))
-    diffs = DF.build_diff_text(pf)
-    prompts = C.stage1_prompts(prs, changed, DF.diff_totals(DF.diff_stats(diffs)), diffs)
+    prompts = C.stage1_prompts(*_stage1_inputs(spark, d))
     return score_with(prompts.withColumn("phase", F.lit("phase1")), stub_scorer)

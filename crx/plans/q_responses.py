@@ -8,18 +8,38 @@ import crx.sources.fixture_sql_resp  # noqa: F401
 from crx.operators import responses as R
 from crx.plans.registry import query
 from crx.sources import fixtures as X
+from crx.sources.fixture_sql import sql_str
 
 _OK = "IN (0, 1, 2, 5)"
 
 
+_ODD_JSON = [('{"a": 1, "a": 2}', "a=2"), ('{"a": NaN}', None), ('{"a": 1} and {"a": 2}', None), ('[1, 2]', None), ('x {"a": [1, {"b": 3}]} y', 'a=[1,{"b":3}]'),
+             ('```json\n{"a": "f"}\n``` {"a": "g"}', "a=f"), ('```\nno\n``` then {"a": 5}', "a=5"), ("", None), ("}{", None), ('```json\n"s"\n```', "string:s")]
+
+
 @query("extract_json", oracle=f"""
-SELECT review_id, 'phase1' AS phase, 0::BIGINT AS seq, CASE WHEN v_p1 = 3 THEN NULL ELSE 'object' END AS json_kind FROM resp_orders
-UNION ALL SELECT review_id, 'security', 1, CASE WHEN v_sec = 3 THEN NULL ELSE 'object' END FROM resp_orders
-UNION ALL SELECT review_id, 'logic', 2, CASE WHEN v_logic = 3 THEN NULL ELSE 'object' END FROM resp_orders
-UNION ALL SELECT review_id, 'security', 3, 'object' FROM resp_orders WHERE review_id % 4 = 0""")
+SELECT review_id, 'phase1' AS phase, 0::BIGINT AS seq, CASE WHEN v_p1 IN (3) THEN NULL ELSE 'object' END AS json_kind,
+       CASE WHEN v_p1 {_OK} THEN 'Change ' || review_id::VARCHAR || ' has ' || coalesce(n_items, 0)::VARCHAR || ' items' END AS content
+FROM resp_orders
+UNION ALL SELECT review_id, 'security', 1, CASE WHEN v_sec = 3 THEN NULL ELSE 'object' END, NULL FROM resp_orders
+UNION ALL SELECT review_id, 'logic', 2, CASE WHEN v_logic = 3 THEN NULL ELSE 'object' END, NULL FROM resp_orders
+UNION ALL SELECT review_id, 'security', 3, 'object', NULL FROM resp_orders WHERE review_id % 4 = 0
+UNION ALL SELECT review_id, 'odd', x.i::BIGINT, x.kind, x.content FROM resp_orders, (VALUES """ + ", ".join(
+    f"({i}, {'NULL' if want is None else repr('string' if want.startswith('string:') else 'object')}, "
+    f"{'NULL' if want is None else sql_str(want.split(':', 1)[1] if want.startswith('string:') else want.split('=', 1)[1])})"
+    for i, (_, want) in enumerate(_ODD_JSON)) + """) x(i, kind, content) WHERE review_id % 50 = 0""")
 def q_extract_json(spark, d):
-    r = R.with_json(X.model_responses(spark, d))
-    return r.select("review_id", "phase", "seq", R.json_kind(F.col("json")).alias("json_kind"))
+    """Kind and a content field of every response, and of odd texts (repeated keys,
+    trailing text, NaN, arrays, prose) for every fiftieth review."""
+    real = X.model_responses(spark, d).select("review_id", "phase", "seq", "text")
+    odd = (real.filter((F.col("seq") == 0) & (F.col("review_id") % 50 == 0))
+           .select("review_id", F.lit("odd").alias("phase"),
+                   F.posexplode(F.array(*[F.lit(t) for t, _ in _ODD_JSON])).alias("seq", "text")).withColumn("seq", F.col("seq").cast("bigint")))
+    v = F.col("json")
+    content = F.coalesce(F.try_variant_get(v, "$.summary", "string"), F.try_variant_get(v, "$.a", "string"), F.try_variant_get(v, "$", "string"))
+    r = R.with_json(real.unionByName(odd))
+    return r.select("review_id", "phase", "seq", R.json_kind(v).alias("json_kind"),
+                    F.when(F.col("phase").isin("phase1", "odd"), F.when(F.col("seq").isNotNull() & ~content.startswith('{}'), content)).alias("content"))
 
 
 @query("parse_phase1", oracle=f"""

@@ -75,3 +75,19 @@ def test_block_comments_keep_line_numbers(spark):
     src = ("public class A {\n/* a comment\n   over three\n   lines with exec(x) */\n"
            "  void a() throws Exception { Runtime.getRuntime().exec(cmd); } // exec(y)\n}\n")
     assert _lines(spark, J.rule_java_command_injection, src) == [5]
+
+
+def test_comment_marks_inside_strings_hide_nothing(spark):
+    """A path pattern or address in a string opens no comment; a text block is one
+    string; comments keep the line numbers of what follows."""
+    from crx.operators.code import java as J
+    src = ('class A {\n  String css = "/css/**";\n  String url = "http://x/*y";\n  /* real\n     comment "open */ int a = 1;\n'
+           '  char q = \'"\'; // tail /* not\n  String t = """\n    a "quoted" /* text\n    """;\n  void m() { st.executeQuery("a" + b); }\n}\n')
+    df = spark.createDataFrame([(1, "A.java", src)], "file_id long, path string, content string")
+    toks = [(r.line, r.tok) for r in J.java_tokens(df).orderBy("idx").collect()]
+    assert (2, '"/css/**"') in toks and (3, '"http://x/*y"') in toks
+    assert (5, "int") in toks and (10, "executeQuery") in toks
+    assert not any(t in ("real", "comment", "tail", "quoted") for _, t in toks)
+    assert sum(t.startswith('"') for _, t in toks) == 4
+    long = spark.createDataFrame([(1, "B.java", 'class B { String s = "' + "x" * 60_000 + '"; }')], df.schema)
+    assert J.java_tokens(long).count() == 9
