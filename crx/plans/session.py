@@ -37,6 +37,12 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """Whether the executors are threads of the driver, which share its disk."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates: `spark.checkpoint.dir` of the session.
     Only a local master may do without; it gets a scratch folder. On a cluster a
@@ -45,8 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
+        if not _is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="crx-ckpt-", dir=os.environ.get("CRX_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
@@ -60,10 +65,13 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python
-    workers can import it wherever the job was started."""
+    workers can import it wherever the job was started; on a cluster also fill in
+    the settings the session leaves unset."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
+    if not _is_local(spark):
+        apply_cluster_settings(spark)
     root = Path(__file__).resolve().parents[2]
     archive = Path(tempfile.mkdtemp(prefix="crx-package-")) / "crx.zip"
     with zipfile.ZipFile(archive, "w") as z:
