@@ -24,7 +24,9 @@ NODE_SCHEMA = (
     "file_id long, path string, node_id int, parent_id int, subtree_end int, kind string, "
     "parent_kind string, slot string, slot_idx int, name string, str_value string, const_repr string, "
     "is_true boolean, op string, n_args int, n_values int, level int, line_start int, line_end int, "
-    "text string, callee string, cw int, cw_end int"
+    "text string, callee string, cw int, cw_end int, "
+    # facts of a node that the rules read on its own row (see `_facts`)
+    "shell_true boolean, arg_form string, typed boolean, assigned string, target_names array<string>, in_with boolean"
 )
 # Decision points counted by cyclomatic complexity; BoolOp adds operands - 1.
 DECISION_KINDS = frozenset({"If", "For", "AsyncFor", "While", "ExceptHandler"})
@@ -88,6 +90,31 @@ _SKIP = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
 _NAME_SLOTS = frozenset({"targets", "func", "args", "decorator_list", "bases", "returns", "type"})
 
 
+def _facts(node: ast.AST, kind: str, in_with: bool) -> tuple:
+    """What the rules ask of a node's children: a call has shell=True, the form of a
+    call's single argument (kind and operator or number of parts), a handler names
+    a type, the string an assignment assigns and the names it assigns to (empty for
+    other targets), a call is the context expression of a plain `with`."""
+    if kind == "Call":
+        shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
+        form = None
+        if len(node.args) == 1:
+            arg = node.args[0]
+            detail = type(arg.op).__name__ if isinstance(arg, ast.BinOp) else len(arg.values) if isinstance(arg, ast.JoinedStr) else ""
+            form = f"{type(arg).__name__}:{detail}"
+        return shell, form, None, None, None, in_with
+    if kind == "ExceptHandler":
+        return None, None, node.type is not None, None, None, None
+    if kind == "Assign":
+        value = node.value.value if isinstance(node.value, ast.Constant) else None
+        names = [t.id if isinstance(t, ast.Name) else t.attr if isinstance(t, ast.Attribute) else "" for t in node.targets]
+        return None, None, None, _utf8(value) if isinstance(value, str) else None, names, None
+    return _NO_FACTS
+
+
+_NO_FACTS = (None,) * 6
+
+
 def _rows(file_id: int, path: str, source: str) -> list[tuple]:
     try:
         tree = ast.parse(source, filename=path)
@@ -95,13 +122,13 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
         # the last two: nesting beyond the parser's stack; the file fails, not the job
         message = _utf8(str(exc) or type(exc).__name__)
         return [(file_id, path, -1, None, None, FILE_ROW, None, None, None, None, message, PY_VERSION, False,
-                 None, len(source.splitlines()), None, None, None, None, None, None, None, None)]
+                 None, len(source.splitlines()), None, None, None, None, None, None, None, None, *_NO_FACTS)]
     out: list[list] = []
-    # iterative pre-order walk: (node, parent_id, slot, slot_idx, parent_kind)
-    stack = [(tree, -1, None, None, None)]
+    # iterative pre-order walk: (node, parent_id, slot, slot_idx, parent_kind, context of a plain with)
+    stack = [(tree, -1, None, None, None, False)]
     cw = 0    # running decision weight in pre-order (nested-set prefix sum)
     while stack:
-        node, parent, slot, idx, pkind = stack.pop()
+        node, parent, slot, idx, pkind, in_with = stack.pop()
         nid = len(out)
         kind = type(node).__name__
         is_const = kind == "Constant"
@@ -125,18 +152,19 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
             len(node.values) if kind in ("BoolOp", "JoinedStr", "Dict") else None,
             node.level if kind == "ImportFrom" else None,
             getattr(node, "lineno", None), getattr(node, "end_lineno", None) or getattr(node, "lineno", None),
-            _utf8(_text(node, slot, pkind)) if slot else None, _utf8(callee), cw, None])
+            _utf8(_text(node, slot, pkind)) if slot else None, _utf8(callee), cw, None, *_facts(node, kind, in_with)])
         children = []
+        of_with = kind == "withitem" and pkind == "With"
         for field in node._fields:
             val = getattr(node, field, None)
             if isinstance(val, ast.AST):
                 if not isinstance(val, _SKIP) and not (type(val) is ast.Name and field not in _NAME_SLOTS):
-                    children.append((val, nid, field, None, kind))
+                    children.append((val, nid, field, None, kind, of_with and field == "context_expr"))
             elif isinstance(val, list):
                 for i, item in enumerate(val):
                     if isinstance(item, ast.AST) and not isinstance(item, _SKIP) \
                             and not (type(item) is ast.Name and field not in _NAME_SLOTS):
-                        children.append((item, nid, field, i, kind))
+                        children.append((item, nid, field, i, kind, False))
         stack.extend(reversed(children))
     # subtree_end: the largest id in the subtree = last descendant in pre-order.
     for row in reversed(out):
@@ -146,7 +174,7 @@ def _rows(file_id: int, path: str, source: str) -> list[tuple]:
     for row in out:                      # weight at the end of each subtree
         row[22] = out[row[4]][21]
     status = (file_id, path, -1, None, None, FILE_ROW, None, None, None, None, None, PY_VERSION, True,
-              None, len(source.splitlines()), None, None, None, None, None, None, None, None)
+              None, len(source.splitlines()), None, None, None, None, None, None, None, None, *_NO_FACTS)
     return [status] + [tuple(r) for r in out]
 
 

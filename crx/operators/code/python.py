@@ -1,8 +1,8 @@
 """Python structure extraction and rules, relational over the node table
 (§2.3, §2.4). Matching is on literal callee text; aliases are not resolved.
 
-Joins are equi-joins on (file_id, node id) between a node and its parent or
-child; "inside a function" uses nested-set prefix sums, never pairs."""
+Structure queries join a node with its children on (file_id, node id); rules read
+single rows, on which the scan has recorded what they need of the children."""
 
 from __future__ import annotations
 
@@ -79,14 +79,6 @@ def _fmt(template: str, *args: Column) -> Column:
     return F.concat(*out) if out else F.lit("")
 
 
-def _finding(df: DataFrame, key: str, title_args=(), desc_args=()) -> DataFrame:
-    rid, sev, cat, title, desc = RULES[key]
-    return df.select(
-        "file_id", "node_id", F.lit(rid).alias("rule_id"), F.lit(sev).alias("severity"),
-        F.lit(cat).alias("category"), F.col("path").alias("file_path"), "line_start", "line_end",
-        _fmt(title, *title_args).alias("title"), _fmt(desc, *desc_args).alias("description"))
-
-
 def _kids(nodes: DataFrame, slot: str, prefix: str) -> DataFrame:
     """Children in `slot`, keyed by (file_id, parent) and renamed with prefix."""
     k = nodes.filter(F.col("slot") == slot)
@@ -194,93 +186,104 @@ def py_exception_blocks(nodes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- rules
+#
+# Every rule is a condition on one row of the node table: the scan records on a
+# node what the rules ask of its children. So any number of rules is one pass.
+
+def _py_strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$", "")
+
+
+def _secret_target() -> Column:
+    """The first assigned name that contains a secret word; null without one."""
+    words = F.array(*[F.lit(w) for w in SECRET_WORDS])
+    named = F.filter("target_names", lambda n: F.exists(words, lambda w: F.instr(F.lower(n), w) > 0))
+    return F.get(named, F.lit(0))
+
+
+def _conditions(complexity_limit: int, length_limit: int) -> dict[str, tuple[Column, list[Column], list[Column]]]:
+    """Rule key -> (condition on a node row, title arguments, description arguments)."""
+    kind, callee = F.col("kind"), F.col("callee")
+    call = kind == "Call"
+    sql_call = F.lit(False)
+    for suffix in SQL_METHOD_SUFFIXES:
+        sql_call = sql_call | callee.endswith(suffix)
+    form = F.col("arg_form")
+    built = form.isin("BinOp:Add", "BinOp:Mod") | (form.startswith("JoinedStr:") & (form != "JoinedStr:0"))
+    value = _py_strip(F.col("assigned"))
+    target = _secret_target()
+    weight = (F.col("cw_end") - F.col("cw") + 1).cast("int")
+    length = F.col("line_end") - F.col("line_start") + 1
+    return {
+        "exec_eval": (call & callee.isin("exec", "eval"), [callee], [callee]),
+        "unsafe_pickle": (call & callee.isin(UNSAFE_LOADS), [callee], [callee]),
+        "shell_injection": (call & (callee.isin(ALWAYS_SHELL) | (callee.isin(SUBPROCESS_SHELL) & F.col("shell_true"))), [callee], [callee]),
+        "sql_concat": (call & sql_call & built, [callee], []),
+        "bare_except": ((kind == "ExceptHandler") & ~F.col("typed"), [], []),
+        "hardcoded_secret": ((kind == "Assign") & (value != "") & ~F.lower(value).isin(PLACEHOLDER_VALUES) & target.isNotNull(), [target], []),
+        "file_leak": (call & (callee == "open") & ~F.col("in_with"), [], []),
+        "complexity": ((kind == "FunctionDef") & (weight > complexity_limit), [F.col("name"), weight], [weight, F.lit(complexity_limit)]),
+        "function_length": ((kind == "FunctionDef") & (length > length_limit), [F.col("name"), length], [length, F.lit(length_limit)]),
+    }
+
+
+def find_rules(nodes: DataFrame, keys: list[str], complexity_limit: int = COMPLEXITY_LIMIT, length_limit: int = LENGTH_LIMIT) -> DataFrame:
+    """Findings of the named rules, one pass over the node table."""
+    rules = _conditions(complexity_limit, length_limit)
+    found = []
+    for key in keys:
+        when, title_args, desc_args = rules[key]
+        rid, sev, cat, title, desc = RULES[key]
+        found.append(F.when(when, F.struct(
+            F.lit(rid).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"),
+            _fmt(title, *title_args).alias("title"), _fmt(desc, *desc_args).alias("description"))))
+    kinds = nodes.filter(F.col("kind").isin("Call", "ExceptHandler", "Assign", "FunctionDef"))
+    hits = kinds.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return hits.select("file_id", "node_id", "_f.rule_id", "_f.severity", "_f.category", F.col("path").alias("file_path"),
+                       "line_start", "line_end", "_f.title", "_f.description")
+
 
 def rule_py_exec_eval(nodes: DataFrame) -> DataFrame:
-    c = calls(nodes).filter(F.col("callee").isin("exec", "eval"))
-    return _finding(c, "exec_eval", [F.col("callee")], [F.col("callee")])
+    return find_rules(nodes, ["exec_eval"])
 
 
 def rule_py_unsafe_pickle(nodes: DataFrame) -> DataFrame:
-    c = calls(nodes).filter(F.col("callee").isin(UNSAFE_LOADS))
-    return _finding(c, "unsafe_pickle", [F.col("callee")], [F.col("callee")])
+    return find_rules(nodes, ["unsafe_pickle"])
 
 
 def rule_py_shell_injection(nodes: DataFrame) -> DataFrame:
-    c = calls(nodes)
-    kw = _kids(nodes, "keywords", "k_").filter(F.col("k_name") == "shell")
-    true_val = _kids(nodes, "value", "v_").filter((F.col("v_kind") == "Constant") & F.col("v_is_true")) \
-        .select("file_id", F.col("node_id").alias("k_node_id"))
-    shell_true = kw.join(true_val, ["file_id", "k_node_id"], "left_semi").select("file_id", "node_id")
-    always = c.filter(F.col("callee").isin(ALWAYS_SHELL))
-    sub = c.filter(F.col("callee").isin(SUBPROCESS_SHELL)).join(shell_true, ["file_id", "node_id"], "left_semi")
-    return _finding(always.unionByName(sub), "shell_injection", [F.col("callee")], [F.col("callee")])
+    return find_rules(nodes, ["shell_injection"])
 
 
 def rule_py_sql_concat(nodes: DataFrame) -> DataFrame:
-    ends = F.lit(False)
-    for s in SQL_METHOD_SUFFIXES:
-        ends = ends | F.col("callee").endswith(s)
-    c = calls(nodes).filter(ends & (F.col("n_args") == 1))
-    arg = _kids(nodes, "args", "a_").filter(
-        ((F.col("a_kind") == "BinOp") & F.col("a_op").isin("Add", "Mod"))
-        | ((F.col("a_kind") == "JoinedStr") & (F.col("a_n_values") > 0)))
-    return _finding(c.join(arg.select("file_id", "node_id"), ["file_id", "node_id"], "left_semi"),
-                    "sql_concat", [F.col("callee")])
+    return find_rules(nodes, ["sql_concat"])
 
 
 def rule_py_bare_except(nodes: DataFrame) -> DataFrame:
-    h = nodes.filter(F.col("kind") == "ExceptHandler")
-    typed = _kids(nodes, "type", "t_").select("file_id", "node_id")
-    return _finding(h.join(typed, ["file_id", "node_id"], "left_anti"), "bare_except")
-
-
-def _py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$", "")
+    return find_rules(nodes, ["bare_except"])
 
 
 def rule_py_hardcoded_secret(nodes: DataFrame) -> DataFrame:
-    a = nodes.filter(F.col("kind") == "Assign").select("file_id", "node_id", "path", "line_start", "line_end")
-    val = _kids(nodes, "value", "v_").filter((F.col("v_kind") == "Constant") & F.col("v_str_value").isNotNull())
-    stripped = _py_strip(F.col("v_str_value"))
-    val = val.filter((stripped != "") & ~F.lower(stripped).isin(PLACEHOLDER_VALUES)).select("file_id", "node_id")
-    tg = _kids(nodes, "targets", "t_").select(
-        "file_id", "node_id", "t_slot_idx",
-        F.when(F.col("t_kind").isin("Name", "Attribute"), F.col("t_name")).otherwise(F.lit("")).alias("tname"))
-    words = F.array(*[F.lit(w) for w in SECRET_WORDS])
-    hit = (tg.filter(F.exists(words, lambda w: F.instr(F.lower(F.col("tname")), w) > 0))
-           .groupBy("file_id", "node_id").agg(F.min_by("tname", "t_slot_idx").alias("tname")))
-    j = a.join(val, ["file_id", "node_id"], "left_semi").join(hit, ["file_id", "node_id"])
-    return _finding(j, "hardcoded_secret", [F.col("tname")])
+    return find_rules(nodes, ["hardcoded_secret"])
 
 
 def rule_py_file_leak(nodes: DataFrame) -> DataFrame:
     """open() calls that are not directly the context expression of a sync
     `with` item."""
-    c = nodes.filter((F.col("kind") == "Call") & (F.col("callee") == "open"))
-    # a context expression of a withitem whose parent is a sync With
-    in_item = c.filter((F.col("slot") == "context_expr") & (F.col("parent_kind") == "withitem"))
-    sync_items = nodes.filter((F.col("kind") == "withitem") & (F.col("parent_kind") == "With")) \
-        .select("file_id", F.col("node_id").alias("parent_id"))
-    safe = in_item.join(sync_items, ["file_id", "parent_id"], "left_semi").select("file_id", "node_id")
-    return _finding(c.join(safe, ["file_id", "node_id"], "left_anti"), "file_leak")
+    return find_rules(nodes, ["file_leak"])
 
 
 def rule_py_complexity(nodes: DataFrame, limit: int = COMPLEXITY_LIMIT) -> DataFrame:
-    cx = py_complexity(nodes).filter((F.col("kind") == "FunctionDef") & (F.col("complexity") > limit))
-    return _finding(cx, "complexity", [F.col("name"), F.col("complexity")], [F.col("complexity"), F.lit(limit)])
+    return find_rules(nodes, ["complexity"], complexity_limit=limit)
 
 
 def rule_py_function_length(nodes: DataFrame, limit: int = LENGTH_LIMIT) -> DataFrame:
-    fn = nodes.filter(F.col("kind") == "FunctionDef").withColumn(
-        "length", F.col("line_end") - F.col("line_start") + 1).filter(F.col("length") > limit)
-    return _finding(fn, "function_length", [F.col("name"), F.col("length")], [F.col("length"), F.lit(limit)])
+    return find_rules(nodes, ["function_length"], length_limit=limit)
 
 
-PY_RULES = [rule_py_exec_eval, rule_py_unsafe_pickle, rule_py_shell_injection, rule_py_sql_concat,
-            rule_py_bare_except, rule_py_hardcoded_secret, rule_py_file_leak, rule_py_complexity,
-            rule_py_function_length]
+PY_RULES = ["exec_eval", "unsafe_pickle", "shell_injection", "sql_concat", "bare_except", "hardcoded_secret", "file_leak",
+            "complexity", "function_length"]
 
 
 def rule_scan_python(nodes: DataFrame) -> DataFrame:
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), [r(nodes) for r in PY_RULES])
+    return find_rules(nodes, PY_RULES)
