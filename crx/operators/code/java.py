@@ -357,19 +357,40 @@ def _method_rows(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame
     return m.withColumn("idx", F.col("name_idx"))
 
 
+def _method_findings(feat: DataFrame, methods: DataFrame | None, keys: list[str],
+                     complexity_limit: int = COMPLEXITY_LIMIT, length_limit: int = LENGTH_LIMIT) -> DataFrame:
+    """Findings of the named method rules (complexity, method_length), one pass over
+    the methods. A method's length is the last token line of its body minus its
+    start line (no +1)."""
+    m = _method_rows(feat, methods).withColumn("span", F.col("end_line") - F.col("line"))
+    name, cx, span = F.col("name"), F.col("complexity"), F.col("span")
+    rules = {"complexity": (cx > complexity_limit, F.col("line"), [cx, name], [name, cx, F.lit(complexity_limit)]),
+             "method_length": (span > length_limit, F.col("end_line"), [name, span], [name, span, F.lit(length_limit)])}
+    found = []
+    for key in keys:
+        when, line_end, title_args, desc_args = rules[key]
+        rid, sev, cat, title, desc = RULES[key]
+        found.append(F.when(when, F.struct(
+            F.lit(rid).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), line_end.alias("line_end"),
+            _fmt(title, *title_args).alias("title"), _fmt(desc, *desc_args).alias("description"))))
+    hits = m.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return hits.select("file_id", F.col("idx").alias("node_id"), "_f.rule_id", "_f.severity", "_f.category", F.col("path").alias("file_path"),
+                       F.col("line").alias("line_start"), "_f.line_end", "_f.title", "_f.description")
+
+
 def rule_java_complexity(feat: DataFrame, methods: DataFrame | None = None,
                          limit: int = COMPLEXITY_LIMIT) -> DataFrame:
-    m = _method_rows(feat, methods).filter(F.col("complexity") > limit)
-    return _finding(m, "complexity", [F.col("complexity"), F.col("name")],
-                    [F.col("name"), F.col("complexity"), F.lit(limit)])
+    return _method_findings(feat, methods, ["complexity"], complexity_limit=limit)
 
 
 def rule_java_method_length(feat: DataFrame, methods: DataFrame | None = None,
                             limit: int = LENGTH_LIMIT) -> DataFrame:
-    """last token line of the body - start line > limit (no +1)."""
-    m = _method_rows(feat, methods).withColumn("span", F.col("end_line") - F.col("line")).filter(F.col("span") > limit)
-    return _finding(m, "method_length", [F.col("name"), F.col("span")], [F.col("name"), F.col("span"), F.lit(limit)],
-                    line_end="end_line")
+    return _method_findings(feat, methods, ["method_length"], length_limit=limit)
+
+
+def rule_java_methods(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """Complexity and length of methods together."""
+    return _method_findings(feat, methods, ["complexity", "method_length"])
 
 
 def rule_java_unhandled_exception(feat: DataFrame, methods: DataFrame | None = None) -> DataFrame:
@@ -405,8 +426,7 @@ def rule_java_unhandled_exception(feat: DataFrame, methods: DataFrame | None = N
 
 
 JAVA_RULES = [rule_java_command_injection, rule_java_unsafe_deserial, rule_java_sql_concat,
-              rule_java_resource_leak, rule_java_hardcoded_secret, rule_java_complexity, rule_java_method_length,
-              rule_java_unhandled_exception]
+              rule_java_resource_leak, rule_java_hardcoded_secret, rule_java_methods, rule_java_unhandled_exception]
 
 
 def rule_scan_java(feat: DataFrame) -> DataFrame:
