@@ -85,7 +85,7 @@ def test_line_comment_body(spark):
     df = spark.createDataFrame(
         [(1, 1, "a.py", 3, "critical", "T", "D", "fix()"), (1, 2, "a.py", None, "warning", "T", "D", ""),
          (1, 3, "a.py", 4, "info", "T", "D", "")],
-        "review_id long, seq long, file_path string, position long, severity string, title string, "
+        "review_id long, seq long, file_path string, diff_position long, severity string, title string, "
         "description string, suggestion string")
     got = {r.seq: r.body for r in RP.line_comments(df).collect()}
     assert got[1] == "🔴 **Critical**: T\n\nD\n\n**建议修复**:\n```suggestion\nfix()\n```"
