@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crx.llm.common import WORD_RE, key_range, shared_table, text_of, uniform_key, word_count
+from crx.llm.common import WORD_RE, key_range, shared_table, shuffle_width, text_of, uniform_key, word_count
 
 ROWS_PER_RANGE = 50_000
 
@@ -68,7 +68,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
                     F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), source_col)).alias("skey"),
                     F.xxhash64(text).alias("text_hash"), word_count(text).alias("size"),
                     uniform_key(F.lit(seed), F.col(id_col)).alias("key")), "mix-sizes")
-    ranges = max(1, -(-sizes.count() // rows_per_range))
+    ranges = max(shuffle_width(docs), -(-sizes.count() // rows_per_range))  # a hot source is spread over all of them
     rows = sizes.withColumn("range_no", key_range(F.col("key"), ranges))
     per_range = rows.groupBy("skey", "range_no").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
     totals = per_range.groupBy("skey").agg(F.sum("range_size").alias("source_size"), F.first("source").alias("source"))
