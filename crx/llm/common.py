@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crx.plans.session import ensure_checkpoint_dir
+from crx.plans.session import ensure_checkpoint_dir, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
@@ -18,6 +18,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table of the session's shared checkpoint folder and read
     it back: the lineage ends there, and a lost executor costs a re-read."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

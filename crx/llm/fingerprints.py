@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from crx.llm.common import shared_table, shuffle_width, text_of
 from crx.llm.shingles import MinHash, chunks, shingle_hashes
+from crx.plans.session import ship_package
 
 PERMUTATIONS = 128
 SLICES_PER_PARTITION = 4
@@ -52,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, fingerprint. Null text counts as empty; texts
     without words share one fingerprint; other columns are ignored."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(permutations)

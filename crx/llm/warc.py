@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crx.plans.session import ship_package
+
 RECORD_SCHEMA = ("warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
                  "source_status string, source_headers string, block_digest string, payload_digest string, content_length long, block string")
 # Elements whose content is not text, and those that end a line.
@@ -121,6 +123,7 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     give repeated records with the same ids; an empty table gives an empty result;
     other columns are ignored."""
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
+    ship_package(responses.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
