@@ -15,7 +15,9 @@ from crx.llm.common import shared_table
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Written and read back: so both sides of the joins that follow are plain
+    exchanges, and the edges of a node with very many can be split."""
+    return shared_table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
