@@ -1,19 +1,27 @@
 """Secrets by pattern, and random strings by a battery of tests.
 
 Base spans (assignments, access keys, hex) are found by pattern. Beside them, any
-token of MIN_TOKEN or more symbols that holds a digit is a candidate: its encoding
-is inferred, and over that alphabet it is tested for uniformity (chi-squared), for
-runs above and below the middle symbol, and for serial correlation. The three
-deviations make one score, small for random strings. What ordinary language looks
-like comes from the corpus: letter-only tokens of the same length class take the
-same tests, and a candidate's p-value is the share of them that look as random.
-Within each length class the Benjamini-Hochberg rule keeps the false discoveries
-among the tokens reported below `false_rate`. Counts are of distinct tokens, so
+token of MIN_TOKEN or more symbols is a candidate, letters alone included: its
+encoding is inferred, and over that alphabet it is tested for uniformity
+(chi-squared), for runs above and below the middle symbol, and for serial
+correlation. The three deviations make one score, small for random strings.
+
+What ordinary language looks like comes from the corpus: a chain of symbol pairs,
+pooled over words of all lengths, in which + / - _ may join a word to the next, as
+in paths and identifiers. A token's evidence is the log-likelihood ratio of random
+symbols (over its alphabet, at its length) to that chain, less the weighted score.
+Under the chain the ratio has mean 1 at most, so exp(-evidence) bounds the p-value
+at any length, however few tokens of that length there are. The
+Benjamini-Hochberg rule over all candidates keeps the false discoveries among the
+tokens reported below `false_rate`. Counts are of distinct words and tokens, so
 copies weigh nothing.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +33,19 @@ _ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*+[:=]\\x20*+[\"
 PATTERNS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}+", "hex": "(?<![0-9a-f])[0-9a-f]{24,}+"}
 MIN_TOKEN = 20
 TOKEN_RE = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+={{0,2}}+"
+WORD_RE = "[A-Za-z0-9+/_-]++"
 BINS_PER_UNIT, MAX_BIN = 4, 400
+FOLDS = 2
+BATTERY_WEIGHT = 1.5  # of the battery's score against the likelihood ratio
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # (form of the token, symbols in their order): the first form that fits is the encoding
 ENCODINGS = [("^[0-9]+$", _DIGITS), ("^[0-9a-f]+$", _DIGITS + "abcdef"), ("^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+             ("^[0-9a-f-]+$", _DIGITS + "abcdef-"), ("^[0-9A-F-]+$", _DIGITS + "ABCDEF-"),
              ("^[A-Z2-7]+=*$", _UPPER + "234567"), ("^[a-z]+$", _LOWER), ("^[a-z0-9]+$", _LOWER + _DIGITS), ("^[A-Z0-9]+$", _UPPER + _DIGITS),
              ("^[A-Za-z]+$", _UPPER + _LOWER), ("^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS), ("", _UPPER + _LOWER + _DIGITS + "+/-_")]
+SYMBOLS = ENCODINGS[-1][1]
+SEPARATORS = "+/-_"
 
 
 def base_spans(text: Column) -> Column:
@@ -41,16 +55,33 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def _alphabet(token: Column) -> Column:
+    alphabet = F.lit(SYMBOLS)
+    for form, symbols in reversed(ENCODINGS[:-1]):
+        alphabet = F.when(token.rlike(form), F.lit(symbols)).otherwise(alphabet)
+    return alphabet
+
+
+def _fold(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(FOLDS)).cast("int")
+
+
+def _places(word: Column, alphabet: Column) -> Column:
+    """Positions, from 1, of a word's symbols in the alphabet."""
+    return F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.call_function("locate", c, alphabet))
+
+
+def _pairs(places: Column) -> Column:
+    """Each symbol with the one before it, 0 before the first: i * len(SYMBOLS) + j."""
+    return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(places, F.lit(1), F.size(places) - 1)), places, lambda i, j: i * len(SYMBOLS) + j)
+
+
 def randomness(tokens: DataFrame) -> DataFrame:
     """Adds `score` to rows with a `token`: squared deviations of the three tests from
     what random symbols give, summed."""
-    alphabet = F.lit(ENCODINGS[-1][1])
-    for form, symbols in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(F.col("token").rlike(form), F.lit(symbols)).otherwise(alphabet)
     plain = F.regexp_replace("token", "=+$", "")
-    rows = tokens.withColumn("alphabet", alphabet).withColumn("plain", plain)
-    places = F.transform(F.filter(F.split("plain", ""), lambda c: c != ""), lambda c: F.call_function("locate", c, F.col("alphabet")))
-    rows = (rows.withColumn("x", places).withColumn("n", F.size("x").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
+    rows = tokens.withColumn("alphabet", _alphabet(F.col("token"))).withColumn("plain", plain)
+    rows = (rows.withColumn("x", _places(F.col("plain"), F.col("alphabet"))).withColumn("n", F.size("x").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
             .withColumn("mean", F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
             .withColumn("next", F.arrays_zip(F.slice("x", F.lit(1), F.size("x") - 1).alias("a"), F.slice("x", F.lit(2), F.size("x") - 1).alias("b"))))
     squares = F.aggregate(F.array_distinct("x"), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter("x", lambda w: w == v)).cast("double"), F.lit(2.0)))
@@ -69,23 +100,78 @@ def randomness(tokens: DataFrame) -> DataFrame:
     return rows.select(*tokens.columns, score.alias("score"))
 
 
-def length_class(token: Column) -> Column:
-    """Half powers of two of the length."""
-    return F.floor(F.log2(F.length(token).cast("double")) * 2).cast("int")
+def ordinary_pairs(docs: DataFrame, text_col: str) -> dict[int, dict[int, int]]:
+    """Per fold the counts of symbol pairs in ordinary words: distinct words of all
+    texts too short to be candidates, in every fold, and longer ones of lower-case
+    letters (the first may be a capital) in all folds but their own, so no token is
+    judged by itself. The end of a word counts as a pair with each separator. At most
+    one number per fold and pair."""
+    word = F.col("word")
+    long = F.length(word) >= MIN_TOKEN
+    words = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_of(text_col), F.lit(WORD_RE), F.lit(0)))).alias("word"))
+             .filter(~long | word.rlike("^[A-Z]?[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n_texts")))
+    folds = F.filter(F.array(*[F.lit(i) for i in range(FOLDS)]), lambda f: ~long | (f != _fold(word)))
+    last = F.call_function("locate", F.substring(word, -1, 1), F.lit(SYMBOLS))
+    joined = F.array(*[last * len(SYMBOLS) + SYMBOLS.index(c) + 1 for c in SEPARATORS])
+    counts = (words.select(folds.alias("folds"), F.explode(F.concat(_pairs(_places(word, F.lit(SYMBOLS))), joined)).alias("pair"))
+              .select(F.explode("folds").alias("fold"), "pair").groupBy("fold", "pair").agg(F.count(F.lit(1)).alias("n")))
+    found: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in counts.collect():
+        found[r["fold"]][r["pair"]] = r["n"]
+    return found
+
+
+def _chain(counts: dict[int, int]) -> tuple[Column, Column]:
+    """Arrays (seen, spare) of the chain: symbol j follows i with probability
+    seen[i, j] + spare[i] / k, k the size of the token's alphabet. A row backs off to
+    single symbols by its number of different followers plus one (Witten-Bell), and
+    these to equal chances; from no words at all every symbol has 1 / k. After a
+    separator a word may begin as at the start."""
+    n = len(SYMBOLS)
+    counts = defaultdict(int, counts)
+    for i in (SYMBOLS.index(c) + 1 for c in SEPARATORS):
+        for j in range(1, n + 1):
+            if counts.get(j):
+                counts[i * n + j] += counts[j]
+    after, kinds, single = [0] * (n + 1), [1] * (n + 1), [0] * (n + 1)
+    for pair, c in counts.items():
+        i, j = divmod(pair - 1, n)
+        after[i] += c
+        kinds[i] += 1
+        single[j + 1] += c
+    total = sum(single) + n
+    seen = [(counts.get(i * n + j, 0) + kinds[i] * single[j] / total) / (after[i] + kinds[i]) for i in range(n + 1) for j in range(1, n + 1)]
+    spare = [kinds[i] * n / total / (after[i] + kinds[i]) for i in range(n + 1)]
+    as_column = lambda values: F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+    return as_column(seen), as_column(spare)
+
+
+def evidence(tokens: DataFrame, ordinary: dict[int, dict[int, int]]) -> DataFrame:
+    """Adds `evidence` to rows with a `token`: log-likelihood ratio of random symbols
+    to the ordinary chain, less the weighted score of the battery (which only lowers
+    the ratio's mean under the chain) and the logarithm of the number of encodings."""
+    n = len(SYMBOLS)
+    plain = F.regexp_replace("token", "=+$", "")
+    rows = (randomness(tokens).withColumn("k", F.length(_alphabet(F.col("token"))).cast("double"))
+            .withColumn("pairs", _pairs(_places(plain, F.lit(SYMBOLS)))))
+    ratio = F.lit(None).cast("double")
+    for fold in range(FOLDS):
+        seen, spare = _chain(ordinary.get(fold, {}))
+        one = F.aggregate("pairs", F.lit(0.0), lambda a, at: a - F.log(F.col("k") * F.element_at(seen, at) + F.element_at(  # noqa: B023
+            spare, F.floor((at - 1) / n).cast("int") + 1)))  # noqa: B023
+        ratio = F.when(_fold(F.col("token")) == fold, one).otherwise(ratio)
+    return rows.select(*tokens.columns, (ratio - BATTERY_WEIGHT * F.col("score") - math.log(len(ENCODINGS))).alias("evidence"))
 
 
 def discoveries(scored: DataFrame, false_rate: float) -> DataFrame:
-    """(length_class, last_bin): candidates of the class with a score bin up to
-    last_bin are reported. scored: (token, is_candidate, length_class, bin), distinct
-    tokens. The table it works on has a row per class and bin, whatever the corpus."""
-    histogram = scored.groupBy("length_class", "bin").agg(
-        F.count(F.when(F.col("is_candidate"), 1)).alias("found"), F.count(F.when(~F.col("is_candidate"), 1)).alias("ordinary"))
-    up = Window.partitionBy("length_class").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("length_class")
-    p = (1 + F.sum("ordinary").over(up)) / (1 + F.sum("ordinary").over(whole))
-    q = F.try_divide(p * F.sum("found").over(whole), F.sum("found").over(up))  # null before the first candidate
-    return (histogram.withColumn("q", q).filter((F.col("q") <= false_rate) & F.col("q").isNotNull())
-            .groupBy("length_class").agg(F.max("bin").alias("last_bin")))
+    """(least): one row, the lowest evidence bin reported, null if none is. scored:
+    (bin), a row per distinct candidate; the p-value of a bin is that of its lower
+    end. The table it works on has a row per bin, whatever the corpus."""
+    histogram = scored.groupBy("bin").agg(F.count(F.lit(1)).alias("found")).withColumn("all", F.lit(0))
+    whole = Window.partitionBy("all")
+    down = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = F.exp(-F.col("bin") / BINS_PER_UNIT) * F.sum("found").over(whole) / F.sum("found").over(down)
+    return histogram.withColumn("q", q).agg(F.min(F.when(F.col("q") <= false_rate, F.col("bin"))).alias("least"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_rate: float = 0.05) -> DataFrame:
@@ -93,23 +179,21 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (start, order, kind, end, value); random spans overlap no base span.
 
     Null text is empty; a repeated row has the same spans each time; an empty table
-    gives an empty result; other columns are ignored. A length class without
-    ordinary tokens to compare with reports nothing."""
+    gives an empty result; other columns are ignored. Tokens that lie in base spans
+    wherever they stand are no candidates. A corpus without ordinary words to compare
+    with reports nothing."""
     text = text_of(text_col)
     scan = shared_table(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"),
                                     matches(text, TOKEN_RE).alias("tokens")), "secret-scan")
-    seen = scan.select("doc_id", "text_hash", "base", F.explode("tokens").alias("t"))
-    distinct = seen.groupBy(F.col("t.value").alias("token")).agg(F.count(F.lit(1)).alias("n_seen")).select("token")
-    letters_only = F.col("token").rlike("^[A-Za-z]+$")
-    scored = randomness(distinct.filter(letters_only | F.col("token").rlike("[0-9]")))
-    scored = shared_table(scored.select("token", (~letters_only).alias("is_candidate"), length_class(F.col("token")).alias("length_class"),
-                                        F.least(F.floor(F.col("score") * BINS_PER_UNIT), F.lit(MAX_BIN)).cast("int").alias("bin")), "secret-scores")
-    limits = discoveries(scored, false_rate)
-    chosen = (scored.filter("is_candidate").join(F.broadcast(limits), "length_class")  # a row per length class
-              .filter(F.col("bin") <= F.col("last_bin")).select("token"))
     clear = ~F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    added = (seen.filter(F.col("t.value").rlike("[0-9]") & clear).select("doc_id", "text_hash", "t", F.col("t.value").alias("token"))
-             .join(chosen, "token").select("doc_id", "text_hash", "t").distinct()
+    seen = (scan.select("doc_id", "text_hash", "base", F.explode("tokens").alias("t"))
+            .filter(F.col("t.value").rlike("[A-Za-z0-9]") & clear).select("doc_id", "text_hash", "t", F.col("t.value").alias("token")))
+    distinct = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n_seen")).select("token")
+    bin_of = F.least(F.greatest(F.floor(F.col("evidence") * BINS_PER_UNIT), F.lit(0)), F.lit(MAX_BIN)).cast("int")
+    scored = shared_table(evidence(distinct, ordinary_pairs(docs, text_col)).select("token", bin_of.alias("bin")), "secret-scores")
+    least = discoveries(scored, false_rate).first()["least"]
+    chosen = scored.filter(F.col("bin") >= F.lit(least)).select("token")
+    added = (seen.join(chosen, "token").select("doc_id", "text_hash", "t").distinct()
              .groupBy("doc_id", "text_hash")
              .agg(F.array_sort(F.collect_list(F.struct(F.col("t.start").alias("start"), F.lit(len(KINDS)).alias("order"), F.lit("random").alias("kind"),
                                                        F.col("t.end").alias("end"), F.col("t.value").alias("value")))).alias("random")))

@@ -151,3 +151,21 @@ def test_secret_odd_rows(spark):
     assert secret_spans(df.limit(0)).count() == 0
     flat = spark.createDataFrame([("a" * 20 + "1",), ("1" * 25,), ("_" * 22,)], "token string")
     assert all(r.score >= 0 for r in randomness(flat).collect())
+
+
+def test_random_strings_without_digits_or_peers(spark):
+    rng = random.Random(3)
+    words = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(300).collect() if r.text]
+    lower, mixed, b64 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", \
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in
+            [(mixed, 20), (mixed, 24), (mixed, 40), (lower, 32), (lower, 48), (b64, 23), (b64, 28), (b64, 43), (b64, 64), (b64, 86), (b64, 200)]]
+    plain = ["internationalizationofthings", "getElementByIdentifierAndName", "well-known-hyphenated-compound-words", "usr/local/lib/python3/dist-packages", "abababababababababababab7",
+             "//----------------------//", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    rows = [(i, t) for i, t in enumerate(words)]
+    rows += [(10_000 + i, f"see {k} here") for i, k in enumerate(keys)] + [(20_000 + i, f"see {w} here") for i, w in enumerate(plain)]
+    got = {r.doc_id: [s.value for s in r.random] for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[10_000 + i] for i in range(len(keys))] == [[k] for k in keys]
+    assert not any(v for d, v in got.items() if d >= 20_000)
+    few = spark.createDataFrame([(1, f"see {plain[0]}"), (2, f"see {plain[1]}")], "doc_id long, text string")
+    assert not any(r.random for r in secret_spans(few).collect())
