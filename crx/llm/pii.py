@@ -6,7 +6,9 @@ with an entity, df(t) with a term, and df(c, t) with the term near the entity. A
 term reveals an entity when their pointwise mutual information
 log(N df(c,t) / (df(c) df(t))) reaches a share of the entity's information
 log(N / df(c)): from GENERALISE it is generalised, from REMOVE removed. It must do
-so in two different contexts, so copies of one text prove nothing.
+so in two different contexts, so copies of one text prove nothing. The window about
+an entity serves the statistics only: a term that reveals one is marked wherever it
+stands, in all texts.
 """
 
 from __future__ import annotations
@@ -66,8 +68,9 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   remove: float = REMOVE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """One row per input row: doc_id, text_hash, base, terms.
 
-    base: the base spans; terms: spans of terms near a base span that reveal it, with
-    kind generalise or remove, none overlapping a base span. Both are arrays of
+    base: the base spans; terms: spans of terms that reveal an entity, wherever they
+    stand, with kind generalise or remove (the stronger where a term reveals several),
+    none overlapping a base span. Both are arrays of
     (start, order, kind, end, value). Null text is empty; a repeated row has the
     same spans each time; an empty table gives an empty result; other columns are
     ignored."""
@@ -89,24 +92,33 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .select("doc_id", "text_hash", "entity", "context", F.lower("t.value").alias("term"),
                     (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"), "base")
             .filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-            .drop("base"))
+            .select("doc_id", "text_hash", "entity", "context", "term"))
     near = shared_table(near, "pii-near")
     with_entity = (scan.select("doc_id", "text_hash", F.explode(F.array_distinct(F.col("contexts.entity"))).alias("entity"))
                    .groupBy("entity").agg(F.count(F.lit(1)).alias("df_c")))
     contexts = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"))
     together = (near.select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct"))
                 .join(contexts.filter(F.col("n_contexts") >= min_contexts), ["entity", "term"]))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_RE), F.lit(0)))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_RE), F.lit(0)), lambda t: F.lower(t)))
     with_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     pmi = F.log(F.lit(float(n_texts)) * F.col("df_ct") / (F.col("df_c") * F.col("df_t")))
     information = F.log(F.lit(float(n_texts)) / F.col("df_c"))
-    disclosing = (together.join(with_entity, "entity").join(with_term, "term")
-                  .filter((information > 0) & (pmi >= generalise * information))
-                  .select("entity", "term", F.when(pmi >= remove * information, "remove").otherwise("generalise").alias("kind")))
-    added = (near.join(disclosing, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end")
-             .agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-             .groupBy("doc_id", "text_hash")
-             .agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "kind", "end", "value"))).alias("terms")))
+    disclosing = shared_table(
+        together.join(with_entity, "entity").join(with_term, "term")
+        .filter((information > 0) & (pmi >= generalise * information))
+        .groupBy("term").agg(F.max(F.when(pmi >= remove * information, "remove").otherwise("generalise")).alias("kind")), "pii-disclosing")
+    # only texts that hold such a term are read for its places
+    holding = (docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(words).alias("term"))
+               .join(disclosing, "term").select("doc_id", "text_hash", "term", "kind").distinct()
+               .groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")))
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    held = (whole.join(holding, whole["id"].eqNullSafe(holding["doc_id"]) & (whole["hash"] == holding["text_hash"]))
+            .dropDuplicates(["doc_id", "text_hash"]).withColumn("spans", base_spans(F.col("text"))))
+    found = F.transform(matches(F.col("text"), TERM_RE, lambda t: F.map_contains_key("kinds", F.lower(t))), lambda t: F.struct(
+        t["start"].alias("start"), F.lit(len(KINDS)).alias("order"), F.element_at("kinds", F.lower(t["value"])).alias("kind"),
+        t["end"].alias("end"), F.lower(t["value"]).alias("value")))
+    clear = F.filter(found, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    added = held.select("doc_id", "text_hash", clear.alias("terms"))
     rows = scan.select("doc_id", "text_hash", "base")
     on = rows["doc_id"].eqNullSafe(added["doc_id"]) & (rows["text_hash"] == added["text_hash"])
     return (rows.join(added, on, "left").select(

@@ -7,23 +7,29 @@ match."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:long,end:long,value:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, value), end exclusive."""
+def matches(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches: array of (start, end, value), end exclusive;
+    with `wanted`, those whose value it holds for."""
     gaps_and_hits = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
                                  F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
+    def gone(hit: Column) -> Column:
+        return hit.isNull() if wanted is None else hit.isNull() | ~wanted(hit)
+
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        return F.struct(end.alias("at"), F.when(gone(x["hit"]), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
     found = F.aggregate(gaps_and_hits, start, step, lambda acc: acc["out"])
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))

@@ -169,3 +169,18 @@ def test_random_strings_without_digits_or_peers(spark):
     assert not any(v for d, v in got.items() if d >= 20_000)
     few = spark.createDataFrame([(1, f"see {plain[0]}"), (2, f"see {plain[1]}")], "doc_id long, text string")
     assert not any(r.random for r in secret_spans(few).collect())
+
+
+def test_revealing_terms_are_marked_in_whole_texts(spark, letters):
+    far = letters.filter("doc_id = 0").first().text + " plain" * 40 + " yours, ZEBULON (Zebulons) Zebulon."
+    rows = [(0, far), (0, far), (None, "Zebulon was here, not at zebulon@else.where.org"), (901, "x Zebulon")]
+    df = letters.filter("doc_id != 0").union(spark.createDataFrame(rows, letters.schema))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = private_spans(df).collect()
+    assert len(got) == df.count()
+    for r in got:
+        want = [m.span() for m in re.finditer(r"\bzebulon\b(?!@)", texts[r.doc_id], re.I)]
+        assert [(s.start, s.end) for s in r.terms] == want
+        assert all(s.value == "zebulon" and s.kind in ("generalise", "remove") for s in r.terms)
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert not re.search(r"\bzebulon\b", " ".join(clean.values()), re.I) and "(Zebulons)" in clean[0]
