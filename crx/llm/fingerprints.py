@@ -2,8 +2,8 @@
 
 A fingerprint is one 16-bit value per universal hash permutation, written in hex;
 the likeness of two is the share of equal values, which estimates the Jaccard
-similarity of their shingle sets. `similar_documents` joins signature bands in
-Spark and verifies Jaccard exactly; `edit_report` compares each document with an
+similarity of their shingle sets. `similar_documents` compares all members of each
+signature band, block against block, and verifies Jaccard exactly; `edit_report` compares each document with an
 edited text that ends in words of the next document.
 
 The next document is found without a global sort in one task: ids alone are
@@ -15,7 +15,8 @@ slice before it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crx.llm.common import shared_table, shuffle_width, text_of
+from crx.llm.ngram_join import BLOCK_ROWS, _column, _grouped
 from crx.llm.shingles import MinHash, chunks, shingle_hashes
 from crx.plans.session import ship_package
 
@@ -66,39 +68,114 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string")
 
 
+def _digested(k: int, permutations: int) -> Callable:
+    """For mapInArrow over (doc_id, text): the digest of the shingle set, null without
+    words, and the fingerprint."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = MinHash(permutations)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in chunks(texts):
+                hashes, counts = shingle_hashes(texts[a:b], k)
+                values = (minhash.signatures(hashes, counts) & np.uint32(0xFFFF)).astype(">u2")
+                digests = [hashlib.blake2b(np.unique(x).tobytes(), digest_size=16).digest() if len(x) else None
+                           for x in np.split(hashes, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())],
+                    names=["doc_id", "digest", "fingerprint"])
+    return run
+
+
+def _shingled(k: int) -> Callable:
+    """For mapInArrow over (node, fingerprint, text): text -> sorted shingle set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for a, b in chunks(texts):
+                hashes, counts = shingle_hashes(texts[a:b], k)
+                sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(2)], pa.array(sets, pa.binary())],
+                                                 names=["node", "fingerprint", "shingles"])
+    return run
+
+
+def _similar_pairs(threshold: float, bands: int, permutations: int) -> Callable:
+    """For mapInArrow over (band, value, b0, b1, block, node, fingerprint, shingles),
+    sorted: all similar pairs across two blocks of a band value, or within one. A pair
+    is compared in the first band it shares; of those, pairs whose fingerprints lie
+    more than 5.6 standard errors below the threshold (once in 1e8 at it) are not."""
+    least = threshold - 5.6 * math.sqrt(max(threshold * (1 - threshold), 0.0) / permutations)
+    per = permutations // bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type = pa.int64()
+
+        def typed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal id_type
+            for batch in stream:
+                id_type = batch.schema.field(5).type
+                yield batch
+
+        for (band, _, b0, b1), parts in _grouped(typed(batches), 4):
+            block, nodes = np.array(_column(parts, 4)), _column(parts, 5)
+            values = np.frombuffer(b"".join(_column(parts, 6)), dtype=">u2").reshape(len(nodes), -1)
+            banded = values[:, :bands * per].reshape(len(nodes), bands, per)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in _column(parts, 7)]
+            left, right, scores = [], [], []
+            for i in range(len(nodes)):
+                if b0 != b1 and block[i] != b0:
+                    continue
+                others = np.flatnonzero(block == b1) if b0 != b1 else np.arange(i + 1, len(nodes))
+                others = others[(values[others] == values[i]).mean(axis=1) >= least]
+                others = others[(banded[others] == banded[i]).all(axis=2).argmax(axis=1) == band]
+                for j in others:
+                    score = jaccard_of(sets[i], sets[j])
+                    if score >= threshold:
+                        left.append(max(nodes[i], nodes[j]))
+                        right.append(min(nodes[i], nodes[j]))
+                        scores.append(score)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, id_type), pa.array(right, id_type), pa.array(scores)],
+                                                 names=["left_id", "right_id", "jaccard"])
+    return run
+
+
 def similar_documents(docs: DataFrame, threshold: float = 0.8, bands: int = 32, id_col: str = "doc_id",
                       text_col: str = "text", k: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
-    """Pairs (left_id, right_id, jaccard) of documents, right_id the smallest id that
-    shares a signature band with left_id, Jaccard verified on the whole texts.
+    """Pairs (left_id, right_id, jaccard), left_id > right_id, of similar documents,
+    Jaccard verified on the whole texts.
 
-    Bands of permutations / bands values; every document is paired with the first
-    document of each of its bands, so a band of n documents gives n - 1 pairs.
+    Documents of equal shingle sets are represented by the smallest id among them.
+    Every other one has one row with its representative, jaccard 1.0 (the
+    membership), and every two representatives that share a signature band and reach
+    the threshold have one row, jaccard below 1.0: so two documents are similar if
+    their representatives are the same or a pair. Bands have permutations / bands
+    values; a band value of many members is dealt by hash into blocks, all compared.
     Ids are taken to be unique; null texts are empty and pair with nothing."""
-    signed = fingerprints(docs, id_col, text_col, k, permutations)
-    width = permutations // bands * 4
-    no_words = "f" * (permutations * 4)
-    banded = (signed.filter(F.col("fingerprint") != no_words)
-              .select("doc_id", F.posexplode(F.transform(
-                  F.sequence(F.lit(0), F.lit(bands - 1)),
-                  lambda i: F.col("fingerprint").substr(i * width + 1, F.lit(width)))).alias("band", "value")))
-    firsts = banded.groupBy("band", "value").agg(F.min("doc_id").alias("right_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = (banded.join(firsts, ["band", "value"]).filter(F.col("doc_id") != F.col("right_id"))
-             .select(F.col("doc_id").alias("left_id"), "right_id").distinct())
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    both = (pairs.join(texts.select(F.col("id").alias("left_id"), F.col("text").alias("left_text")), "left_id")
-            .join(texts.select(F.col("id").alias("right_id"), F.col("text").alias("right_text")), "right_id"))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = []
-            for x, y in zip(pdf.left_text, pdf.right_text, strict=True):
-                hashes, counts = shingle_hashes([x.encode(), y.encode()], k)
-                scores.append(jaccard_of(hashes[:counts[0]], hashes[counts[0]:]))
-            out = pdf[["left_id", "right_id"]].assign(jaccard=scores)
-            yield out[out.jaccard >= threshold]
-    kind = dict(both.dtypes)["left_id"]
-    return both.select("left_id", "right_id", "left_text", "right_text").mapInPandas(
-        verify, f"left_id {kind}, right_id {kind}, jaccard double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    ship_package(docs.sparkSession)
+    kind = dict(rows.dtypes)["doc_id"]
+    width = permutations // bands * 2
+    signed = shared_table(rows.mapInArrow(_digested(k, permutations), f"doc_id {kind}, digest binary, fingerprint binary"), "similar-signed")
+    nodes = shared_table(signed.filter(F.col("digest").isNotNull()).groupBy("digest")
+                         .agg(F.min("doc_id").alias("node"), F.first("fingerprint").alias("fingerprint")), "similar-nodes")
+    copies = (signed.join(nodes.select("digest", "node"), "digest").filter(F.col("doc_id") != F.col("node"))
+              .select(F.col("doc_id").alias("left_id"), F.col("node").alias("right_id"), F.lit(1.0).alias("jaccard")))
+    banded = nodes.select("node", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.col("fingerprint").substr(i * width + 1, F.lit(width)))).alias("band", "value"))
+    shared = banded.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("n_blocks"),
+                                                 F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    placed = shared_table(banded.join(shared, ["band", "value"]), "similar-bands")
+    sets = shared_table(rows.join(nodes, F.col("doc_id") == F.col("node")).join(placed.select("node").distinct(), "node", "left_semi")
+                        .select("node", "fingerprint", "text")
+                        .mapInArrow(_shingled(k), f"node {kind}, fingerprint binary, shingles binary"), "similar-sets")
+    blocked = (placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+               .select("band", "value", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "node")
+               .join(sets, "node").select("band", "value", "b0", "b1", "block", "node", "fingerprint", "shingles")
+               .repartition(shuffle_width(docs), "band", "value", "b0", "b1").sortWithinPartitions("band", "value", "b0", "b1"))
+    pairs = blocked.mapInArrow(_similar_pairs(threshold, bands, permutations), f"left_id {kind}, right_id {kind}, jaccard double")
+    return pairs.unionByName(copies)
 
 
 def _compare(rows: list[tuple], k: int, minhash: MinHash, id_type: pa.DataType) -> pa.RecordBatch:

@@ -84,3 +84,32 @@ def test_similar_documents(spark):
     assert got[(2, 1)] == 1.0 and got[(3, 1)] == pytest.approx(jaccard(shingle_set(base), shingle_set(rows[2][1])))
     assert all(4 not in p and 5 not in p and 6 not in p for p in got)
     assert fingerprints(df).select("doc_id").count() == 6
+
+
+@pytest.mark.parametrize("block_rows", [512, 4])
+def test_similar_documents_equal_all_pairs(spark, monkeypatch, block_rows):
+    """Dissimilar documents share a passage, and families of near copies lie among
+    them; none of the pairs depends on who is first in a band."""
+    import random
+
+    from crx.llm import fingerprints as module
+    monkeypatch.setattr(module, "BLOCK_ROWS", block_rows)
+    rng = random.Random(6)
+    own = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    passage = own(120)
+    texts = [" ".join(passage + own(80)) for _ in range(40)]
+    for _ in range(8):
+        base = passage + own(150)
+        texts += [" ".join(base[:i] + own(1) + base[i + 1:]) for i in rng.sample(range(len(base)), 5)]
+    texts += [texts[50], texts[50].replace(" ", "  "), texts[3], "", None]
+    rng.shuffle(texts)
+    sets = [frozenset(shingle_set(t or "")) for t in texts]
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(x, i)
+    want = {(i, first[x]): 1.0 for i, x in enumerate(sets) if x and first[x] != i}
+    heads = [i for x, i in first.items() if x]
+    want |= {(a, b): jaccard(sets[a], sets[b]) for a in heads for b in heads if a > b and jaccard(sets[a], sets[b]) >= 0.8}
+    rows = similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(want) and len(want) > 60
+    assert {(r.left_id, r.right_id): r.jaccard for r in rows} == pytest.approx(want)
