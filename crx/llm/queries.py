@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from crx.llm import q_native, q_text  # noqa: F401  (registering)
+    from crx.llm import q_native, q_search, q_text  # noqa: F401  (registering)
