@@ -155,14 +155,14 @@ SELECT o_orderkey AS review_id,
        CASE WHEN o_orderstatus = 'O' THEN o_orderdate ELSE o_orderdate + INTERVAL 1 DAY END AS updated_at
 FROM orders""")
 def q_review_lifecycle_stream(spark, d):
-    """Status changes streamed in several files, oldest sequence last; the reader
-    takes the latest change per review."""
+    """Status changes streamed in several files, so a review's changes come in any
+    order over micro-batches; the keyed table holds the latest."""
     base = _scratch(spark, "lifecycle")
     X.status_events(spark, d).repartition(3, "seq").write.parquet(f"{base}/in")
     stream = (spark.readStream.schema("review_id bigint, status string, error_message string, ts timestamp_ntz, seq int")
               .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
-    S.review_lifecycle_stream(stream, f"{base}/changes", f"{base}/ckpt")
-    return S.read_lifecycle(spark, f"{base}/changes").select("review_id", "status", "error_message", "updated_at")
+    S.review_lifecycle_stream(stream, f"{base}/current", f"{base}/ckpt")
+    return S.read_lifecycle(spark, f"{base}/current").select("review_id", "status", "error_message", "updated_at")
 
 
 @query("issue_trend_stream", oracle="""
@@ -317,10 +317,13 @@ def q_load_tables(spark, d):
 SELECT 'review' AS part, id, id AS review_id, status AS content FROM review_records
 UNION ALL SELECT 'issue', id, review_record_id, concat_ws('|', file_path, line_start, line_end, severity, title) FROM review_issues""")
 def q_write_review(spark, d):
-    """Reviews and the findings linked to them, saved and read back."""
+    """Reviews and the findings linked to them, saved in two batches, the first of
+    which is written again as a retried job would; then read back."""
     base = _scratch(spark, "reviews_out")
-    RD.save_reviews(X.review_records(spark, d), X.review_issues(spark, d), base)
-    r, i = spark.read.parquet(f"{base}/review_records"), spark.read.parquet(f"{base}/review_issues")
+    reviews, issues = X.review_records(spark, d), X.review_issues(spark, d)
+    for batch, part in ((0, 0), (1, 1), (0, 0)):
+        RD.save_reviews(reviews.filter(F.col("id") % 2 == part), issues, base, batch)
+    r, i = RD.load_reviews(spark, base)
     return r.select(F.lit("review").alias("part"), "id", F.col("id").alias("review_id"), F.col("status").alias("content")).unionByName(
         i.select(F.lit("issue").alias("part"), "id", F.col("review_record_id").alias("review_id"),
                  F.concat_ws("|", "file_path", F.col("line_start").cast("string"), F.col("line_end").cast("string"), "severity", "title").alias("content")))

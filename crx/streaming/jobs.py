@@ -1,10 +1,10 @@
 """Structured Streaming jobs (§2.9) built from the batch operators.
 
 Sinks are files in the shared folder (never the driver). Append-only outputs are
-plain parquet. Keyed state is not kept by a job: changes are appended as they
-come, and the reader takes the latest per key, an aggregate that combines before
-its shuffle. A daily count goes to one folder per micro-batch, overwritten when
-the batch is replayed, so a restart changes nothing."""
+plain parquet. The current status of each review is kept in hash buckets
+(`KeyedTable`), of which a micro-batch rewrites those it touches. A daily count goes to
+one folder per micro-batch, overwritten when the batch is replayed. So a restart changes
+nothing."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crx.functions.common import instant_utc_date, ntz_to_instant
 from crx.operators import events as EV
+from crx.streaming.keyed import KeyedTable
 
 
 def run_available_now(query_builder, name: str) -> None:
@@ -58,18 +59,24 @@ def read_issue_trend(spark: SparkSession, out_base: str) -> DataFrame:
             .groupBy("day").agg(F.max_by("issue_count", "batch").alias("issue_count")))
 
 
-LIFECYCLE_SCHEMA = "review_id bigint, status string, error_message string, ts timestamp_ntz, seq bigint, day date"
+LIFECYCLE_SCHEMA = "review_id bigint, status string, error_message string, ts timestamp_ntz, seq bigint"
+LIFECYCLE_BUCKETS = 16
+
+
+def _lifecycle(spark: SparkSession, path: str, buckets: int = LIFECYCLE_BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, path, LIFECYCLE_SCHEMA, ["review_id"], ["ts", "seq"], buckets)
 
 
 def review_lifecycle_stream(status_events: DataFrame, out_path: str, checkpoint: str,
-                            name: str = "review_lifecycle") -> None:
-    """Status changes appended as they come, by day of the change."""
-    changes = status_events.select("review_id", "status", "error_message", "ts", F.col("seq").cast("bigint").alias("seq"),
-                                   F.to_date("ts").alias("day"))
-    run_available_now(changes.writeStream.format("parquet").option("path", out_path).partitionBy("day")
-                      .option("checkpointLocation", checkpoint).outputMode("append"), name)
+                            name: str = "review_lifecycle", buckets: int = LIFECYCLE_BUCKETS) -> None:
+    """The current status of every review, kept up to date by micro-batches: the change
+    of the largest (ts, seq), in whatever order changes arrive."""
+    state = _lifecycle(status_events.sparkSession, out_path, buckets)
+    changes = status_events.withColumn("seq", F.col("seq").cast("bigint"))
+    run_available_now(changes.writeStream.outputMode("append").foreachBatch(state.merge).option("checkpointLocation", checkpoint), name)
 
 
 def read_lifecycle(spark: SparkSession, path: str) -> DataFrame:
-    """Current status per review: the change of the largest (ts, seq)."""
-    return EV.review_lifecycle(spark.read.schema(LIFECYCLE_SCHEMA).parquet(path))
+    """Current status per review: review_id, status, error_message, updated_at."""
+    rows = _lifecycle(spark, path).read()
+    return rows.select("review_id", "status", "error_message", F.col("ts").alias("updated_at"))
