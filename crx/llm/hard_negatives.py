@@ -27,7 +27,7 @@ from crx.plans.session import ship_package
 
 SCALE = 256
 BLOCK_ROWS = 32_768
-LEAST_BLOCK_ROWS = 2_048  # blocks are not made smaller than this to fill more tasks
+LEAST_BLOCK_ROWS = 256  # blocks are not made smaller than this to fill more tasks
 STEP_ROWS = 4_096  # rows of a block that are held against a batch of anchors at once
 SEGMENTS = (4, 16)  # segments per vector, level by level
 FOUND = "anchor_id long, window long, id long, score long"
