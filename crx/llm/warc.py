@@ -15,6 +15,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,18 +26,20 @@ from crx.plans.session import ship_package
 
 RECORD_SCHEMA = ("warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
                  "source_status string, source_headers string, block_digest string, payload_digest string, content_length long, block string")
-# Elements whose content is not text, and those that end a line.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_HEAD = re.compile(r"<head\b[^>]*>(.*?)(?:</head\s*>|(?=<body\b))", re.I | re.S)
-_BREAK = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|ul|ol|li|dl|dt|dd|table|tr|h[1-6]|blockquote|pre|figure|form|title)"
-                    r"\b|[bh]r\b)[^>]*>", re.I)
-_CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
+# Elements whose content is not text, those that end a line, and cells.
+HIDDEN = {"script", "style", "template", "noscript", "svg"}
+BREAKS = {"p", "div", "section", "article", "header", "footer", "nav", "aside", "main", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "h1", "h2", "h3",
+          "h4", "h5", "h6", "blockquote", "pre", "figure", "form", "title", "br", "hr"}
+CELLS = {"td", "th"}
+_TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9]*+)[^>]*+>?|[a-zA-Z/!?][^>]*+>?)")
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in {*HIDDEN, "title"}}
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z0-9-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*+=\s*+(?:\"([^\">]*+)\"|'([^'>]*+)'|([^\s>]++))", re.I)
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+_TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,8})[^\r\n]*+\r?\n")
 
 
 def digest(data: bytes) -> str:
@@ -49,24 +52,67 @@ def derived_id(record_id: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}#{kind}')}>"
 
 
+def _unescaped(text: str) -> str:
+    """Character references resolved; numbers that no character has become U+FFFD."""
+    return html.unescape(_TOO_LARGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text)))
+
+
+def read_page(page: str) -> tuple[str, list[tuple[str, str]]]:
+    """(readable text, facts) of an HTML page in one scan from tag to tag.
+
+    The text has a line per block, single spaces and no markup; facts are title,
+    language and links, in warc-fields form. A tag ends at the next `>`, or with the page.
+    A comment or hidden element without its end hides the rest of the page, a head without
+    one is text. Every search either moves the scan behind what it found or is the last of
+    its kind, so the time grows with the page alone."""
+    out: list[str] = []
+    head: list[str] | None = None  # what the first head holds, as long as it is open
+    head_seen = False
+    title, language, links = None, None, []
+    at = 0
+    while (m := _TAG.search(page, at)) is not None:
+        into = out if head is None else head
+        into.append(page[at:m.start()])
+        at = m.end()
+        name, closing = (m[2] or "").lower(), bool(m[1])
+        if m[0] == "<!--" or name in HIDDEN and not closing and not (name == "svg" and m[0].endswith("/>")):
+            end = _CLOSE[name].search(page, at) if name else None
+            behind = end.end() if end else page.find("-->", at) + 3 if not name else 2
+            into.append(" ")
+            at = behind if behind > 2 else len(page)
+            continue
+        if name == "head" and not closing and not head_seen:
+            head, head_seen = [], True
+        elif head is not None and (name == "head" and closing or name == "body" and not closing):
+            head = None
+            out.append("\n")
+        into = out if head is None else head
+        into.append("\n" if name in BREAKS else " " if name in CELLS else "")
+        if closing:
+            continue
+        if name == "title" and title is None:
+            end = _CLOSE["title"].search(page, at)
+            title = _TAG.sub("", page[at:end.start() if end else len(page)])
+        elif name == "html" and language is None and (found := _LANG.search(m[0])):
+            language = found[1]
+        elif name == "a" and (found := _HREF.search(m[0])):
+            links.append(next(g for g in found.groups() if g is not None))
+    (out if head is None else head).append(page[at:])
+    out += head or []
+    text = _LINES.sub("\n", _SPACE.sub(" ", _unescaped("".join(out)))).strip()
+    facts = [("title", " ".join(_unescaped(title).split()))] if title is not None else []
+    facts += [("language", language)] if language else []
+    return text, facts + [("outlink", " ".join(_unescaped(x).split())) for x in links]
+
+
 def plain_text(page: str) -> str:
-    """Readable text of an HTML page: a line per block, single spaces, no markup."""
-    body = _HIDDEN.sub(" ", page)
-    body = _HEAD.sub("\n", body, count=1)
-    body = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", body)))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(body))).strip()
+    """Readable text of an HTML page."""
+    return read_page(page)[0]
 
 
 def page_facts(page: str) -> list[tuple[str, str]]:
-    """Title, language and links of an HTML page, in warc-fields form."""
-    visible = _HIDDEN.sub(" ", page)
-    facts = []
-    if m := _TITLE.search(visible):
-        facts.append(("title", " ".join(html.unescape(_TAG.sub("", m.group(1))).split())))
-    if m := _LANG.search(visible):
-        facts.append(("language", m.group(1)))
-    facts += [("outlink", " ".join(html.unescape(a or b or c).split())) for a, b, c in _LINK.findall(visible)]
-    return facts
+    """Title, language and links of an HTML page."""
+    return read_page(page)[1]
 
 
 def split_message(message: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -80,6 +126,50 @@ def split_message(message: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, fields, body
 
 
+def _unchunked(body: bytes) -> bytes | None:
+    """The data of a chunked body; None if its chunks are not whole."""
+    out, at = [], 0
+    while (m := _CHUNK.match(body, at)) is not None:
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        if m.end() + size > len(body):
+            return None
+        out.append(body[m.end():m.end() + size])
+        at = m.end() + size
+        at += 2 if body[at:at + 2] == b"\r\n" else 1 if body[at:at + 1] == b"\n" else 0
+    return None
+
+
+def _inflated(body: bytes, bits: int) -> bytes | None:
+    """The whole data; None if it breaks off."""
+    stream = zlib.decompressobj(bits)
+    data = stream.decompress(body)
+    return data if stream.eof else None
+
+
+def decoded_body(fields: list[tuple[str, str]], body: bytes) -> bytes | None:
+    """The body without its transfer and content codings (chunked, gzip, deflate, the
+    last applied first); None if one is unknown or its data is broken. A body that says
+    chunked or gzip but does not begin so was stored decoded and is taken as it is."""
+    codings = lambda name: [c.strip().lower() for n, v in fields if n.lower() == name for c in v.split(",") if c.strip()]
+    if "chunked" in codings("transfer-encoding") and _CHUNK.match(body):
+        body = _unchunked(body)
+    for coding in reversed(codings("content-encoding")):
+        if body is None:
+            return None
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = _inflated(body, 31) if body[:2] == b"\x1f\x8b" else body
+            elif coding == "deflate":
+                body = _inflated(body, 15 if body[:1] and body[0] & 15 == 8 else -15)
+            elif coding != "identity":
+                return None
+        except zlib.error:
+            return None
+    return body
+
+
 def _charset(content_type: str) -> str:
     m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type, re.I)
     try:
@@ -94,14 +184,15 @@ def derivatives(record_id: str, target_uri: str, date: str, message: bytes) -> l
     status, fields, body = split_message(message)
     kind = next((v for n, v in fields if n.lower() == "content-type"), "")
     media = kind.split(";")[0].strip().lower()
-    text = body.decode(_charset(kind), "replace")
+    whole = decoded_body(fields, body)
+    text = "" if whole is None else whole.decode(_charset(kind), "replace")
     is_html = media in ("text/html", "application/xhtml+xml") or (not media and text.lstrip()[:1] == "<")
     payload_digest, source_headers = digest(body), "\r\n".join(f"{n}: {v}" for n, v in fields)
+    clean, said = read_page(text) if is_html else (text, [])
     facts = [("source-status", status), ("source-payload-digest", payload_digest), ("source-content-length", str(len(body))),
-             *[(f"source-header-{n.lower()}", v) for n, v in fields], *(page_facts(text) if is_html else [])]
+             *[(f"source-header-{n.lower()}", v) for n, v in fields], *said]
     made = [("metadata", "application/warc-fields", "".join(f"{n}: {v}\r\n" for n, v in facts), payload_digest)]
-    if is_html or media == "text/plain" or not media:
-        clean = plain_text(text) if is_html else text
+    if whole is not None and (is_html or media == "text/plain" or not media):
         made.append(("conversion", "text/plain; charset=utf-8", clean, digest(clean.encode("utf-8", "replace"))))
     out = []
     for name, content_type, block, payload in made:
@@ -116,7 +207,8 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     message binary), RECORD_SCHEMA.
 
     Every response gives one metadata record; HTML, plain text and untyped bodies
-    give one conversion record too. block_digest is of the record's own block; the
+    give one conversion record too, unless the body's coding (chunked, gzip, deflate) is
+    unknown or broken. Digests of the payload are of the body as received. block_digest is of the record's own block; the
     payload digest of a metadata record is the response's, of a conversion record
     that of its text. A null message is an empty one, null fields are empty; a
     response without id gets one from its target and message. Repeated responses
@@ -164,10 +256,15 @@ def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_
 
 def as_warc(records: DataFrame) -> DataFrame:
     """Records as WARC/1.1 bytes (record_id, warc binary), ready to be written in any
-    grouping of files."""
+    grouping of files. The source's status line and header fields follow as extension
+    fields, one WARC-Source-Header each. Line ends inside a value become spaces."""
     line = "\r\n"
-    head = F.concat_ws(line, F.lit("WARC/1.1"), *[F.concat(F.lit(f"{n}: "), F.col(c).cast("string")) for n, c in (
+    value = lambda c: F.regexp_replace(F.col(c).cast("string"), "[\r\n]+", " ")
+    fields = [F.concat(F.lit(f"{n}: "), value(c)) for n, c in (
         ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
         ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"),
-        ("Content-Type", "content_type"), ("Content-Length", "content_length"))])
+        ("Content-Type", "content_type"), ("Content-Length", "content_length"))]
+    status = F.when(F.col("source_status") != "", F.concat(F.lit("WARC-Source-Status: "), value("source_status")))
+    sources = F.when(F.col("source_headers") != "", F.concat(F.lit("WARC-Source-Header: "), F.regexp_replace(F.col("source_headers"), line, f"{line}WARC-Source-Header: ")))
+    head = F.concat_ws(line, F.lit("WARC/1.1"), *fields, status, sources)
     return records.select("record_id", F.encode(F.concat(head, F.lit(line + line), F.col("block"), F.lit(line + line)), "utf-8").alias("warc"))

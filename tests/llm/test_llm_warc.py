@@ -1,13 +1,16 @@
 """WARC derivatives against the standard HTML parser and recomputed digests."""
 
 import base64
+import gzip
 import hashlib
 import re
+import time
+import zlib
 from html import unescape
 from html.parser import HTMLParser
 
 from crx.llm.q_text import op2_warc
-from crx.llm.warc import as_warc, build_derivatives, plain_text, responses_of_pages, split_message
+from crx.llm.warc import as_warc, build_derivatives, decoded_body, page_facts, plain_text, read_page, responses_of_pages, split_message
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -103,3 +106,47 @@ def test_odd_rows(spark):
 def test_split_message():
     assert split_message(b"no http") == ("", [], b"no http")
     assert split_message(b"HTTP/1.1 200 OK\r\nA: b: c\r\nbad\r\n\r\nx\r\n\r\ny") == ("HTTP/1.1 200 OK", [("A", "b: c")], b"x\r\n\r\ny")
+
+
+def test_hostile_pages_take_linear_time():
+    """Openings without ends: time grows with the page, not with its square."""
+    for unit in ("<a x ", "<a href=\" ", "<a href=  ", "<html ", "<html lang ", "<head>", "</head", "<title>", "<!--", "<script>", "</script ", "<svg/>", "<", "&#1", "\n ", "<body <head "):
+        for end in ("", ">"):
+            begin = time.process_time()
+            read_page((unit + end) * (2_000_000 // len(unit + end)))
+            assert time.process_time() - begin < 12, unit
+    assert read_page("<a " * 3_000_000)[0] == ""
+    assert plain_text("&#" + "1" * 100_000 + "; &#0000065; &#x000000041;") == "\ufffd A A"
+
+
+def test_tags_in_one_scan():
+    assert plain_text("a<svg/>b<svg x=1 />c<svg>d</svg>e") == "abc e"
+    assert plain_text("x<script/>y</script>z") == "x z" and plain_text("x<STYLE>y</style  >z") == "x z"
+    assert plain_text("<head>a<title>b</title>c") == "a\nb\nc"  # a head without an end is text
+    assert plain_text("<head>a<body>b<head>c</head>d") == "bcd"  # only the first one is left out
+    assert plain_text("1 <2 <3> </ x> y</p") == "1 <2 <3> y"
+    assert page_facts("<html x lang='de-AT'><head><title> a <b>&amp;</b>\nc</title></head><a name=1><a class=x href = y&amp;z ><A HREF='q r'>") == [
+        ("title", "a & c"), ("language", "de-AT"), ("outlink", "y&z"), ("outlink", "q r")]
+    assert page_facts("<!-- <a href=x> --><script><a href=y></script><title>open") == [("title", "open")]
+
+
+def test_transfer_and_content_codings(spark):
+    text = "<html><title>T</title><p>wörds here".encode()
+    chunked = b"5\r\n" + text[:5] + b"\r\n" + f"{len(text) - 5:x};ext=1\r\n".encode() + text[5:] + b"\r\n0\r\nTrailer: x\r\n\r\n"
+    te, gz = ("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")
+    assert decoded_body([te], chunked) == text and decoded_body([gz], gzip.compress(text)) == text and decoded_body([], text) == text
+    both = gzip.compress(text)
+    assert decoded_body([te, gz], f"{len(both):x}\r\n".encode() + both + b"\r\n0\r\n\r\n") == text
+    raw = zlib.compressobj(wbits=-15)
+    assert decoded_body([("content-encoding", "deflate")], zlib.compress(text)) == decoded_body([("content-encoding", "deflate")], raw.compress(text) + raw.flush()) == text
+    assert decoded_body([te], text) == text and decoded_body([gz], text) == text  # stored decoded
+    assert decoded_body([te], b"ff\r\nshort") is None and decoded_body([gz], both[:4] + b"zzzz") is None and decoded_body([("Content-Encoding", "br")], b"x") is None
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: gzip\r\n\r\n"
+    df = spark.createDataFrame([("<urn:uuid:1>", "http://a", "d", head + both), ("<urn:uuid:2>", "http://b", "d", head + both[:4] + b"zzzz")],
+                               "record_id string, target_uri string, warc_date string, message binary")
+    out = {(r.refers_to, r.warc_type): r for r in build_derivatives(df).collect()}
+    assert set(out) == {("<urn:uuid:1>", "metadata"), ("<urn:uuid:1>", "conversion"), ("<urn:uuid:2>", "metadata")}
+    assert out["<urn:uuid:1>", "conversion"].block == "T\nwörds here"
+    assert out["<urn:uuid:1>", "metadata"].payload_digest == sha(both)
+    for w in as_warc(build_derivatives(df)).collect():
+        assert b"\r\nWARC-Source-Status: HTTP/1.1 200 OK\r\nWARC-Source-Header: Content-Type: text/html\r\nWARC-Source-Header: Content-Encoding: gzip\r\n" in bytes(w.warc)
