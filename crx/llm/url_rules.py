@@ -39,17 +39,19 @@ def _labels(host: Column) -> Column:
 
 
 def _key(labels: Column, path: Column) -> Column:
-    """Reversed host labels, then the path; a zero byte parts the two."""
-    return F.encode(F.concat(F.array_join(labels, ","), F.lit("\u0000"), path), "utf-8")
+    """Reversed host labels, then the path. No host holds / or ?, so these part the
+    labels and the path without doubt, whatever else a label holds."""
+    return F.encode(F.concat(F.array_join(labels, "/"), F.lit("?"), path), "utf-8")
 
 
 def _numbered_rules(rules: DataFrame) -> DataFrame:
     """One row per (host, path): rule_id, key, parent_id, labels, rule, action."""
     clean = (rules.select(ascii_lower(F.coalesce("host", F.lit(""))).alias("host"),
                           F.coalesce("path", F.lit("")).alias("path"), "action")
+             .filter(~F.col("host").rlike("[/?#]"))
              .groupBy("host", "path").agg(F.max("action").alias("action")))
     keyed = clean.select("*", _labels(F.col("host")).alias("labels"), F.concat("host", "path").alias("rule"),
-                         F.conv(F.substring(F.md5(F.concat("host", F.lit("\u0000"), "path")), 1, 15), 16, 10)
+                         F.conv(F.substring(F.md5(F.concat("host", F.lit("?"), "path")), 1, 15), 16, 10)
                          .cast("long").alias("rule_id"))
     shorter = keyed.filter(F.length("path") > 0).select(
         "rule_id", "host", F.explode(F.sequence(F.lit(0), F.length("path") - 1)).alias("n"), "path")
@@ -67,7 +69,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     together, ties: the longer host) gives rule (host + path) and verdict; without
     one, rule is null and verdict is `default`. Rules repeated with both actions
     count as the greater name ("block" beats "allow"); a rule with an empty host
-    fits every url. A null url, or one without ://, has empty host and path. Rows
+    fits every url; one whose host holds / ? or # fits none. A null url, or one without ://, has empty host and path. Rows
     repeated in `pages` are repeated in the result; an empty table on either side
     is fine; other columns are ignored."""
     numbered = shared_table(_numbered_rules(rules), "url-rules")

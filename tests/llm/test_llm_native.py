@@ -122,11 +122,15 @@ def judge(url):
 def test_url_rules_on_odd_urls(spark):
     urls = [None, "", "no scheme", "://", "http://", "http://org", "http://ORG/", "https://www.Example.org/es/", "https://example.org/es", "http://a.b.example.org/es/x/y?z",
             "http://example.org/en/12", "http://example.org/en/2", "ftp://x.com/fr/a", "http://com/de/", "http://xcom/de/", "http://a.example.org", "http://x.y/ad/1#f",
-            "http://example.org/es/\U0010ffff", "http://" + "a." * 3000 + "example.org/es/q", "http://h/" + "p" * 20_000, "a://b://org/", "http://example.org?x/es/", "http://.org/", "http://Ü.org/É"]
+            "http://example.org/es/\U0010ffff", "http://" + "a." * 3000 + "example.org/es/q", "http://h/" + "p" * 20_000, "a://b://org/", "http://example.org?x/es/", "http://.org/", "http://Ü.org/É",
+            # separators of any kind inside a host are part of its labels
+            "http://org,example/es/x", "http://example,org/es/", "http://com,/fr/", "http://org\x00example/es/", "http://org\x00/es/", "http://a,b.example.org/es/",
+            "http://\x00.org/", "http://org\x01example/es/", "http://example.org\x00/es/", "http://example.org/\x00es/", "http://org:80/", "http://.example.org/es/", "http://org./"]
     urls += [f"http://s{i % 9}.example.{'org' if i % 2 else 'com'}/{'es' if i % 3 else 'de'}/{i % 40}" for i in range(400)]
     rows = [(i, u, "x", "y") for i, u in enumerate(urls)] + [(3, "://", "x", "y"), (None, "http://org/", "x", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, key string")
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    impossible = [("org/example", "", "block"), ("org?", "/", "block"), ("example#", "/", "block"), ("org,example", "/zz", "block")]
+    rules = spark.createDataFrame(RULES + impossible, "host string, path string, action string")
     got = sorted(((r.page_id if r.page_id is not None else -1, (r.host, r.path, r.rule, r.verdict)) for r in judge_urls(pages, rules).collect()), key=str)
     assert got == sorted(((i if i is not None else -1, judge(u)) for i, u, _, _ in rows), key=str)
     assert judge_urls(pages.limit(0), rules).count() == 0
