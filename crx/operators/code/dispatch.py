@@ -47,8 +47,12 @@ def register_extractor(language: str, scan: Callable[[DataFrame], DataFrame],
         LANGUAGE_SUFFIXES[language] = list(suffixes)
 
 
-def java_scan(sources: DataFrame) -> DataFrame:
-    return J.token_features(J.java_tokens(sources))
+def java_scan(sources: DataFrame, large_chars: int = J.LARGE_CHARS) -> DataFrame:
+    """The token table. A file of more than `large_chars` is scanned in chunks, so that
+    its windows are spread over tasks; the rows are the same either way."""
+    large = F.coalesce(F.length("content"), F.lit(0)) > large_chars
+    small = J.token_features(J.java_tokens(sources.filter(~large)))
+    return small.unionByName(J.chunked_features(J.java_tokens(sources.filter(large))))
 
 
 def python_rules(scan: DataFrame) -> DataFrame:

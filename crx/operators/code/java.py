@@ -138,12 +138,48 @@ def _is_literal(kind: Column) -> Column:
     return kind.isin("string", "number", "literal")
 
 
+_FEATURES = ["file_id", "path", "idx", "line", "tok", "kind", "prev", "prev_kind", "prev2", "next", "next_kind", "next2", "next2_kind", "next3", "prev_line",
+             "next_idx", "pd", "bd", "plevel", "blevel", "pmatch", "after_close", "after_close_idx", "bmatch"]
+
+
+def _bracket_levels(f: DataFrame) -> DataFrame:
+    """Level of a bracket: after opening for an opener, before closing for a closer."""
+    t = F.col("tok")
+    return (f.withColumn("plevel", F.when(t == "(", F.col("pd")).when(t == ")", F.col("pd") + 1))
+            .withColumn("blevel", F.when(t == "{", F.col("bd")).when(t == "}", F.col("bd") + 1))
+            .withColumn("_bk", F.when(t.isin("(", ")"), F.lit("p")).when(t.isin("{", "}"), F.lit("b")))
+            .withColumn("_lv", F.coalesce(F.col("plevel"), F.col("blevel"))))
+
+
+def _with_partners(f: DataFrame, after: Column, before: Column) -> DataFrame:
+    """From the next and previous bracket of the same kind and level: the partner; for
+    '(' also the token after its ')'; for '}' whether its '{' follows `do`."""
+    t = F.col("tok")
+    pair, block = (t == "(") & (after["tok"] == ")"), (t == "{") & (after["tok"] == "}")
+    return f.select(
+        "*", F.when(pair, after["idx"]).alias("pmatch"), F.when(pair, after["next"]).alias("after_close"),
+        F.when(pair, after["next_idx"]).alias("after_close_idx"), F.when(block, after["idx"]).alias("bmatch"),
+        ((t == "}") & (before["tok"] == "{") & (before["prev"] == "do")).alias("_do_close"))
+
+
+def _running() -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """What rules and structure share: running counts, the last place of a token up to
+    here, and before here."""
+    t, prev = F.col("tok"), F.coalesce(F.col("prev"), F.lit(""))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    is_class = (t == "class") & (F.col("next_kind") == "ident") & (prev != ".")
+    counts = {"C": _decision_weight(), "plus_pc": one(t == "+"), "nonlit_pc": one(~_is_literal(F.col("kind")) & ~t.isin(",", "-", "+")),
+              "binop_pc": one(t.isin("-", "+") & ~prev.isin("(", ",")), "ad": F.when(t == "<", 1).when(t == ">", -1).otherwise(0)}
+    places = {"class_last": is_class, "lbrace_last": t == "{", "import_last": t == "import", "semi_last": t == ";"}
+    return counts, places, {"rparen_before": t == ")", "stmt_end_before": t.isin(";", "{", "}")}
+
+
 def token_features(tokens: DataFrame) -> DataFrame:
     """Neighbours, bracket levels and partners, and the running counts and
     positions the rules share. Three window passes over the tokens: (file,
     idx) for neighbours and depths, (file, bracket kind, level) for partners,
     and (file, idx) again for the running values. Built once and materialised
-    by callers."""
+    by callers; `chunked_features` gives the same for files too long for one task."""
     w = Window.partitionBy("file_id").orderBy("idx")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -157,42 +193,88 @@ def token_features(tokens: DataFrame) -> DataFrame:
         F.lead("idx", 1).over(w).alias("next_idx"),
         F.sum(F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).over(run).alias("pd"),
         F.sum(F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).over(run).alias("bd"))
-    # level of a bracket: after opening for an opener, before closing for a closer
-    f = f.withColumn("plevel", F.when(t == "(", F.col("pd")).when(t == ")", F.col("pd") + 1)) \
-         .withColumn("blevel", F.when(t == "{", F.col("bd")).when(t == "}", F.col("bd") + 1)) \
-         .withColumn("_bk", F.when(t.isin("(", ")"), F.lit("p")).when(t.isin("{", "}"), F.lit("b"))) \
-         .withColumn("_lv", F.coalesce(F.col("plevel"), F.col("blevel")))
-    # partners: the next bracket of the same kind at the same level; for '('
-    # also the token after its ')'; for '}' whether its '{' follows `do`
-    kw = Window.partitionBy("file_id", "_bk", "_lv").orderBy("idx")
-    nxt_tok, nxt_idx = F.lead("tok", 1).over(kw), F.lead("idx", 1).over(kw)
-    f = f.select(
-        "*",
-        F.when((t == "(") & (nxt_tok == ")"), nxt_idx).alias("pmatch"),
-        F.when((t == "(") & (nxt_tok == ")"), F.lead("next", 1).over(kw)).alias("after_close"),
-        F.when((t == "(") & (nxt_tok == ")"), F.lead("next_idx", 1).over(kw)).alias("after_close_idx"),
-        F.when((t == "{") & (nxt_tok == "}"), nxt_idx).alias("bmatch"),
-        ((t == "}") & (F.lag("tok", 1).over(kw) == "{") & (F.lag("prev", 1).over(kw) == "do")).alias("_do_close"))
-    prev = F.coalesce(F.col("prev"), F.lit(""))
-
-    def csum(cond):
-        return F.sum(F.when(cond, 1).otherwise(0)).over(run)
-
-    def last_idx(cond, frame=run):
-        return F.last(F.when(cond, F.col("idx")), ignorenulls=True).over(frame)
-    is_class = (t == "class") & (F.col("next_kind") == "ident") & (prev != ".")
-    return f.select(
-        *[c for c in f.columns if not c.startswith("_")],
-        F.sum(_decision_weight()).over(run).alias("C"),
-        csum(t == "+").alias("plus_pc"),
-        csum(~_is_literal(F.col("kind")) & ~t.isin(",", "-", "+")).alias("nonlit_pc"),
-        csum(t.isin("-", "+") & ~prev.isin("(", ",")).alias("binop_pc"),
-        # running context used by declarations and structure
-        F.sum(F.when(t == "<", 1).when(t == ">", -1).otherwise(0)).over(run).alias("ad"),
-        last_idx(is_class).alias("class_last"), last_idx(t == "{").alias("lbrace_last"),
-        last_idx(t == "import").alias("import_last"), last_idx(t == ";").alias("semi_last"),
-        last_idx(t == ")", before).alias("rparen_before"),
-        last_idx(t.isin(";", "{", "}"), before).alias("stmt_end_before"))
+    f = _bracket_levels(f)
+    level = Window.partitionBy("file_id", "_bk", "_lv").orderBy("idx")
+    mark = F.struct("tok", "idx", "next", "next_idx", "prev")
+    f = _with_partners(f, F.lead(mark).over(level), F.lag(mark).over(level))
+    counts, places, places_before = _running()
+    last = lambda c, frame: F.last(F.when(c, F.col("idx")), ignorenulls=True).over(frame)
+    return f.select(*_FEATURES, *[F.sum(c).over(run).alias(n) for n, c in counts.items()],
+                    *[last(c, run).alias(n) for n, c in places.items()], *[last(c, before).alias(n) for n, c in places_before.items()])
+
+
+CHUNK_LINES = 4_096
+LARGE_CHARS = 1_000_000  # files beyond it are scanned in chunks
+
+
+def chunked_features(tokens: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """`token_features` of files of any length: the same rows and columns, with the
+    windows over a file replaced by windows over chunks of its lines and over
+    summaries of the chunks.
+
+    Three summaries carry what a chunk needs from the others: the tokens next to its
+    ends and the bracket depths before it; the first and last bracket of each kind and
+    level, for partners in other chunks; the running counts and last places before it. A
+    summary has one row per chunk, or per bracket level in it, so windows over a file
+    see chunks, not tokens."""
+    t, here = F.col("tok"), ["file_id", "_chunk"]
+    rows = tokens.withColumn("_chunk", F.floor(F.col("line") / chunk_lines).cast("long"))
+    w = Window.partitionBy(*here).orderBy("idx")
+    run, back = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = Window.partitionBy("file_id").orderBy("_chunk")
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.array().cast("array<struct<idx:long,line:int,tok:string,kind:string>>")
+    me = F.struct("idx", "line", "tok", "kind")
+
+    def depth(opening: str, closing: str) -> Column:
+        return F.when(t == opening, 1).when(t == closing, -1).otherwise(0)
+
+    def gathered(missing: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col(missing).isNull(), me)))
+
+    def near(column: str, steps: int, move) -> list[Column]:
+        return [F.coalesce(move(column, i).over(chunks), none) for i in range(1, steps + 1)]
+
+    # 1: neighbours and depths; a chunk's first three and last two tokens
+    f = rows.select("*", *[F.lag(me, i).over(w).alias(f"_p{i}") for i in (1, 2, 3)], *[F.lead(me, i).over(w).alias(f"_n{i}") for i in (1, 2, 3)],
+                    F.sum(depth("(", ")")).over(run).alias("_pd"), F.sum(depth("{", "}")).over(run).alias("_bd"))
+    ends = f.groupBy(*here).agg(gathered("_p3").alias("_head"), gathered("_n2").alias("_tail"),
+                                F.sum(depth("(", ")")).alias("_ps"), F.sum(depth("{", "}")).alias("_bs"))
+    ends = ends.select(
+        *here, F.reverse(F.concat(*reversed(near("_tail", 2, F.lag)))).alias("_before"), F.concat(*near("_head", 3, F.lead)).alias("_after"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_in") for c in ("_ps", "_bs")])
+    f = f.join(ends, here)
+    b, a = (lambda i: F.get("_before", F.lit(i))), (lambda i: F.get("_after", F.lit(i)))
+    p1, n1 = F.coalesce("_p1", b(0)), F.coalesce("_n1", a(0))
+    p2 = F.coalesce("_p2", F.when(F.col("_p1").isNotNull(), b(0)).otherwise(b(1)))
+    n2 = F.coalesce("_n2", F.when(F.col("_n1").isNotNull(), a(0)).otherwise(a(1)))
+    n3 = F.coalesce("_n3", F.when(F.col("_n2").isNotNull(), a(0)).when(F.col("_n1").isNotNull(), a(1)).otherwise(a(2)))
+    f = f.select(*tokens.columns, "_chunk", p1["tok"].alias("prev"), p1["kind"].alias("prev_kind"), p2["tok"].alias("prev2"), n1["tok"].alias("next"),
+                 n1["kind"].alias("next_kind"), n2["tok"].alias("next2"), n2["kind"].alias("next2_kind"), n3["tok"].alias("next3"), p1["line"].alias("prev_line"),
+                 n1["idx"].alias("next_idx"), (F.col("_ps_in") + F.col("_pd")).alias("pd"), (F.col("_bs_in") + F.col("_bd")).alias("bd"))
+    f = _bracket_levels(f)
+    # 2: partners inside the chunk; a level's first and last bracket for those in others
+    level = ["file_id", "_bk", "_lv"]
+    inside = Window.partitionBy(*here, "_bk", "_lv").orderBy("idx")
+    mark = F.struct("tok", "idx", "next", "next_idx", "prev")
+    f = f.withColumns({"_after": F.lead(mark).over(inside), "_before": F.lag(mark).over(inside)})
+    across = Window.partitionBy(*level).orderBy("_chunk")
+    edges = (f.filter(F.col("_bk").isNotNull()).groupBy(*level, "_chunk").agg(F.min_by(mark, "idx").alias("_first"), F.max_by(mark, "idx").alias("_last"))
+             .select(*level, "_chunk", F.lead("_first").over(across).alias("_first_after"), F.lag("_last").over(across).alias("_last_before")))
+    f = f.join(edges, [*level, "_chunk"], "left")
+    f = _with_partners(f, F.coalesce("_after", "_first_after"), F.coalesce("_before", "_last_before"))
+    # 3: running counts and last places
+    counts, places, places_before = _running()
+    f = f.withColumns({f"_in_{n}": F.sum(c).over(run) for n, c in counts.items()}
+                      | {f"_in_{n}": F.max(F.when(c, F.col("idx"))).over(run) for n, c in places.items()}
+                      | {f"_in_{n}": F.max(F.when(c, F.col("idx"))).over(back) for n, c in places_before.items()})
+    sums = f.groupBy(*here).agg(*[F.sum(c).alias(n) for n, c in counts.items()],
+                                *[F.max(F.when(c, F.col("idx"))).alias(n) for n, c in (places | places_before).items()])
+    sums = sums.select(*here, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_to_{n}") for n in counts],
+                       *[F.max(n).over(earlier).alias(f"_to_{n}") for n in places | places_before])
+    f = f.join(sums, here)
+    return f.select(*_FEATURES, *[(F.col(f"_to_{n}") + F.col(f"_in_{n}")).alias(n) for n in counts],
+                    *[F.coalesce(f"_in_{n}", f"_to_{n}").alias(n) for n in places | places_before])
 
 
 def java_methods(feat: DataFrame) -> DataFrame:

@@ -80,3 +80,62 @@ def test_size_gate(spark):
     df = spark.createDataFrame([(1, "é" * 3), (2, "abc")], "review_id long, diff_text string")
     got = {r.review_id: (r.diff_bytes, r.accepted) for r in DF.diff_size_gate(df, max_bytes=5).collect()}
     assert got == {1: (6, False), 2: (3, True)}
+
+
+def _walk(review_id, text):
+    """The parse as one loop over the lines: what each hunk header and body line gets."""
+    import re
+    from collections import Counter
+    out, file, hunk, positions = [], None, None, Counter()
+    for no, line in enumerate(text.splitlines()):
+        head = re.match(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", line)
+        if line.startswith("diff --git "):
+            parts = line.split()
+            path = parts[3].removeprefix("b/") if len(parts) >= 4 else ""
+            file, hunk, added, removed = (no, path), None, 0, 0
+        elif line.startswith(("--- ", "+++ ")):
+            continue
+        elif head:
+            if file is not None:
+                hunk, new, old = (no, int(head[3])), int(head[3]), int(head[1])
+                start_new, start_old = new, old
+                positions[file[1]] += 1
+                out.append((review_id, no, file, None, None, None, None, None, positions[file[1]]))
+        elif line and line[0] in " +-" and hunk is not None:
+            positions[file[1]] += 1
+            added, removed = added + (line[0] == "+"), removed + (line[0] == "-")
+            new, old = new + (line[0] != "-"), old + (line[0] != "+")
+            out.append((review_id, no, file, line[0], start_new + added - 1 if line[0] == "+" else None, start_old + removed - 1 if line[0] == "-" else None,
+                        new - 1 if line[0] != "-" else None, old - 1 if line[0] != "+" else None, positions[file[1]]))
+    return out
+
+
+def test_scan_in_chunks_equals_the_loop(spark):
+    """Headers, bodies and stray lines in any order, chunks of any size."""
+    import random
+    rng = random.Random(1)
+
+    def line():
+        return rng.choice([f"diff --git a/x b/{rng.choice('abc')}", f"diff --git a/x b/{rng.choice('abc')}", "diff --git bad", "--- a/x", "+++ b/x", "@@ -3 +4 @@",
+                           f"@@ -{rng.randrange(9)},{rng.randrange(5)} +{rng.randrange(9)},{rng.randrange(5)} @@ s", "+a", "+b", "-c", " d", " e", "-f", "", "\\ No newline", "+++x"])
+    texts = [(i, "\n".join(line() for _ in range(rng.randrange(60)))) for i in range(150)]
+    df = spark.createDataFrame(texts, "review_id long, diff_text string")
+    want = sorted((r for i, t in texts for r in _walk(i, t)), key=str)
+    for chunk in (1, 3, 20_000):
+        rows = DF.parsed_diff(df, chunk).collect()
+        got = [(r.review_id, r.line_no, (r.file_line, r.file_path), r.kind, r.ref_new_line, r.ref_old_line, r.new_line, r.old_line, r.position) for r in rows]
+        assert sorted(got, key=str) == want, chunk
+
+
+def test_one_long_review_is_spread_over_tasks(spark):
+    text = "diff --git a/x b/x\n@@ -1,1 +1,90000 @@\n" + "\n".join(f"+line {i}" for i in range(90_000))
+    df = spark.createDataFrame([(1, text)], "review_id long, diff_text string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = DF.parsed_diff(df, 3_000).groupBy(DF.F.spark_partition_id().alias("p")).agg(DF.F.count("*").alias("n"), DF.F.max("position").alias("last"), DF.F.max("new_line").alias("line")).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in rows) == 90_001 and max(r.n for r in rows) < 45_000
+    assert max(r.last for r in rows) == 90_001 and max(r.line or 0 for r in rows) == 90_000

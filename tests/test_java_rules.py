@@ -91,3 +91,42 @@ def test_comment_marks_inside_strings_hide_nothing(spark):
     assert sum(t.startswith('"') for _, t in toks) == 4
     long = spark.createDataFrame([(1, "B.java", 'class B { String s = "' + "x" * 60_000 + '"; }')], df.schema)
     assert J.java_tokens(long).count() == 9
+
+
+_TOKENS = ["class", "A", "(", ")", "{", "}", ";", "do", "while", "if", "+", "-", "x", "1", '"s"', "import", "case", ":", "?", "<", ">", ",", "new", ".", "b",
+           "(", "{", "}", ")", "\n", "\n", "\n", "\n\n\n"]
+
+
+def test_features_in_chunks_equal_the_windows_over_files(spark):
+    """Brackets, neighbours and running values across chunk borders, for chunks of any
+    size: unbalanced brackets, empty chunks and files, two files side by side."""
+    import random
+    rng = random.Random(1)
+    rows = [(i, f"p{i}", " ".join(rng.choice(_TOKENS) for _ in range(rng.randrange(150)))) for i in range(80)] + [(900, "e", ""), (901, "n", None)]
+    tokens = J.java_tokens(spark.createDataFrame(rows, "file_id long, path string, content string"))
+    whole = J.token_features(tokens)
+    want = sorted(map(str, whole.collect()))
+    for chunk in (1, 4, 4096):
+        got = J.chunked_features(tokens, chunk)
+        assert got.dtypes == whole.dtypes
+        assert sorted(map(str, got.collect())) == want, chunk
+
+
+def test_large_files_take_the_chunked_scan_and_spread(spark):
+    from pyspark.sql import functions as F
+
+    from crx.operators.code.dispatch import java_scan
+    body = "\n".join(f"    void m{i}(int a) {{ if (a > {i}) {{ run(a + 1); }} }}" for i in range(6_000))
+    src = spark.createDataFrame([(1, "Big.java", f"class Big {{\n{body}\n}}"), (2, "Small.java", "class S { void m() { } }")], "file_id long, path string, content string")
+    keep = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = (J.chunked_features(J.java_tokens(src), 300).groupBy(F.spark_partition_id().alias("p"), "file_id").count().filter("file_id = 1").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", keep)
+    total = sum(r["count"] for r in spread)
+    assert total > 120_000 and max(r["count"] for r in spread) < total / 2
+    both = [sorted(map(str, java_scan(src, limit).collect())) for limit in (1_000, 10_000_000)]
+    assert both[0] == both[1]
+    methods = J.java_methods(java_scan(src, 1_000))
+    assert methods.filter("file_id = 1").count() == 6_000 and methods.filter("body_close IS NULL").count() == 0
