@@ -3,6 +3,7 @@ production parameters, to its whole table. Collected from the q_ modules."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,5 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MODULES = ("crx.llm.q_native", "crx.llm.q_search", "crx.llm.q_text")
+
+
 def load_all() -> None:
-    from crx.llm import q_native, q_search, q_text  # noqa: F401  (registering)
+    """Import the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(name)
