@@ -2,8 +2,9 @@
 
 1. Of the labelled training rows at most MAX_TRAINING (those of smallest id hash)
    teach a lexicon: words, and stems (beginnings of words), more frequent in toxic
-   texts than chance allows, each with the log of its lift as its weight. Near
-   copies among the training rows count once.
+   texts than chance allows, each with the log of its lift as its weight. All of
+   them are kept; the training rows bound their number. Near copies among the
+   training rows count once.
 2. The lexicon is a trie. A text's words run through the Levenshtein automaton of
    the trie's words, so misspelled words are found within one or two edits; what
    clean training texts use themselves is no misspelling. Stems match exactly.
@@ -16,6 +17,7 @@ Whole texts are scored in one pass; only bounded training data reach the driver.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from crx.llm.common import shared_table, text_of
 
 MAX_TRAINING = 10_000   # labelled rows the lexicon and the weights are learned from
-MAX_TERMS = 4_000       # candidate words and stems that reach the driver
 MEMO_ENTRIES = 300_000
 WINDOW = 8              # words before and after a hit
 PASSAGE = 100           # words
@@ -38,10 +39,6 @@ N_FEATURES = 6
 REPORTING = frozenset("said says saying wrote writes quote quoted quoting called calls told dijo dice escribió "
                       "sagte sagt schrieb nannte zitierte dit écrit disait appelé".split())
 ADDRESS = frozenset("you your yours you're u ur tú usted ustedes eres du dich dir dein ihr euch tu te toi vous".split())
-# Common insults that the lexicon holds whether or not the training
-# rows show enough of them, unless clean rows use them as much.
-SEED_WORDS = ("idiot moron stupid loser trash scum clown pathetic worthless disgusting imbecile "
-              "idiota imbécil estúpido dummkopf trottel abschaum crétin imbécile minable").split()
 _OPENING, _CLOSING = "\"“„«‹'‘`", "\"”“»›'’`"
 _INNER = re.compile(r"[^\W_]+")
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -210,14 +207,24 @@ def choose_terms(stats: dict[str, tuple[float, float]]) -> dict[str, float]:
 
     The most surprising come first; none may begin another. A term gives way to
     its longest extension that is nearly as surprising, so a word stands for its
-    own beginnings and a stem for the words it begins."""
+    own beginnings and a stem for the words it begins. The candidate words that a
+    chosen stem begins stay beside it, each with the edits its own length allows."""
+    ordered = sorted(stats)
+
+    def extensions(term: str) -> list[str]:
+        return ordered[bisect_left(ordered, term):bisect_left(ordered, term + "\U0010ffff")]
+
     chosen: dict[str, float] = {}
+    begun: set[str] = set()  # all beginnings of chosen terms
     for term in sorted(stats, key=lambda t: (-stats[t][0], -len(t), t)):
-        near = [t for t in stats if t.startswith(term) and stats[t][0] >= 0.95 * stats[term][0]]
+        near = [t for t in extensions(term) if stats[t][0] >= 0.95 * stats[term][0]]
         best = max(near, key=lambda t: (len(t), stats[t][0], t))
-        if not any(best.startswith(c) or c.startswith(best) for c in chosen):
+        starts = [best[:i] for i in range(1, len(best) + 1)]
+        if best not in begun and not any(s in chosen for s in starts):
             chosen[best] = stats[best][1]
-    return chosen
+            begun.update(starts)
+    words = {t: stats[t][1] for stem in chosen if not stem.endswith("$") for t in extensions(stem) if t.endswith("$")}
+    return chosen | words
 
 
 class ToxicityModel:
@@ -259,7 +266,7 @@ def _training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def _terms(text: Column) -> Column:
     """Distinct words (with $ at the end) and their beginnings of 3 to 8 letters."""
-    words = F.filter(F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+")), lambda w: F.length(w).between(3, 40))
+    words = F.filter(F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+")), lambda w: F.length(w) >= 3)
     stems = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.transform(
         F.sequence(F.lit(3), F.least(F.length(w) - 1, F.lit(8))), lambda n: w.substr(F.lit(1), n))))
     return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(w, F.lit("$"))), stems))
@@ -294,12 +301,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lift = ((F.col("t") + 0.5) / n_toxic) / ((F.col("c") + 0.5) / n_clean)
     needed = float(np.log(max(1, counts.count())) + np.log(100.0))
     top = (counts.filter((F.col("t") > 0) & (lift >= 4.0)).withColumn("surprise", surprise).withColumn("weight", F.log(lift))
-           .filter(F.col("surprise") >= needed).orderBy(F.desc("surprise"), "term").limit(MAX_TERMS).collect())
+           .filter(F.col("surprise") >= needed).select("term", "surprise", "weight").collect())
     terms = choose_terms({r["term"]: (r["surprise"], r["weight"]) for r in top})
-    refuted = {r["term"] for r in counts.filter(F.col("term").isin([w + "$" for w in SEED_WORDS]) & (lift < 4.0)).collect()}
-    for seed in {w + "$" for w in SEED_WORDS} - refuted:
-        if not any(seed.startswith(t) for t in terms):
-            terms[seed] = 3.0
     trie = LexiconTrie(terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
