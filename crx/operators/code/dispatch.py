@@ -5,12 +5,14 @@ filter by language plus a union of the branches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from crx.functions.text import line_count
 from crx.operators.code import java as J
@@ -47,6 +49,24 @@ def register_extractor(language: str, scan: Callable[[DataFrame], DataFrame],
         LANGUAGE_SUFFIXES[language] = list(suffixes)
 
 
+def table_function_scan(spark: SparkSession, name: str, parse: Callable[[int, str, str], Iterable[tuple]],
+                        schema: str) -> Callable[[DataFrame], DataFrame]:
+    """Register `parse(file_id, path, content)`, a plain function that gives a file's
+    rows, as the SQL table function `name`, and return the scan that calls it. Queries can
+    call it too: `FROM files f, LATERAL name(f.file_id, f.path, f.content)`, or
+    `FROM name(TABLE(files) PARTITION BY file_id)`, which hands over whole rows."""
+    class Parser:
+        def eval(self, *args):  # noqa: ANN002, ANN201
+            row = args[0] if len(args) == 1 else dict(zip(("file_id", "path", "content"), args, strict=True))
+            yield from parse(row["file_id"], row["path"], row["content"] or "")
+    spark.udtf.register(name, udtf(Parser, returnType=schema))
+
+    def scan(sources: DataFrame) -> DataFrame:
+        return sources.sparkSession.sql(f"SELECT n.* FROM {{files}} f, LATERAL {name}(f.file_id, f.path, f.content) n", files=sources)
+    scan.__qualname__ = f"{name}-{uuid.uuid4().hex}"  # a name registered again is another scan
+    return scan
+
+
 def java_scan(sources: DataFrame, large_chars: int = J.LARGE_CHARS) -> DataFrame:
     """The token table. A file of more than `large_chars` is scanned in chunks, so that
     its windows are spread over tasks; the rows are the same either way."""

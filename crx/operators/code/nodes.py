@@ -205,6 +205,11 @@ def code_scan(sources: DataFrame) -> DataFrame:
     return sources.select("file_id", "path", "content").mapInPandas(_parse_batches, NODE_SCHEMA)
 
 
+def file_rows(file_id: int, path: str, content: str) -> list[tuple]:
+    """Status row and node rows of one source, in NODE_SCHEMA's order."""
+    return _rows(int(file_id), path, content)
+
+
 def code_nodes(sources: DataFrame | None = None, scan: DataFrame | None = None) -> DataFrame:
     s = scan if scan is not None else code_scan(sources)
     return s.filter(F.col("node_id") >= 0)

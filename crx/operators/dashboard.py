@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crx.functions.common import count_if, round_half_even_ratio
+from crx.operators.ranking import HOT_ROWS, ranked
 
 SEVERITIES = ["critical", "warning", "suggestion"]
 
@@ -160,19 +161,19 @@ def review_detail_mart(records: DataFrame, prs: DataFrame, repos: DataFrame,
                     F.coalesce("issues", F.array().cast(per_review.schema["issues"].dataType)).alias("issues")))
 
 
-def issues_by_file(issues: DataFrame) -> DataFrame:
+def issues_by_file(issues: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per review and file: critical / warning / other counts, issue ids, and the
     file's display rank (critical desc, warning desc, first seen)."""
-    from pyspark.sql import Window
     g = issues.groupBy("review_record_id", "file_path").agg(
         count_if(F.col("severity") == "critical").alias("critical_count"),
         count_if(F.col("severity") == "warning").alias("warning_count"),
         count_if(~F.col("severity").isin("critical", "warning") | F.col("severity").isNull()).alias("suggestion_count"),
         F.sort_array(F.collect_list("id")).alias("issue_ids"),
         F.min("id").alias("first_seen"))
-    w = Window.partitionBy("review_record_id").orderBy(
-        F.desc("critical_count"), F.desc("warning_count"), F.asc("first_seen"))
-    return g.withColumn("file_rank", F.row_number().over(w).cast("long"))
+    order = [F.desc("critical_count"), F.desc("warning_count"), F.asc("first_seen")]
+    cell = F.struct((-F.col("critical_count")).alias("critical"), (-F.col("warning_count")).alias("warning"),
+                    F.shiftright(F.col("first_seen").cast("long"), 12).alias("seen"))
+    return ranked(g, ["review_record_id"], order, cell, "file_rank", issues, hot_rows)
 
 
 def issue_totals_by_review(issues: DataFrame) -> DataFrame:

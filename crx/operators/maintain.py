@@ -69,36 +69,41 @@ REQUIRED = {"repositories": ["github_repo_id", "name", "full_name", "owner"],
             "users": ["github_user_id", "login"]}
 
 
+def _checked(df: DataFrame, table: str, present: set[str]) -> DataFrame:
+    """What one scan of a table says to all checks: per row an entry for each unique key
+    and foreign key it holds (`own`), each key that others refer to (`known`) and each
+    missing column."""
+    def entry(check: str, of: str, column: str, key: Column, when: Column, own: int = 1) -> Column:
+        return F.when(when, F.struct(F.lit(check).alias("check"), F.lit(of).alias("table_name"), F.lit(column).alias("column"), key.alias("key"),
+                                     F.lit(own).alias("own"), F.lit(1 - own).alias("known")))
+
+    text = lambda c: F.col(c).cast("string")
+    entries = []
+    if table in UNIQUE_KEYS:
+        keys = UNIQUE_KEYS[table]
+        entries.append(entry("unique", table, ",".join(keys), F.concat_ws(",", *map(text, keys)), F.lit(True)))
+    for t, c, rt, rc in FOREIGN_KEYS:
+        if table == t and rt in present:
+            entries.append(entry("foreign_key", t, c, text(c), F.col(c).isNotNull()))
+        if table == rt and t in present:
+            entries.append(entry("foreign_key", t, c, text(rc), F.col(rc).isNotNull(), own=0))
+    entries += [entry("not_null", table, c, F.lit(None).cast("string"), F.col(c).isNull()) for c in REQUIRED.get(table, [])]
+    return df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     """(check, table_name, column, key, n): duplicate unique keys, orphan
-    foreign keys (null references are allowed) and nulls in required columns."""
-    parts = []
-    for t, ks in UNIQUE_KEYS.items():
-        if t not in tables:
-            continue
-        dup = (tables[t].groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-               .select(F.lit("unique").alias("check"), F.lit(t).alias("table_name"), F.lit(",".join(ks)).alias("column"),
-                       F.concat_ws(",", *[F.col(k).cast("string") for k in ks]).alias("key"), F.col("n").cast("long")))
-        parts.append(dup)
-    for t, c, rt, rc in FOREIGN_KEYS:
-        if t not in tables or rt not in tables:
-            continue
-        orphans = (tables[t].filter(F.col(c).isNotNull()).select(F.col(c).alias("_k"))
-                   .join(tables[rt].select(F.col(rc).alias("_k")), "_k", "left_anti")
-                   .groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
-                   .select(F.lit("foreign_key").alias("check"), F.lit(t).alias("table_name"), F.lit(c).alias("column"),
-                           F.col("_k").cast("string").alias("key"), F.col("n").cast("long")))
-        parts.append(orphans)
-    for t, cs in REQUIRED.items():
-        if t not in tables:
-            continue
-        agg = tables[t].agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cs])
-        nulls = agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("long").alias("n"))
-                                               for c in cs])).alias("x")).select(
-            F.lit("not_null").alias("check"), F.lit(t).alias("table_name"), "x.column",
-            F.lit(None).cast("string").alias("key"), "x.n").filter(F.col("n") > 0)
-        parts.append(nulls)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    foreign keys (null references are allowed) and nulls in required columns.
+
+    Each table is scanned once. All checks meet in one aggregate over (check, column,
+    key), which combines before its shuffle: a key is a duplicate if it has several
+    entries of its own, an orphan if it has some but is not known to the other table."""
+    named = {t for t in tables if t in UNIQUE_KEYS or t in REQUIRED or any(t in (f[0], f[2]) for f in FOREIGN_KEYS)}
+    rows = reduce(DataFrame.union, [_checked(tables[t], t, set(tables)) for t in sorted(named)])
+    counts = rows.groupBy("check", "table_name", "column", "key").agg(F.sum("own").cast("long").alias("n"), F.max("known").alias("known"))
+    broken = (((F.col("check") == "unique") & (F.col("n") > 1)) | ((F.col("check") == "foreign_key") & (F.col("n") > 0) & (F.col("known") == 0))
+              | (F.col("check") == "not_null"))
+    return counts.filter(broken).select("check", "table_name", "column", "key", "n")
 
 
 def normalize_configs(settings: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ is truncated or sampled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crx.functions.text import PY_WS_CLASS, splitlines
@@ -27,26 +27,47 @@ def normalise_line(line) -> F.Column:
 
 
 def duplicate_blocks(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
-    """Blocks of `window` consecutive non-blank normalised lines that occur more
-    than once in the corpus. One row per occurrence: doc_id, line_start,
-    line_end, block_hash, occurrences.
-
-    Blocks are made inside a document's line array, so lines are never shuffled.
-    A block's identity is two independent hashes of its text, 64 and 128 bits.
-    Counting is a partial aggregate on them, and occurrences join back on it, so a
-    block repeated across a third of the corpus is a skewed join key that AQE
-    splits, never a group gathered into one task."""
+    """Maximal repeated blocks: runs of non-blank normalised lines, at least `window`
+    of them, that occur more than once in the corpus. One row per occurrence: doc_id,
+    line_start, line_end, n_lines, block_hash (of the first window), occurrences.
+
+    Windows of `window` lines are counted over the corpus, then those one line longer.
+    Two neighbouring windows belong to one block if both occur as often as the two
+    together, so that wherever one stands the other does. A block is an island of
+    such links: it can't be extended without losing an occurrence.
+
+    Windows are made inside a document's line array, so lines are never shuffled. A
+    window's identity is two independent hashes of its text, 64 and 128 bits. Counting is
+    a partial aggregate on them, and occurrences join back on it, so a block repeated
+    across a third of the corpus is a skewed join key that AQE splits, never a group
+    gathered into one task; no pair of occurrences is made. Document ids are unique."""
     lines = F.transform(splitlines(F.coalesce(F.col("text"), F.lit(""))),
                         lambda x, i: F.struct(normalise_line(x).alias("norm"), (i + 1).alias("line_no")))
     kept = docs.select("doc_id", F.filter(lines, lambda s: s["norm"] != "").alias("kept")).filter(F.size("kept") >= window)
-    blocks = F.transform(F.sequence(F.lit(1), F.size("kept") - (window - 1)), lambda i: F.struct(
-        F.element_at("kept", i)["line_no"].alias("line_start"), F.element_at("kept", i + (window - 1))["line_no"].alias("line_end"),
-        F.concat_ws("\n", *[F.element_at("kept", i + j)["norm"] for j in range(window)]).alias("block")))
-    blk = (kept.select("doc_id", F.explode(blocks).alias("b"))
-           .select("doc_id", "b.line_start", "b.line_end", F.xxhash64("b.block").alias("block_hash"), F.md5("b.block").alias("block_md5")))
-    keys = ["block_hash", "block_md5"]
-    counts = blk.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
-    return blk.join(counts, keys)
+
+    def text(i, n):
+        return F.concat_ws("\n", *[F.element_at("kept", i + j)["norm"] for j in range(n)])
+    last = F.size("kept") - (window - 1)
+    windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(
+        i.alias("i"), F.element_at("kept", i)["line_no"].alias("line_start"), F.element_at("kept", i + (window - 1))["line_no"].alias("line_end"),
+        text(i, window).alias("block"), F.when(i < last, F.concat_ws("\n", text(i, window), F.try_element_at("kept", i + window)["norm"])).alias("longer")))
+    rows = (kept.select("doc_id", F.explode(windows).alias("b"))
+            .select("doc_id", "b.i", "b.line_start", "b.line_end", F.xxhash64("b.block").alias("block_hash"), F.md5("b.block").alias("block_md5"),
+                    F.xxhash64("b.longer").alias("longer_hash"), F.md5("b.longer").alias("longer_md5")))
+    keys, longer = ["block_hash", "block_md5"], ["longer_hash", "longer_md5"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
+    rows = rows.join(counts, keys)
+    both = rows.filter(F.col("longer_md5").isNotNull()).groupBy(*longer).agg(F.count(F.lit(1)).alias("together"))
+    rows = rows.join(both, longer, "left")
+    order = Window.partitionBy("doc_id").orderBy("i")
+    linked = ((F.lag("i").over(order) == F.col("i") - 1) & (F.lag("occurrences").over(order) == F.col("occurrences"))
+              & (F.lag("together").over(order) == F.col("occurrences")))
+    rows = rows.withColumn("opens", (~F.coalesce(linked, F.lit(False))).cast("int"))
+    rows = rows.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (rows.groupBy("doc_id", "island")
+            .agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), (F.count(F.lit(1)) + window - 1).alias("n_lines"),
+                 F.min_by("block_hash", "i").alias("block_hash"), F.first("occurrences").alias("occurrences"))
+            .drop("island"))
 
 
 def rule_py_duplicate(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
@@ -55,8 +76,8 @@ def rule_py_duplicate(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
     d = duplicate_blocks(docs, window)
     return d.select("doc_id", F.lit(rid).alias("rule_id"), F.lit(sev).alias("severity"),
                     F.lit(cat).alias("category"), "line_start", "line_end",
-                    _fmt(title, F.lit(window)).alias("title"), F.lit(desc).alias("description"),
-                    "block_hash", "occurrences")
+                    _fmt(title, F.col("n_lines")).alias("title"), F.lit(desc).alias("description"),
+                    "n_lines", "block_hash", "occurrences")
 
 
 def secret_line_scan(docs: DataFrame) -> DataFrame:

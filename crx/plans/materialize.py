@@ -19,17 +19,21 @@ _STORED: dict[tuple[str, str], str] = {}
 
 def input_stamp(df: DataFrame) -> str | None:
     """The files a frame reads with their change times and sizes, and its plan: equal
-    only while both stay as they are. None if it reads anything but files."""
-    files = sorted(df.inputFiles())
-    if not files or "LogicalRDD" in (plan := df._jdf.queryExecution().analyzed().canonicalized().toString()) or "LocalRelation" in plan:
+    only while both stay as they are. None if it reads anything but files. The files are
+    those Spark listed when the frame was made: one call per scan, none per file."""
+    analysed = df._jdf.queryExecution().analyzed()
+    leaves = analysed.collectLeaves()
+    listed = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind in ("LogicalRDD", "LocalRelation"):
+            return None
+        if kind == "LogicalRelation":
+            listed.add(leaf.relation().location().allFiles().mkString("\n"))
+    if not any(listed):
         return None
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    seen = []
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        st = p.getFileSystem(conf).getFileStatus(p)
-        seen.append(f"{f} {st.getModificationTime()} {st.getLen()}")
-    return plan + "\n" + "\n".join(seen)
+    return analysed.canonicalized().toString() + "\n" + hashlib.sha1("\n".join(sorted(listed)).encode()).hexdigest()
 
 
 def stored(spark: SparkSession, name: str, key: str | None, build) -> DataFrame:

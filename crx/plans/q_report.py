@@ -47,7 +47,7 @@ SELECT review_id, file_path, count(*) AS n_findings, min(position) AS first_seen
        row_number() OVER (PARTITION BY review_id ORDER BY count(*) DESC, min(position)) AS rank
 FROM processed GROUP BY review_id, file_path""")
 def q_high_risk_files(spark, d):
-    return RP.high_risk_files(_processed(spark, d))
+    return RP.high_risk_files(_processed(spark, d), sizes=X.raw_findings(spark, d))
 
 
 _P1 = """CASE WHEN v_p1 IN (0, 1, 2, 5) THEN 'Change ' || review_id::VARCHAR || ' has ' || coalesce(n_items, 0)::VARCHAR

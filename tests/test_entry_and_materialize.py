@@ -25,6 +25,33 @@ def test_entry_without_training_data_folders(tmp_path):
     assert done.stdout.split()[1:] == ["False", "True"], done.stderr[-500:]
 
 
+def test_entry_with_broken_training_data_folder(tmp_path):
+    """A folder that is there but can't be imported takes no other query along."""
+    shutil.copytree(f"{REPO}/crx", tmp_path / "crx", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "crx" / "llm").mkdir()
+    (tmp_path / "crx" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "crx" / "llm" / "queries.py").write_text("import no_such_module_here")
+    (tmp_path / "corpus_pipeline.py").write_text("raise RuntimeError('broken')")
+    shutil.copy(f"{REPO}/__spark_entry__.py", tmp_path)
+    done = _run("import __spark_entry__ as e; q = e.queries(); print(len(q) > 100, any(k.startswith('op') or k == 'pipeline' for k in q))", tmp_path, str(tmp_path))
+    assert done.stdout.split() == ["True", "False"] and "no_such_module_here" in done.stderr, done.stderr[-500:]
+
+
+def test_stamp_follows_files_without_a_call_for_each(spark, tmp_path):
+    from crx.plans.materialize import input_stamp
+    path = f"{tmp_path}/t"
+    spark.range(50).repartition(20).write.parquet(path)
+
+    def frame():
+        return spark.read.parquet(path).filter("id > 3")
+    first = input_stamp(frame())
+    assert first == input_stamp(frame()) and first is not None
+    assert input_stamp(spark.read.parquet(path).filter("id > 4")) != first
+    assert input_stamp(frame().union(spark.createDataFrame([(1,)], "id long"))) is None and input_stamp(spark.range(3).toDF("id")) is None
+    spark.range(1).write.mode("append").parquet(path)
+    assert input_stamp(frame()) != first
+
+
 def test_code_reaches_workers_from_another_folder(tmp_path):
     code = f"""
 import sys
