@@ -19,7 +19,8 @@ def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], cols: li
                   order_col: str = "seq", defaults: dict[str, Column] | None = None) -> DataFrame:
     """Insert new keys, overwrite `cols` of existing keys, keep the other
     columns; within the batch the last row per key (by `order_col`) wins. In an
-    inserted row the other columns take `defaults` (missing: null).
+    inserted row the other columns take `defaults` (missing: null). `BucketedTable`
+    keeps a target that this join need not shuffle.
 
     The latest row per key is a partial aggregate (max_by), so a key repeated
     across a third of the batch still combines map-side."""

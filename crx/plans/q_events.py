@@ -14,6 +14,7 @@ from crx.plans.registry import query
 from crx.plans.session import ensure_checkpoint_dir
 from crx.sources import fixtures as X
 from crx.sources import readers as RD
+from crx.sources.bucketed import BucketedTable
 from crx.sources.fixture_sql import register, sql_str
 from crx.sources.tables import DEFAULTS, load_tables
 from crx.streaming import jobs as S
@@ -193,9 +194,11 @@ SELECT coalesce(u.github_user_id, l.github_user_id) AS github_user_id,
        CASE WHEN u.github_user_id IS NULL THEN l.last_login_at ELSE u.created_at END AS created_at
 FROM users u FULL OUTER JOIN latest l ON u.github_user_id = l.github_user_id""")
 def q_upsert_by_key(spark, d):
-    return M.upsert_by_key(X.users(spark, d), X.login_feed(spark, d), ["github_user_id"],
-                           ["login", "avatar_url", "last_login_at"], "seq",
-                           defaults={"is_admin": F.lit(DEFAULTS["users"]["is_admin"]), "created_at": F.col("_b.last_login_at")})
+    """Users kept as a bucketed table, with the login feed upserted into it."""
+    users = BucketedTable(X.users(spark, d), ["github_user_id"])
+    users.upsert(X.login_feed(spark, d), ["login", "avatar_url", "last_login_at"], "seq",
+                 defaults={"is_admin": F.lit(DEFAULTS["users"]["is_admin"]), "created_at": F.col("_b.last_login_at")})
+    return users.read()
 
 
 @query("cascade_delete", oracle="""

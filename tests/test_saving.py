@@ -56,3 +56,29 @@ def test_a_batch_that_failed_half_way_is_not_seen(spark, monkeypatch):
     assert len(log._names("data/review_records/batch=2/attempt=*")) == 1  # written, but no reader finds it
     log.vacuum()
     assert not log._names("data/review_records/batch=2/attempt=*")
+
+
+def test_upsert_rewrites_touched_parts_without_shuffling_the_target(spark):
+    from crx.operators.maintain import upsert_by_key
+    from crx.sources.bucketed import BucketedTable
+    rows = spark.range(5_000).selectExpr("id", "concat('n', id) AS name", "id % 3 = 0 AS old")
+    table = BucketedTable(rows, ["id"], parts=8, buckets=4)
+
+    def files():
+        return {f for f in table.spark.table(table.name).inputFiles()}
+    before = files()
+    batch = spark.createDataFrame([(7, "x", 1), (7, "y", 2), (10_001, "new", 1)], "id long, name string, seq int")
+    want = sorted(map(str, upsert_by_key(rows, batch, ["id"], ["name"], defaults={"old": RD.F.lit(True)}).collect()))
+    plan = table.merged(batch, ["name"])._jdf.queryExecution().executedPlan().toString()
+    scan_side = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scan_side) == 1 and "Bucketed: true" in scan_side[0] and "PartitionFilters: [" in scan_side[0]
+    exchanged = plan[:plan.index("FileScan")].rsplit("SortMergeJoin", 1)[-1]
+    assert "Exchange" not in exchanged, plan
+    table.upsert(batch, ["name"], defaults={"old": RD.F.lit(True)})
+    assert sorted(map(str, table.read().collect())) == want
+    after = files()
+    untouched = {f for f in before if f in after}
+    changed = {f.split("part=")[1].split("/")[0] for f in before - after}
+    assert len(changed) <= 2 and {f.split("part=")[1].split("/")[0] for f in untouched} == {str(i) for i in range(8)} - changed
+    table.upsert(batch.limit(0), ["name"])
+    assert sorted(map(str, table.read().collect())) == want and files() == after
