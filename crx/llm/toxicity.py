@@ -223,7 +223,8 @@ def choose_terms(stats: dict[str, tuple[float, float]]) -> dict[str, float]:
         if best not in begun and not any(s in chosen for s in starts):
             chosen[best] = stats[best][1]
             begun.update(starts)
-    words = {t: stats[t][1] for stem in chosen if not stem.endswith("$") for t in extensions(stem) if t.endswith("$")}
+    words = {t: stats[t][1] for stem in chosen if not stem.endswith("$") for t in extensions(stem)
+             if t.endswith("$") and stats[t][0] >= 0.5 * stats[stem][0]}
     return chosen | words
 
 
