@@ -1,9 +1,10 @@
 """Unified-diff operators (§2.2).
 
 The diff text is exploded into numbered lines once; the parser's state (current
-file, current hunk, running counters) is recovered by a prefix scan over chunks of
-lines, in two levels: windows inside a chunk, and a summary per chunk. The lines are
-shuffled once, and a long review is spread over many tasks. `gated_diff_text` drops reviews whose diff is
+file, current hunk, running counters) is recovered with window functions over
+(review_id ORDER BY line_no), which share one shuffle; or, for diffs of any length, by
+a prefix scan over chunks of lines in two levels: windows inside a chunk, and a summary
+per chunk, so that a long review is spread over many tasks. `gated_diff_text` drops reviews whose diff is
 over the limit before any text is assembled; on its output a review has at most
 500,000 bytes of lines. `parsed_diff` itself takes any diff.
 """
@@ -146,12 +147,8 @@ def _is_open(file: str, hunk: str) -> Column:
     return F.coalesce(F.col(f"{hunk}.at") > F.col(f"{file}.at"), F.lit(False))
 
 
-def parsed_diff(diffs: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """One row per hunk header and per body line with file, hunk fields and
-    both numberings (`ref_*` as the reference numbers lines, `new_line`/
-    `old_line`/`position` as the true unified-diff walk).
-
-    A segmented prefix scan: counts that start anew at file and hunk headers. Lines are
+def _scan_chunks(diffs: DataFrame, chunk_lines: int) -> DataFrame:
+    """The parse as a segmented prefix scan: counts that start anew at file and hunk headers. Lines are
     dealt by (review, chunk of lines) and scanned inside their chunk; the state that a
     chunk begins with comes from the summaries of those before it (`_chunk_states`), so
     a review of any length is spread over tasks. All windows over lines share one
@@ -205,6 +202,88 @@ def parsed_diff(diffs: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     return c.join(again, ["review_id", "chunk"], "left").withColumn("position", F.col("rows") + earlier).select(*PARSED)
 
 
+def _scan_reviews(diffs: DataFrame) -> DataFrame:
+    """The parse by windows over a whole review. All but the last share (review_id
+    ORDER BY line_no), so Spark sorts once; the last adds the file path to the
+    partition key (same shuffle)."""
+    raw = diff_lines_raw(diffs)
+    w = Window.partitionBy("review_id").orderBy("line_no")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    line = F.col("line")
+    is_file = line.startswith("diff --git ")
+    is_skip = ~is_file & (line.startswith("--- ") | line.startswith("+++ "))
+    is_hunk = ~is_file & ~is_skip & line.rlike(HUNK_RE)
+    toks = py_split_ws(line)
+    path = F.when(F.size(toks) >= 4, F.regexp_replace(F.element_at(toks, 4), "^b/", "")).otherwise(F.lit(""))
+    first = F.substring(line, 1, 1)
+    body_like = ~is_file & ~is_skip & ~is_hunk & (F.length(line) > 0) & first.isin(" ", "+", "-")
+    c = raw.select("review_id", "line_no", "line", is_file.alias("is_file"), is_hunk.alias("is_hunk"),
+                   body_like.alias("body_like"), F.when(is_file, path).alias("_path"))
+    # pass 1: current file header and latest hunk header
+    c = c.select(
+        "*",
+        F.last(F.when(F.col("is_file"), F.col("line_no")), ignorenulls=True).over(run).alias("file_line"),
+        F.last("_path", ignorenulls=True).over(run).alias("file_path"),
+        F.last(F.when(F.col("is_hunk"), F.col("line_no")), ignorenulls=True).over(run).alias("hunk_line"))
+    # A hunk counts only inside a file; a body line only inside a hunk that
+    # started after the current file header.
+    valid_hunk = F.col("is_hunk") & F.col("file_line").isNotNull()
+    in_hunk = F.col("hunk_line").isNotNull() & F.col("file_line").isNotNull() & (F.col("hunk_line") > F.col("file_line"))
+    is_body = F.col("body_like") & in_hunk
+    c = c.select("*", valid_hunk.alias("valid_hunk"), is_body.alias("is_body"),
+                 F.when(is_body, F.substring("line", 1, 1)).alias("kind"))
+    k = F.col("kind")
+
+    def cum(cond):
+        return F.sum(F.when(cond, 1).otherwise(0)).over(run)
+
+    def at(flag, col):
+        return F.last(F.when(F.col(flag), col), ignorenulls=True).over(run)
+
+    def grp(i):
+        return F.regexp_extract("line", HUNK_RE, i)
+
+    # pass 2: running counters of retained body lines
+    c = c.select("*", cum(k == "+").alias("cum_add"), cum(k == "-").alias("cum_del"),
+                 cum(k.isin(" ", "-")).alias("cum_old"), cum(k.isin(" ", "+")).alias("cum_new"))
+    # pass 3: counters at the file header and at the hunk header; hunk fields
+    c = c.select(
+        "*",
+        at("is_file", F.col("cum_add")).alias("add_at_file"),
+        at("is_file", F.col("cum_del")).alias("del_at_file"),
+        at("valid_hunk", F.col("cum_old")).alias("old_at_hunk"),
+        at("valid_hunk", F.col("cum_new")).alias("new_at_hunk"),
+        at("valid_hunk", grp(1).cast("long")).alias("old_start"),
+        at("valid_hunk", F.coalesce(F.nullif(grp(2), F.lit("")), F.lit("1")).cast("long")).alias("hdr_old_count"),
+        at("valid_hunk", grp(3).cast("long")).alias("new_start"),
+        at("valid_hunk", F.coalesce(F.nullif(grp(4), F.lit("")), F.lit("1")).cast("long")).alias("new_count"),
+        at("valid_hunk", grp(5)).alias("section"))
+    c = c.filter(F.col("valid_hunk") | F.col("is_body"))
+    pw = Window.partitionBy("review_id", "file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return c.select(
+        "review_id", "line_no", "line", "file_path", "file_line", "hunk_line",
+        F.col("valid_hunk").alias("is_hunk"), "is_body", "kind",
+        "old_start", "hdr_old_count", "new_start", "new_count", "section",
+        F.when(k == "+", F.col("new_start") + F.col("cum_add") - F.col("add_at_file") - 1).alias("ref_new_line"),
+        F.when(k == "-", F.col("old_start") + F.col("cum_del") - F.col("del_at_file") - 1).alias("ref_old_line"),
+        F.when(k.isin(" ", "+"), F.col("new_start") + F.col("cum_new") - F.col("new_at_hunk") - 1).alias("new_line"),
+        F.when(k.isin(" ", "-"), F.col("old_start") + F.col("cum_old") - F.col("old_at_hunk") - 1).alias("old_line"),
+        # at context lines: old_start + earlier non-'+' lines of the hunk
+        F.when(k == " ", F.col("old_start") + F.col("cum_old") - F.col("old_at_hunk") - 1).alias("old_count_cand"),
+        F.count(F.lit(1)).over(pw).alias("position"))
+
+
+def parsed_diff(diffs: DataFrame, chunk_lines: int | None = None) -> DataFrame:
+    """One row per hunk header and per body line with file, hunk fields and
+    both numberings (`ref_*` as the reference numbers lines, `new_line`/
+    `old_line`/`position` as the true unified-diff walk).
+
+    Diffs that passed the size gate are parsed a review at a time. For others give
+    `chunk_lines` (CHUNK_LINES, say): a review is then spread over as many tasks as it
+    has chunks, for one more shuffle of summaries. The rows are the same."""
+    return (_scan_reviews(diffs) if chunk_lines is None else _scan_chunks(diffs, chunk_lines)).select(*PARSED)
+
+
 def diff_hunks(diffs: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """One row per hunk: header, starts, counts (old_count adjusted as the
     reference does), hunk index within its path and the body line count."""
@@ -240,8 +319,9 @@ def diff_lines(diffs: DataFrame, mode: str = "ref", parsed: DataFrame | None = N
                     F.substring("line", 2, 1 << 30).alias("content"), *nums)
 
 
-def diff_line_numbers(diffs: DataFrame, mode: str = "ref") -> DataFrame:
-    return diff_lines(diffs, mode)
+def diff_line_numbers(diffs: DataFrame, mode: str = "ref", chunk_lines: int | None = CHUNK_LINES) -> DataFrame:
+    """`diff_lines` of diffs of any length."""
+    return diff_lines(diffs, mode, parsed_diff(diffs, chunk_lines))
 
 
 def hunk_old_count(diffs: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def test_scan_in_chunks_equals_the_loop(spark):
     texts = [(i, "\n".join(line() for _ in range(rng.randrange(60)))) for i in range(150)]
     df = spark.createDataFrame(texts, "review_id long, diff_text string")
     want = sorted((r for i, t in texts for r in _walk(i, t)), key=str)
-    for chunk in (1, 3, 20_000):
+    for chunk in (None, 1, 3, 20_000):
         rows = DF.parsed_diff(df, chunk).collect()
         got = [(r.review_id, r.line_no, (r.file_line, r.file_path), r.kind, r.ref_new_line, r.ref_old_line, r.new_line, r.old_line, r.position) for r in rows]
         assert sorted(got, key=str) == want, chunk
