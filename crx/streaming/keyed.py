@@ -5,7 +5,8 @@ buckets its changes fall into, in one shuffle, and publishes them as one batch
 (`BatchLog`); a bucket's current files are those of the latest batch that wrote it.
 A replayed micro-batch starts from the batches before it and replaces what it wrote, so
 a restart changes nothing. Cost follows the touched buckets, not the length of the
-history; files that no bucket needs any more are deleted.
+history; files that no bucket needs any more are deleted. A table and the checkpoint of
+the stream that fills it belong together: batch numbers must go on, not start anew.
 """
 
 from __future__ import annotations
