@@ -86,3 +86,20 @@ def test_hard_files_fail_alone(spark):
     assert [status[i].success for i in (2, 3, 4, 5, 6)] == [False, True, True, False, True]
     values = [r.str_value for r in N.code_nodes(df).filter("file_id = 3 AND kind = 'Constant'").collect()]
     assert values == ["?", "ok"]
+
+
+def test_cluster_settings_bound_the_parts_of_a_shuffle(spark):
+    """24 MB of rows that don't compress come in parts of at most some 8 MB."""
+    from crx.plans.session import CLUSTER_SETTINGS
+    given = {k: CLUSTER_SETTINGS[k] for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")} | {
+        "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        dealt = spark.range(3_000_000).selectExpr("xxhash64(id) AS h", "id % 7 AS g").repartition("h")
+        parts = dealt.groupBy("h").count().rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert 3 <= parts <= 16
