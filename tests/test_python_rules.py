@@ -87,3 +87,17 @@ def test_structure(spark):
     assert (f.name, f.args, f.returns) == ("m", ["self", "a"], "int")
     call = P.py_calls(n).collect()[0]
     assert (call.callee, call.args, call.keyword_args) == ("f", ["a", "'x'"], ["k"])
+
+
+def test_the_scan_hands_on_arrow_batches_of_every_node():
+    """Rows leave the parser as they are, nulls and lists too, in batches of bounded size."""
+    import pyarrow as pa
+
+    from crx.operators.code import nodes as N
+    text = "import os\nx = y = 'a'\nclass C(B):\n    def f(self, a=1):\n        return open(a, shell=True) and None\n"
+    sources = [(1, "a.py", text), (2, "b.py", "def ("), (3, "c.py", None), *((i, "d.py", "v = 1\n" * 2_000) for i in range(4, 14))]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("file_id", "path", "content"), s)) for s in sources])
+    got = list(N._parse_batches(iter([batch])))
+    want = [row for i, p, c in sources for row in N._rows(i, p, c or "")]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+    assert len(got) > 1 and max(b.num_rows for b in got) < 2 * N.OUTPUT_ROWS
