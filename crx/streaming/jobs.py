@@ -8,6 +8,9 @@ nothing."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +35,25 @@ def review_requests_stream(deliveries: DataFrame, repos: DataFrame, configs: Dat
                       .option("checkpointLocation", checkpoint).outputMode("append"), name)
 
 
+@contextmanager
+def shuffle_parts(spark: SparkSession, parts: int) -> Iterator[None]:
+    """A stream takes the number of its state's parts, which nothing coalesces, from the
+    session when it starts; the session gets its own number back."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(parts))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+TREND_PARTS = 16  # the state holds a row a day; each part costs a task, and a task result, per micro-batch
 TREND_SCHEMA = "day string, issue_count bigint, batch bigint"
 
 
 def issue_trend_stream(issues: DataFrame, out_base: str, checkpoint: str, watermark: str = "2 days",
-                       name: str = "issue_trend") -> None:
+                       name: str = "issue_trend", parts: int = TREND_PARTS) -> None:
     """Daily issue counts over a stream: 1-day tumbling windows on created_at
     with a watermark, so state for days behind the watermark is evicted (rows
     that late may be dropped; Spark does not guarantee it). Each micro-batch
@@ -49,8 +66,9 @@ def issue_trend_stream(issues: DataFrame, out_base: str, checkpoint: str, waterm
 
     def append(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_base}/batch={epoch_id}")
-    run_available_now(counts.writeStream.outputMode("update").foreachBatch(append)
-                      .option("checkpointLocation", checkpoint), name)
+    with shuffle_parts(issues.sparkSession, parts):
+        run_available_now(counts.writeStream.outputMode("update").foreachBatch(append)
+                          .option("checkpointLocation", checkpoint), name)
 
 
 def read_issue_trend(spark: SparkSession, out_base: str) -> DataFrame:

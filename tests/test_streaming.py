@@ -111,3 +111,21 @@ def test_keyed_table_rewrites_only_touched_buckets(spark):
     assert len(t.log.parts("state", "bucket=*")) <= 8 + 2 + 2  # live ones, and what the last batch replaced
     t.merge(spark.createDataFrame([], t.schema), 6)
     assert t.read().count() == 101
+
+
+def test_state_of_the_trend_has_few_parts_whatever_the_session_has(spark, tmp_path):
+    import os
+
+    from crx.streaming import jobs as S
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.sql("SELECT id, timestamp_ntz'2024-01-01' + make_dt_interval(id % 5) AS created_at FROM range(50)").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id bigint, created_at timestamp_ntz").parquet(f"{tmp_path}/in")
+    spark.conf.set(key, "40")
+    try:
+        S.issue_trend_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt", watermark="36500 days")
+        assert spark.conf.get(key) == "40"
+    finally:
+        spark.conf.set(key, before)
+    assert len([d for d in os.listdir(f"{tmp_path}/ckpt/state/0") if d.isdigit()]) == S.TREND_PARTS
+    assert sorted(r.issue_count for r in S.read_issue_trend(spark, f"{tmp_path}/out").collect()) == [10] * 5
