@@ -139,3 +139,17 @@ def test_one_long_review_is_spread_over_tasks(spark):
             spark.conf.set(k, v)
     assert sum(r.n for r in rows) == 90_001 and max(r.n for r in rows) < 45_000
     assert max(r.last for r in rows) == 90_001 and max(r.line or 0 for r in rows) == 90_000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hunks_are_counted_where_their_lines_are(spark):
+    # one parse, one shuffle by review: no join of the headers with their counts
+    df = spark.createDataFrame([(i, TWO_FILES) for i in range(3)], "review_id long, diff_text string").repartition(4)
+    plan = _plan(DF.diff_hunks(df))
+    assert "Join" not in plan and plan.count("Generate posexplode") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = sorted((h.review_id, h.hunk_idx, h.hdr_old_count, h.old_count, h.n_lines, h.header) for h in DF.diff_hunks(df).collect())
+    assert got[:3] == [(0, 1, 1, 1, 1, "@@ -5 +5 @@"), (0, 1, 3, 3, 5, "@@ -1,3 +1,4 @@ def f():"), (0, 2, 2, 10, 3, "@@ -10,2 +11,3 @@")]
