@@ -20,16 +20,18 @@ from pyspark.sql import types as T
 from crx.sources.commits import BatchLog
 
 TABLE = "state"
+TASK_ROWS = 500_000  # rows that a task folds, on average
 
 
 class KeyedTable:
     """`schema` of the rows, `keys`, and the columns whose largest value, compared in
-    turn, is the current row of a key. `buckets` bounds the files of a batch: choose it so
-    that a bucket fits a task."""
+    turn, is the current row of a key. `buckets` bounds the folders of a batch; a bucket of
+    more than `task_rows` rows is folded by several tasks, each with a share of its keys."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str], order: list[str], buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str], order: list[str], buckets: int = 16,
+                 task_rows: int = TASK_ROWS):
         self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-        self.log, self.keys, self.order, self.buckets = BatchLog(spark, path), keys, order, buckets
+        self.log, self.keys, self.order, self.buckets, self.task_rows = BatchLog(spark, path), keys, order, buckets, task_rows
 
     def _latest(self, rows: DataFrame, *more: str) -> DataFrame:
         rest = [c for c in self.schema.names if c not in self.keys]
@@ -53,13 +55,17 @@ class KeyedTable:
         last one may come again."""
         latest = self._latest(changes.select(*self.schema.names)).withColumn("bucket", self._bucket()).persist()
         try:
-            touched = [r.bucket for r in latest.select("bucket").distinct().collect()]  # at most `buckets`
+            counts = {r.bucket: r["count"] for r in latest.groupBy("bucket").count().collect()}  # at most `buckets`
             folders = self._folders(before=batch)
-            old = self.log.read(TABLE, self.schema, [folders[b] for b in touched if b in folders]).withColumn("bucket", self._bucket())
+            old = self.log.read(TABLE, self.schema, [folders[b] for b in counts if b in folders]).withColumn("bucket", self._bucket())
             rows = old.select("bucket", *self.schema.names).union(latest.select("bucket", *self.schema.names))
-            dealt = rows.repartition(max(len(touched), 1), "bucket")
+            tasks = max(1, -(-(sum(counts.values()) + old.count()) // self.task_rows))
+            shares = -(-tasks // max(len(counts), 1))
+            # another hash than the bucket's, so that a bucket's keys spread
+            dealt = rows.withColumn("share", F.pmod(F.hash(*self.keys), F.lit(shares))).repartition(max(len(counts), 1) * shares, "bucket", "share")
             attempt = self.log.new_attempt()
-            self._latest(dealt, "bucket").write.partitionBy("bucket").parquet(self.log.folder(TABLE, batch, attempt))
+            folded = self._latest(dealt, "bucket", "share").drop("share")
+            folded.write.partitionBy("bucket").parquet(self.log.folder(TABLE, batch, attempt))
         finally:
             latest.unpersist()
         self.log.publish(batch, attempt)

@@ -129,3 +129,16 @@ def test_state_of_the_trend_has_few_parts_whatever_the_session_has(spark, tmp_pa
         spark.conf.set(key, before)
     assert len([d for d in os.listdir(f"{tmp_path}/ckpt/state/0") if d.isdigit()]) == S.TREND_PARTS
     assert sorted(r.issue_count for r in S.read_issue_trend(spark, f"{tmp_path}/out").collect()) == [10] * 5
+
+
+def test_large_bucket_of_a_keyed_table_is_folded_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+    from crx.streaming.keyed import KeyedTable
+    base = tempfile.mkdtemp(prefix="crx-test-shares-", dir=os.environ.get("CRX_SCRATCH", "/tmp"))
+    t = KeyedTable(spark, base, "k long, v string, at long", ["k"], ["at"], buckets=2, task_rows=100)
+    t.merge(spark.createDataFrame([(k, "a", 1) for k in range(1000)] + [(None, "a", 1)], t.schema), 0)
+    files = t.read().groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 500
+    t.merge(spark.createDataFrame([(k, "b", k % 2 * 2) for k in range(1000)] + [(None, "b", 2)], t.schema), 1)
+    got = {r.k: r.v for r in t.read().collect()}
+    assert got == {**{k: "b" if k % 2 else "a" for k in range(1000)}, None: "b"} and t.read().count() == 1001
