@@ -44,3 +44,10 @@ def test_anchor_over_far_hunks_and_repeated_paths(spark):
         want = min((r.position for r in lines if lo <= r.new_line <= hi), default=None)
         assert got[seq] == want, seq
     assert got[5] is None
+
+
+def test_processed_findings_are_read_not_computed_again(spark):
+    from crx.plans.registry import QUERIES, load_all
+    load_all()
+    plan = QUERIES["review_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "review_findings" in plan
