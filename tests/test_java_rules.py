@@ -160,3 +160,32 @@ def test_the_scan_shuffles_text_and_keeps_what_rules_read(spark, tmp_path):
         return [r(feat, methods) for r in J.JAVA_RULES] + list(J.java_structure(feat, methods).values())
     for got, want in zip(outputs(kept), outputs(whole), strict=True):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_files_of_small_size_pass_without_sort_shuffle_or_window(spark):
+    """The scan needs none of them for its features; a file that Arrow cuts into batches
+    stays whole, and its lists and bodies are known on the name's row."""
+    import pyarrow as pa
+
+    from crx.operators.code import java_runs
+    src = "class A {\n int m(int a, int b) throws E {\n  if (a > 1 && b > 2) { r.exec(a + b); }\n  return 1;\n }\n abstract void n();\n}"
+    tokens = J.java_tokens(spark.createDataFrame([(i, f"{i}.java", src) for i in range(200)], "file_id long, path string, content string"))
+    feat = J.token_features(tokens)
+    plan = feat._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Window", "Sort", "Exchange"))
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = {(r.name, r.line, r.after_close, r.body_decides, r.body_last, r.list_level) for r in J.java_methods(feat).collect()}
+        assert rows == {("m", 2, "throws", 2, 4, 1), ("n", 6, ";", None, None, 1)} and J.java_methods(feat).count() == 400
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    ids = [1] * 5 + [2] * 3 + [3] * 9 + [4]
+    batches = [pa.RecordBatch.from_pydict({"file_id": ids[i:i + 4], "idx": list(range(i, min(i + 4, 18)))}) for i in range(0, 18, 4)]
+    size, java_runs.BATCH_TOKENS = java_runs.BATCH_TOKENS, 2
+    try:
+        got = [b.to_pydict() for b in java_runs.whole_files(iter(batches))]
+    finally:
+        java_runs.BATCH_TOKENS = size
+    assert len(got) > 1 and [i for b in got for i in b["idx"]] == list(range(18))
+    assert all(a["file_id"][-1] != b["file_id"][0] for a, b in zip(got, got[1:], strict=False))
