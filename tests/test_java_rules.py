@@ -189,3 +189,22 @@ def test_files_of_small_size_pass_without_sort_shuffle_or_window(spark):
         java_runs.BATCH_TOKENS = size
     assert len(got) > 1 and [i for b in got for i in b["idx"]] == list(range(18))
     assert all(a["file_id"][-1] != b["file_id"][0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_structure_is_read_off_the_kept_rows_without_a_shuffle(spark, tmp_path):
+    """An import's text, a class's bases and a method's parameters and annotations stand on its
+    first row, in both scans; their tokens are not kept."""
+    from crx.operators.code.dispatch import java_scan
+    text = "import a.b.*; class Q extends R<T> implements S, U {\n @Override @X(1) public int m(int a, Map<K, V> b) throws E { return r.exec(a + b, c); }\n Q(int z) { z = 1; y = x; } }"
+    src = spark.createDataFrame([(1, "Q.java", text)], "file_id long, path string, content string")
+    for limit in (10, 10_000):
+        java_scan(src, limit).write.parquet(f"{tmp_path}/{limit}")
+        feat = spark.read.parquet(f"{tmp_path}/{limit}")
+        assert sorted(feat.toPandas()["tok"]) == sorted(["import", "class", "X", "m", "exec", "Q", "{", "z"])
+        s = J.java_structure(feat)
+        for part in s.values():
+            assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString()
+        assert [r.import_path for r in s["imports"].collect()] == ["a.b"]
+        assert [r.bases for r in s["classes"].collect()] == [["R", "S", "U"]]
+        assert [(r.name, r.args, r.annotations, r.returns) for r in s["methods"].orderBy("name_idx").collect()] == [
+            ("m", ["a", "b"], ["@Override", "@X"], "int"), ("Q", ["z"], [], None)]
