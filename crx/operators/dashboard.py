@@ -161,9 +161,10 @@ def review_detail_mart(records: DataFrame, prs: DataFrame, repos: DataFrame,
                     F.coalesce("issues", F.array().cast(per_review.schema["issues"].dataType)).alias("issues")))
 
 
-def issues_by_file(issues: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def issues_by_file(issues: DataFrame, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Per review and file: critical / warning / other counts, issue ids, and the
-    file's display rank (critical desc, warning desc, first seen)."""
+    file's display rank (critical desc, warning desc, first seen). `sizes`: the issues in
+    a form that is cheaper to count by review."""
     g = issues.groupBy("review_record_id", "file_path").agg(
         count_if(F.col("severity") == "critical").alias("critical_count"),
         count_if(F.col("severity") == "warning").alias("warning_count"),
@@ -173,7 +174,7 @@ def issues_by_file(issues: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     order = [F.desc("critical_count"), F.desc("warning_count"), F.asc("first_seen")]
     cell = F.struct((-F.col("critical_count")).alias("critical"), (-F.col("warning_count")).alias("warning"),
                     F.shiftright(F.col("first_seen").cast("long"), 12).alias("seen"))
-    return ranked(g, ["review_record_id"], order, cell, "file_rank", issues, hot_rows)
+    return ranked(g, ["review_record_id"], order, cell, "file_rank", issues if sizes is None else sizes, hot_rows)
 
 
 def issue_totals_by_review(issues: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from crx.operators import dashboard as D
 from crx.plans.registry import query
+from crx.plans.session import parts_for
 from crx.sources import fixtures as X
+from crx.sources.tables import read_driver_table
 
 AS_OF = "2001-06-15 12:00:00"
 
@@ -136,10 +138,14 @@ FROM review_issues i JOIN k ON k.review_record_id = i.review_record_id AND k.fil
 JOIN t ON t.review_record_id = i.review_record_id""")
 def q_issues_by_file(spark, d):
     """The issue list of each file, with the file's rank and counts and the review's totals."""
-    issues = X.review_issues(spark, d)
-    files = D.issues_by_file(issues).drop("issue_ids", "first_seen")
+    every = X.review_issues(spark, d)
+    parts = parts_for(read_driver_table(spark, d, "lineitem"))
+    issues, by_file = X.review_issues(spark, d, parts), ["review_record_id", "file_path"]
+    files = D.issues_by_file(issues, sizes=every).drop("issue_ids", "first_seen").join(D.issue_totals_by_review(every), "review_record_id")
     listed = issues.select("review_record_id", "file_path", F.col("id").alias("issue_id"), "line_start", "line_end", "severity", "rule_id", "title")
-    return (listed.join(files, ["review_record_id", "file_path"]).join(D.issue_totals_by_review(issues), "review_record_id")
+    if parts:
+        listed, files = listed.repartition(parts, *by_file), files.repartition(parts, *by_file)
+    return (listed.join(files, by_file)
             .select("review_record_id", "file_path", "file_rank", "critical_count", "warning_count", "suggestion_count", "issue_id", "line_start",
                     "line_end", "severity", "rule_id", "title", "total_critical", "total_warning", "total_suggestion"))
 

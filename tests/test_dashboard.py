@@ -44,3 +44,17 @@ def test_half_even_rounding(spark):
     from pyspark.sql import functions as F
     got = [x.v for x in df.select(round_half_even_ratio(F.col("t"), F.col("r")).alias("v")).collect()]
     assert got == [0.2, 0.8, 0.0, 0.4, 0.4]
+
+
+def test_parts_of_issues_by_file_follow_the_rows(spark, monkeypatch):
+    """A session with few shuffle partitions gets more of them for more rows, with the same result."""
+    from crx.plans import q_dashboard as Q
+    from crx.plans import session as S
+    small = "/root/testdata/sf0.001"
+    assert S.parts_for(spark.range(100), 10) == 10 and S.parts_for(spark.range(100), 50) is None
+    want = sorted(map(str, Q.q_issues_by_file(spark, small).collect()))
+    monkeypatch.setattr(Q, "parts_for", lambda rows: S.parts_for(rows, 200))
+    got = Q.q_issues_by_file(spark, small)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 4
+    assert sorted(map(str, got.collect())) == want
