@@ -43,7 +43,7 @@ def duplicate_blocks(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
     gathered into one task; no pair of occurrences is made. Document ids are unique."""
     lines = F.transform(splitlines(F.coalesce(F.col("text"), F.lit(""))),
                         lambda x, i: F.struct(normalise_line(x).alias("norm"), (i + 1).alias("line_no")))
-    kept = docs.select("doc_id", F.filter(lines, lambda s: s["norm"] != "").alias("kept")).filter(F.size("kept") >= window)
+    kept = docs.select("doc_id", F.filter(lines, lambda s: s["norm"] != "").alias("kept"))
 
     def text(i, n):
         return F.concat_ws("\n", *[F.element_at("kept", i + j)["norm"] for j in range(n)])
@@ -51,14 +51,15 @@ def duplicate_blocks(docs: DataFrame, window: int = DUP_WINDOW) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(
         i.alias("i"), F.element_at("kept", i)["line_no"].alias("line_start"), F.element_at("kept", i + (window - 1))["line_no"].alias("line_end"),
         text(i, window).alias("block"), F.when(i < last, F.concat_ws("\n", text(i, window), F.try_element_at("kept", i + window)["norm"])).alias("longer")))
-    rows = (kept.select("doc_id", F.explode(windows).alias("b"))
-            .select("doc_id", "b.i", "b.line_start", "b.line_end", F.xxhash64("b.block").alias("block_hash"), F.md5("b.block").alias("block_md5"),
-                    F.xxhash64("b.longer").alias("longer_hash"), F.md5("b.longer").alias("longer_md5")))
+    # without a filter on their number beside it, the lines are made once
+    rows = (kept.select("doc_id", F.explode(F.when(last >= 1, windows)).alias("b"))
+            .select("doc_id", "b.i", "b.line_start", "b.line_end", F.xxhash64("b.block").alias("block_hash"), F.unhex(F.md5("b.block")).alias("block_md5"),
+                    F.xxhash64("b.longer").alias("longer_hash"), F.unhex(F.md5("b.longer")).alias("longer_md5")))
     keys, longer = ["block_hash", "block_md5"], ["longer_hash", "longer_md5"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
-    rows = rows.join(counts, keys)
-    both = rows.filter(F.col("longer_md5").isNotNull()).groupBy(*longer).agg(F.count(F.lit(1)).alias("together"))
-    rows = rows.join(both, longer, "left")
+    # a longer window that occurs once links nothing; one that occurs more often has a repeated block
+    both = rows.filter(F.col("longer_md5").isNotNull()).groupBy(*longer).agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") > 1)
+    rows = rows.join(counts, keys).join(both, longer, "left")
     order = Window.partitionBy("doc_id").orderBy("i")
     linked = ((F.lag("i").over(order) == F.col("i") - 1) & (F.lag("occurrences").over(order) == F.col("occurrences"))
               & (F.lag("together").over(order) == F.col("occurrences")))

@@ -113,3 +113,16 @@ def test_cascade_delete_and_constraint_report(spark):
     assert ("foreign_key", "pull_requests", "repository_id", "99", 1) in got
     assert ("foreign_key", "review_records", "pull_request_id", "7", 1) in got
     assert ("not_null", "pull_requests", "title", None, 1) in got
+
+
+def test_duplicate_blocks_make_the_windows_three_times_and_the_lines_once_each(spark):
+    """Once for either count and once for the rows; a text too short for a window gives none."""
+    import re
+
+    from crx.operators.text_scan import duplicate_blocks
+    docs = spark.createDataFrame([(1, "a\nb\n\nC\nd"), (2, "A\nb\nc\nd"), (3, "x\na\nb\nc\ny"), (4, "a\nb"), (5, None)], "doc_id long, text string")
+    got = duplicate_blocks(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Generate explode", plan)) == 3 and "Filter (size" not in plan
+    assert sorted((r.doc_id, r.line_start, r.line_end, r.n_lines, r.occurrences) for r in got.collect()) == [
+        (1, 1, 4, 3, 3), (1, 2, 5, 3, 2), (2, 1, 3, 3, 3), (2, 2, 4, 3, 2), (3, 2, 4, 3, 3)]
