@@ -101,3 +101,32 @@ def test_the_scan_hands_on_arrow_batches_of_every_node():
     want = [row for i, p, c in sources for row in N._rows(i, p, c or "")]
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
     assert len(got) > 1 and max(b.num_rows for b in got) < 2 * N.OUTPUT_ROWS
+
+
+def test_names_and_paths_are_read_without_the_unparser(monkeypatch):
+    """The common callees, targets, bases and decorators need no unparser; a callee that is a
+    call has its own text, not that of the call in it; both forms of the rows agree."""
+    import ast
+
+    text = "@a.b\nclass C(m.B):\n    x.y = f(z)\nmake(1)(2)\nwith open(p) as q, t.u():\n    not (a and b or c)\n"
+    want = [(r[5], r[19], r[20]) for r in N._rows(1, "m.py", text)]
+    assert ("Call", "make(1)", "make") in want and ("Call", None, "make(1)") in want
+    monkeypatch.setattr(ast, "unparse", lambda node: 1 / 0)
+    rows = N._rows(1, "m.py", text)
+    texts = {(r[7], r[19]) for r in rows if r[19]}
+    assert texts == {("decorator_list", "a.b"), ("bases", "m.B"), ("targets", "x.y"), ("func", "f"), ("args", "z"), ("func", "make"), ("args", "1"),
+                     ("args", "2"), ("func", "open"), ("args", "p"), ("func", "t.u")}
+    held = N._Nodes()
+    held.add(1, "m.py", text)
+    assert [tuple(r.values()) for r in held.batch().to_pylist()] == rows
+
+
+def test_findings_are_put_together_for_rows_that_meet_a_rule(spark, tmp_path):
+    nodes = _nodes(spark, "x = eval(s)\nexec = 1\n")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    stored = spark.read.parquet(str(tmp_path / "nodes"))
+    plan = P.rule_scan_python(stored)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate"):]
+    conditions = below[below.index("Filter"):].splitlines()[0]
+    assert "IN (exec,eval)" in conditions.split("CASE")[0]
+    assert [(r.line_start, r.rule_id) for r in P.rule_scan_python(stored).collect()] == [(1, "python-exec-eval")]
