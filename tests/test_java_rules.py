@@ -208,3 +208,36 @@ def test_structure_is_read_off_the_kept_rows_without_a_shuffle(spark, tmp_path):
         assert [r.bases for r in s["classes"].collect()] == [["R", "S", "U"]]
         assert [(r.name, r.args, r.annotations, r.returns) for r in s["methods"].orderBy("name_idx").collect()] == [
             ("m", ["a", "b"], ["@Override", "@X"], "int"), ("Q", ["z"], [], None)]
+
+
+def test_files_are_scanned_in_one_pass_with_the_rows_of_its_steps(spark):
+    """Tokens, features and marks of a file in one pass over its text, without a row per token
+    in between: line ends of all kinds, hidden comments and quotes, odd letters, empty files."""
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    odd = ["/*", "*/", "//", '"""', '"', "'", "\\", "\r", "\r\n", "\x85", "\u2028", "\t", "\x0b", "\xa0", "é", "٠", "𝒳", "\ufffd", "_", "$x", "0x1F", "1.5e3", "<=", "->", "::", "+=", "-", "\\\"", "\\\n"]
+    words = (_TOKENS + ["void", "int", "m", "exec", "execute", "Socket", "try", "catch", "throw", "throws", "extends", "implements", "@", "=", "token", '"ab"', "static",
+                        "return", "import", "new"]) * 4 + odd
+    rows = [(i, f"p{i}", rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.choice([0, 3, 200])))) for i in range(300)]
+    rows += [(1000, "n", None), (1001, "c", "// only"), (1002, "q", "import a.b.*; class Q extends R<T> implements S, U { @Override public int m(int a) throws E { return r.exec(a + b); } }")]
+    src = spark.createDataFrame(rows, "file_id long, path string, content string").union(spark.sql("SELECT 1003L, 'b', CAST(X'76C3286929FF3B' AS STRING)"))
+    one, steps = J.file_marks(src), J.rule_marks(J.token_features(J.java_tokens(src)))
+    assert one.dtypes == steps.dtypes
+    got = sorted(map(str, one.collect()))
+    assert len(got) > 500 and got == sorted(map(str, steps.collect()))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    all_ = J.Tokens.of_texts([r[2] or "" for r in rows], frozenset(J.KEYWORDS))
+    want = J.java_tokens(src.filter(F.col("file_id") < 1003)).orderBy("file_id", "idx").select("idx", "line", "tok", "kind").collect()
+    assert list(zip(all_.idx.to_pylist(), all_.line.to_pylist(), all_.words(all_.at).to_pylist(), all_.words(all_.at, "kind").to_pylist())) == [tuple(w) for w in want]
+
+
+def test_without_large_files_the_scan_has_no_chunked_branch(spark):
+    """Large files are set apart first, once; the plan of a scan that has none is one pass."""
+    from crx.operators.code.dispatch import java_scan
+    src = spark.createDataFrame([(1, "A.java", "class A { void m() { } }"), (2, "N.java", None)], "file_id long, path string, content string")
+    plan = java_scan(src)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "Union" not in plan
+    assert "Window" in java_scan(src, 10)._jdf.queryExecution().executedPlan().toString()
