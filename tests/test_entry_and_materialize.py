@@ -103,3 +103,26 @@ def test_cluster_settings_bound_the_parts_of_a_shuffle(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert 3 <= parts <= 16
+
+
+def test_shuffle_files_of_an_intermediate_go_when_it_is_written(spark):
+    """A job of several steps doesn't hold the shuffles of all of them on disk; the session's
+    own setting stays, and the table can be read and written from again."""
+    import time
+
+    from crx.llm.common import shared_table
+    from crx.plans.session import SHUFFLE_CLEANUP
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        blocks = disk.getAllBlocks()
+        return {b for b in (blocks.apply(i).name() for i in range(blocks.size())) if b.startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    rows = spark.range(1_000).selectExpr("id % 100 AS k", "id").repartition("k")  # held: nothing of it is garbage
+    table = shared_table(rows.groupBy("k").sum("id"), "cleanup-test")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    assert table.count() == 100 and shared_table(rows.groupBy("k").count(), "cleanup-test").filter("count = 10").count() == 100
