@@ -51,3 +51,22 @@ def test_processed_findings_are_read_not_computed_again(spark):
     load_all()
     plan = QUERIES["review_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "review_findings" in plan
+
+
+def test_findings_read_several_times_are_written_once(spark, monkeypatch):
+    """What is behind the findings of a summary, and behind the findings that the dedup reads,
+    runs once, and its shuffles don't lie on disk with those that follow."""
+    from crx.operators import findings as FD
+    from crx.operators import report as RP
+    from crx.plans.registry import QUERIES, load_all
+    load_all()
+    found = spark.range(40).repartition(3).selectExpr("id % 4 AS review_id", "'critical' AS severity", "concat('f', id % 3) AS file_path", "id AS position", "'long' AS body")
+    out = RP.review_summary(found, None, spark.sql("SELECT id AS review_id, 'u' AS pr_url FROM range(4)"))
+    assert "RoundRobin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.summary_md.count("| 10 |") for r in out.orderBy("review_id").collect()] == [1] * 4
+    read = []
+    process = FD.process_findings
+    monkeypatch.setattr(FD, "process_findings", lambda findings, configs: read.append(findings) or process(findings, configs))
+    QUERIES["review_pipeline"](spark, "/root/testdata/sf0.001")
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "merged_findings" in plan
