@@ -241,3 +241,13 @@ def test_without_large_files_the_scan_has_no_chunked_branch(spark):
     plan = java_scan(src)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Window" not in plan and "Union" not in plan
     assert "Window" in java_scan(src, 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kinds_of_tokens_are_told_by_their_first_character(spark):
+    """No pattern is matched once a token is cut out; odd beginnings keep their kinds."""
+    src = spark.createDataFrame([(1, "A.java", "éa Z9 _x $y nullx null 9a \"s\" 'c' @ ` { class Class ~ ٠")], "file_id long, path string, content string")
+    tokens = J.java_tokens(src)
+    assert "RLIKE" not in tokens._jdf.queryExecution().executedPlan().toString().upper()
+    assert [(r.tok, r.kind) for r in tokens.orderBy("idx").collect()] == [
+        ("é", "op"), ("a", "ident"), ("Z9", "ident"), ("_x", "ident"), ("$y", "ident"), ("nullx", "ident"), ("null", "literal"), ("9a", "number"), ('"s"', "string"),
+        ("'c'", "string"), ("@", "op"), ("`", "op"), ("{", "op"), ("class", "keyword"), ("Class", "ident"), ("~", "op"), ("٠", "op")]
